@@ -5,17 +5,62 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plateloom.llm import simhash
+from plateloom.llm import decontam, license_scan, line_dedup, simhash
 from plateloom.llm.common import table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = {f"_{c}": c for c in ("n_lines", "n_chunks", "removed_chunks", "removed_lines")}
+    return out.withColumnsRenamed(counts).select("doc_id", *counts.values(), "text")
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.drop("detections")
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontam.contamination(docs.select("doc_id", "text"), items.select("item_id", "text"))
+
+
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op8_license_scan": op8_license_scan,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op1_line_dedup": r"""
+with lines as (
+  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 as i
+  from documents),
+hashed as (select *, cast('0x' || substr(md5(line), 1, 7) as bigint) as h from lines),
+marked as (
+  select *, coalesce((h + 8191 * lag(h) over (partition by doc_id order by i)) % 1000003 % 3 = 0, false) as m from hashed),
+begun as (
+  select *, case when i = 0 then 1 when lag(m, 1, false) over w and not lag(m, 2, false) over w then 1 else 0 end as s
+  from marked window w as (partition by doc_id order by i)),
+numbered as (select *, sum(s) over (partition by doc_id order by i) as c from begun),
+chunks as (
+  select doc_id, c, min(i) as first, count(*) as n, string_agg(line, chr(10) order by i) as chunk from numbered group by doc_id, c),
+ranked as (
+  select *, n > 1 and row_number() over (partition by chunk, n > 1 order by doc_id, first) > 1 as gone from chunks),
+built as (
+  select doc_id, count(*) as n_chunks, sum(n) as n_lines, count(*) filter (gone) as removed_chunks,
+         coalesce(sum(n) filter (gone), 0) as removed_lines, string_agg(chunk, chr(10) order by first) filter (not gone) as kept
+  from ranked group by doc_id)
+select d.doc_id, case when d.text is null then 0 else cast(n_lines as bigint) end as n_lines,
+       case when d.text is null then 0 else n_chunks end as n_chunks, removed_chunks,
+       cast(removed_lines as bigint) as removed_lines,
+       case when removed_chunks > 0 then coalesce(kept, '') else d.text end as text
+from documents d join built b on d.doc_id = b.doc_id""",
+}
