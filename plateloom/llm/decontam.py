@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plateloom.llm.common import stage
+
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 #: Fingerprints within this many of 64 bits are found for certain: of BLOCKS equal parts one has at most FLIPS changes.
@@ -44,9 +46,9 @@ def simhash(hashes: Column) -> Column:
 
 
 def _part(fp: Column, b: Column | int) -> Column:
-    """The ``b``-th eight bits of a fingerprint."""
+    """The ``b``-th eight bits of a fingerprint; never null, so that a join on it brings no filter that works it out again."""
     shifted = F.shiftrightunsigned(fp, 8 * b) if isinstance(b, int) else F.call_function("shiftrightunsigned", fp, b * 8)
-    return shifted.bitwiseAND(F.lit(255).cast("bigint")).cast("int")
+    return F.coalesce(shifted.bitwiseAND(F.lit(255).cast("bigint")).cast("int"), F.lit(-1))
 
 
 def _masks() -> list[int]:
@@ -60,7 +62,8 @@ def _items(benchmark: DataFrame) -> DataFrame:
     rows = rows.withColumn("n", F.size("iw")).filter("n > 0").withColumn("k", F.least("n", F.lit(SHINGLE_WORDS)))
     rows = rows.withColumn("ih", F.transform("iw", lambda w: F.xxhash64(w)))
     by_k = reduce(lambda rest, k: F.when(F.col("k") == k, _shingle_hashes(F.col("ih"), F.col("n"), k)).otherwise(rest), range(1, SHINGLE_WORDS), _shingle_hashes(F.col("ih"), F.col("n"), SHINGLE_WORDS))
-    return rows.withColumn("sh", by_k)
+    rows = rows.withColumn("sh", by_k).withColumn("ifp", simhash(F.col("sh")))
+    return rows.select("item_id", "iw", "n", "k", "sh", "ifp", _shingle_texts(F.col("iw"), F.col("n"), F.col("k")).alias("ishingles"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -76,7 +79,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
     Null and empty texts hold nothing; null or wordless items are ignored; a null doc_id or item_id is an id like any
     other; repeated rows count once; empty tables give an empty result. Other columns are ignored.
     """
-    items = _items(benchmark)
+    items = stage(_items(benchmark), "benchmark-items")
     total, sizes = items.agg(F.sum(F.size("sh")), F.collect_set("k")).first()
     blocks = max(1, -(-(total or 0) // BLOCK_SHINGLES))
     number = F.pmod(F.xxhash64("item_id", "iw"), F.lit(blocks))
@@ -88,25 +91,25 @@ def _one_block(docs: DataFrame, items: DataFrame, sizes: list[int], similarity:
     """``contamination`` for a block of items that is small enough to be sent to all executors."""
     anchors = items.select("n", "k", F.posexplode("sh").alias("off", "h")).distinct()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text")).alias("w"))
-    rows = rows.withColumn("nd", F.size("w")).filter("nd > 0").withColumn("wh", F.transform("w", lambda x: F.xxhash64(x)))
+    rows = rows.withColumn("nd", F.size("w")).withColumn("wh", F.transform("w", lambda x: F.xxhash64(x)))
     laid = []
     for k in sizes:
         known = [r.h for r in anchors.filter(F.col("k") == k).select("h").distinct().collect()]
         shingled = rows.withColumn("sh", _shingle_hashes(F.col("wh"), F.col("nd"), k))
         # (place, hash) of the shingles that the benchmark has too
         hits = F.filter(F.transform("sh", lambda h, i: F.struct(i.alias("pos"), F.when(h.isin(known), h).alias("h"))), lambda s: s["h"].isNotNull())
-        shared = shingled.withColumn("hits", hits).filter(F.size("hits") > 0)
-        shared = shared.select("doc_id", "w", "nd", "sh", F.explode("hits").alias("hit")).withColumn("h", F.col("hit.h"))
+        # explode() would bring a filter on the size of the array, which is then worked out twice
+        shared = shingled.withColumn("hits", hits).select("doc_id", "w", "nd", "sh", F.explode_outer("hits").alias("hit")).filter("hit.h is not null")
+        shared = shared.withColumn("h", F.col("hit.h"))
         shared = shared.join(F.broadcast(anchors.filter(F.col("k") == k)), "h")
         start = F.greatest(F.lit(0), F.least(F.col("hit.pos") - F.col("off"), F.col("nd") - F.col("n"))).alias("start")
         length = F.least("n", "nd").alias("len")
         shared = shared.select("doc_id", "n", "k", start, length, "w", "sh")
         laid.append(shared.select("doc_id", "n", "k", "start", "len", F.slice("w", F.col("start") + 1, F.col("len")).alias("ww"), F.slice("sh", F.col("start") + 1, F.greatest(F.col("len") - F.col("k") + 1, F.lit(1))).alias("wsh")))
-    windows = reduce(DataFrame.union, laid).distinct().withColumn("wfp", simhash(F.col("wsh")))
+    windows = reduce(DataFrame.union, laid).distinct().withColumn("wfp", F.coalesce(simhash(F.col("wsh")), F.lit(0).cast("bigint")))
     windows = windows.select("*", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("b")).withColumn("value", _part(F.col("wfp"), F.col("b")))
 
-    index = items.withColumn("ifp", simhash(F.col("sh"))).withColumn("ishingles", _shingle_texts(F.col("iw"), F.col("n"), F.col("k")))
-    index = index.select("item_id", "n", "ifp", "ishingles", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("b"))
+    index = items.select("item_id", "n", "ifp", "ishingles", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("b"))
     index = index.select("*", F.explode(F.array(*(F.lit(m) for m in _masks()))).alias("mask"))
     index = index.select("item_id", "n", "ifp", "ishingles", "b", _part(F.col("ifp"), F.col("b")).bitwiseXOR(F.col("mask")).alias("value"))
 

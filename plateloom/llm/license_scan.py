@@ -14,86 +14,91 @@ BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights rese
 #: Label, the name's pattern in normalised words, keywords, versions.
 FAMILIES = (
     ("apache", "apache(?: software)?", "apache", ("1 0", "1 1", "2 0")),
-    ("mit", "(?:mit|expat|x11)", "mit licen|identifier mit|under mit|under the mit|the terms of mit|of the mit|expat|x11", ()),
-    ("bsd-2-clause", "(?:simplified bsd|bsd 2 clause|freebsd)", "bsd", ()),
+    ("mit", "(?:mit|expat|x11)", "mit expat x11", ()),
+    ("bsd-2-clause", "(?:simplified bsd|bsd 2 clause|freebsd)", "bsd freebsd", ()),
     ("bsd-3-clause", "(?:new bsd|modified bsd|bsd 3 clause)", "bsd", ()),
     ("bsd", "bsd", "bsd", ()),
-    ("gpl", "(?:gnu )?(?:gpl|general public)", "gpl|general public", ("1 0", "2 0", "3 0")),
-    ("lgpl", "(?:gnu )?(?:lgpl|lesser general public|library general public)", "lgpl|lesser general|library general", ("2 0", "2 1", "3 0")),
-    ("agpl", "(?:gnu )?(?:agpl|affero general public)", "agpl|affero", ("1 0", "3 0")),
+    ("gpl", "(?:gnu )?(?:gpl|general public)", "gpl general", ("1 0", "2 0", "3 0")),
+    ("lgpl", "(?:gnu )?(?:lgpl|lesser general public|library general public)", "lgpl lesser library", ("2 0", "2 1", "3 0")),
+    ("agpl", "(?:gnu )?(?:agpl|affero general public)", "agpl affero", ("1 0", "3 0")),
     ("fdl", "(?:gnu )?free documentation", "documentation", ("1 1", "1 2", "1 3")),
-    ("mpl", "(?:mpl|mozilla public)", "mpl|mozilla", ("1 0", "1 1", "2 0")),
-    ("epl", "(?:epl|eclipse public)", "epl|eclipse public", ("1 0", "2 0")),
-    ("cddl", "(?:cddl|common development and distribution)", "cddl|common development", ("1 0", "1 1")),
-    ("cpl", "common public", "common public", ("1 0",)),
-    ("eupl", "(?:eupl|european union public)", "eupl|european union public", ("1 0", "1 1", "1 2")),
+    ("mpl", "(?:mpl|mozilla public)", "mpl mozilla", ("1 0", "1 1", "2 0")),
+    ("epl", "(?:epl|eclipse public)", "epl eclipse", ("1 0", "2 0")),
+    ("cddl", "(?:cddl|common development and distribution)", "cddl development", ("1 0", "1 1")),
+    ("cpl", "common public", "common", ("1 0",)),
+    ("eupl", "(?:eupl|european union public)", "eupl european", ("1 0", "1 1", "1 2")),
     ("artistic", "artistic", "artistic", ("1 0", "2 0")),
     ("bsl", "boost software", "boost", ("1 0",)),
     ("isc", "isc", "isc", ()),
     ("zlib", "(?:zlib|zlib libpng)", "zlib", ()),
     ("unlicense", "unlicense", "unlicense", ()),
-    ("wtfpl", "(?:wtfpl|do what the fuck you want to public)", "wtfpl|do what the fuck", ("2 0",)),
-    ("python", "(?:psf|python software foundation)", "psf|python software", ("2 0",)),
+    ("wtfpl", "(?:wtfpl|do what the fuck you want to public)", "wtfpl public", ("2 0",)),
+    ("python", "(?:psf|python software foundation)", "psf python", ("2 0",)),
     ("openssl", "openssl", "openssl", ()),
-    ("ofl", "(?:ofl|sil open font)", "ofl|sil open font", ("1 0", "1 1")),
-    ("cc-by", "(?:cc by|creative commons attribution)", "cc by|creative commons", ("2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-sa", "(?:cc by sa|creative commons attribution share ?alike)", "cc by|creative commons", ("2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nc", "(?:cc by nc|creative commons attribution non ?commercial)", "cc by|creative commons", ("2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nd", "(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s?)", "cc by|creative commons", ("2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nc-sa", "(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)", "cc by|creative commons", ("3 0", "4 0")),
-    ("cc-by-nc-nd", "(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s?)", "cc by|creative commons", ("3 0", "4 0")),
-    ("cc0", "(?:cc0|creative commons zero)", "cc0|creative commons", ("1 0",)),
-    ("odbl", "(?:odbl|open database)", "odbl|open database", ("1 0",)),
-    ("ms-pl", "(?:ms pl|microsoft public)", "ms pl|microsoft public", ()),
-    ("qpl", "(?:qpl|q public)", "qpl|q public", ("1 0",)),
-    ("afl", "academic free", "academic free", ("2 1", "3 0")),
-    ("osl", "open software", "open software", ("2 1", "3 0")),
+    ("ofl", "(?:ofl|sil open font)", "ofl sil", ("1 0", "1 1")),
+    ("cc-by", "(?:cc by|creative commons attribution)", "cc creative", ("2 0", "2 5", "3 0", "4 0")),
+    ("cc-by-sa", "(?:cc by sa|creative commons attribution share ?alike)", "cc creative", ("2 0", "2 5", "3 0", "4 0")),
+    ("cc-by-nc", "(?:cc by nc|creative commons attribution non ?commercial)", "cc creative", ("2 0", "2 5", "3 0", "4 0")),
+    ("cc-by-nd", "(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s?)", "cc creative", ("2 0", "2 5", "3 0", "4 0")),
+    ("cc-by-nc-sa", "(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)", "cc creative", ("3 0", "4 0")),
+    ("cc-by-nc-nd", "(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s?)", "cc creative", ("3 0", "4 0")),
+    ("cc0", "(?:cc0|creative commons zero)", "cc0 creative", ("1 0",)),
+    ("odbl", "(?:odbl|open database)", "odbl database", ("1 0",)),
+    ("ms-pl", "(?:ms pl|microsoft public)", "ms microsoft", ()),
+    ("qpl", "(?:qpl|q public)", "qpl q", ("1 0",)),
+    ("afl", "academic free", "academic", ("2 1", "3 0")),
+    ("osl", "open software", "software", ("2 1", "3 0")),
     ("postgresql", "postgresql", "postgresql", ()),
-    ("ncsa", "(?:ncsa|university of illinois)", "ncsa|university of illinois", ()),
-    ("zpl", "(?:zpl|zope public)", "zpl|zope public", ("2 0", "2 1")),
+    ("ncsa", "(?:ncsa|university of illinois)", "ncsa illinois", ()),
+    ("zpl", "(?:zpl|zope public)", "zpl zope", ("2 0", "2 1")),
 )
-#: How a family is named in a text, from the surest; V stands for the version, N for the name. The last number is a weight.
+#: How a family is named in a text, from the surest: N stands for the name and V for the version. Then words of which a match
+#: has one (none: the family's), and a weight.
 TEMPLATES = (
-    ("spdx", "spdx license identifier N(?: V)?", 1.0),
-    ("granted", "(?:licen[cs]ed|released|distributed|available|published) under (?:the )?(?:terms of (?:the )?)?N(?: (?:licen[cs]e|licence))?(?: (?:version|v) ?V| V)?", 0.95),
-    ("versioned", "N(?: licen[cs]e)? (?:version |v ?)?V", 0.9),
-    ("named", "N licen[cs]e", 0.8),
+    ("spdx license identifier N(?: V)?", "spdx", 1.0),
+    ("(?:licen[cs]ed|released|distributed|available|published) under (?:the )?(?:terms of (?:the )?)?N(?: (?:licen[cs]e|licence))?(?: (?:version|v) ?V| V)?", "licensed licenced released distributed available published", 0.95),
+    ("N(?: licen[cs]e)? (?:version |v ?)?V", "", 0.9),
+    ("N licen[cs]e", "license licence", 0.8),
 )
-#: Notices without a family: label, pattern, keyword, weight.
+#: Notices without a family: label, pattern, words of which a match has one, weight.
 NOTICES = (
     ("copyright", "copyright (?:c )?(?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})*", "copyright", 0.6),
-    ("permission", "permission is hereby granted free of charge", "hereby granted", 0.9),
-    ("as-is", "provided as is(?: without (?:express or implied )?warrant(?:y|ies))?", "as is", 0.6),
-    ("no-warranty", "without warranty of any kind", "without warranty", 0.6),
-    ("redistribution", "redistribution and use in source and binary forms", "redistribution and use", 0.9),
-    ("public-domain", "(?:released into|dedicated to|in) the public domain", "public domain", 0.8),
-    ("proprietary", "(?:proprietary and confidential|unauthori[sz]ed copying)", "proprietary and|ed copying", 0.7),
+    ("permission", "permission is hereby granted free of charge", "hereby", 0.9),
+    ("as-is", "provided as is(?: without (?:express or implied )?warrant(?:y|ies))?", "provided", 0.6),
+    ("no-warranty", "without warranty of any kind", "warranty", 0.6),
+    ("redistribution", "redistribution and use in source and binary forms", "redistribution", 0.9),
+    ("public-domain", "(?:released into|dedicated to|in) the public domain", "domain", 0.8),
+    ("proprietary", "(?:proprietary and confidential|unauthori[sz]ed copying)", "proprietary copying", 0.7),
 )
 _DETECTIONS = "array<struct<start:int,back:int,priority:int,label:string,weight:double>>"
 
 
-def rules() -> list[tuple[int, str, str, str, float]]:
-    """``(priority, label, pattern, keyword, weight)`` in order of priority: templates, then families, newest version first."""
+def rules() -> list[tuple[int, str, str, list[str], list[str], float]]:
+    """``(priority, label, pattern, words, more words, weight)`` in order of priority.
+
+    Templates come first, then families, then versions from the newest. A match has one of the words and one of the more
+    words.
+    """
     found = []
-    for _, shape, weight in TEMPLATES:
-        for label, name, keyword, versions in FAMILIES:
+    for shape, words, weight in TEMPLATES:
+        for label, name, own, versions in FAMILIES:
             for v in [*reversed(versions), None]:
                 if v is None and shape.endswith("V"):
                     continue
                 major, _, minor = (v or "").partition(" ")
                 number = f"{major}(?: {minor})?" if minor == "0" else f"{major} {minor}"
-                body = shape.replace("N", name)
                 if v is None:
-                    body = body.replace("(?: (?:version|v) ?V| V)?", "").replace("(?: V)?", "")
+                    body = shape.replace("(?: (?:version|v) ?V| V)?", "").replace("(?: V)?", "")
                 else:
-                    body = body.replace("(?: (?:version|v) ?V| V)?", f"(?: (?:version|v) ?{number}| {number})").replace("(?: V)?", f" {number}").replace("V", number)
-                found.append((f"{label}-{v.replace(' ', '.')}" if v else label, body, keyword, weight))
-    found += [(label, body, keyword, weight) for label, body, keyword, weight in NOTICES]
-    return [(k, label, f"(?<![^ ])(?:{body})(?![^ ])", keyword, weight) for k, (label, body, keyword, weight) in enumerate(found)]
+                    body = shape.replace("(?: (?:version|v) ?V| V)?", f"(?: (?:version|v) ?{number}| {number})").replace("(?: V)?", f" {number}").replace("V", number)
+                found.append((f"{label}-{v.replace(' ', '.')}" if v else label, body.replace("N", name), (words or own).split(), own.split(), weight))
+    found += [(label, body, words.split(), words.split(), weight) for label, body, words, weight in NOTICES]
+    return [(k, label, f"(?<![^ ])(?:{body})(?![^ ])", words, more, weight) for k, (label, body, words, more, weight) in enumerate(found)]
 
 
-#: A text without any rule's keyword can't match a rule.
-GATE = "|".join(dict.fromkeys([*(f[2] for f in FAMILIES), *(n[2] for n in NOTICES)]))
+def gate() -> list[str]:
+    """Words of which every text that matches a rule has one."""
+    return sorted({w for _, _, _, words, _, _ in rules() for w in words})
 
 
 def _starts(words: Column, phrase: str) -> Column:
@@ -170,11 +175,11 @@ def scan(docs: DataFrame) -> DataFrame:
     none = F.array().cast("array<int>")
     for k, (phrase, _) in enumerate(BASE):
         rows = rows.withColumn(f"b{k}", F.when(F.contains("normal", F.lit(f" {phrase} ")), _starts(F.col("w"), phrase)).otherwise(none))
-    listed = F.array(*(F.struct(F.lit(p).alias("priority"), F.lit(label).alias("label"), F.lit(body).alias("pattern"), F.lit(key).alias("keyword"), F.lit(weight).alias("weight")) for p, label, body, key, weight in rules()))
+    listed = F.array(*(F.struct(F.lit(p).alias("priority"), F.lit(label).alias("label"), F.lit(body).alias("pattern"), F.lit(words).alias("words"), F.lit(more).alias("more"), F.lit(weight).alias("weight")) for p, label, body, words, more, weight in rules()))
     inner = F.trim("normal")
-    tried = F.filter(listed, lambda r: F.call_function("regexp_like", F.col("normal"), r["keyword"]) & F.call_function("regexp_like", F.col("normal"), r["pattern"]))
+    tried = F.filter(listed, lambda r: F.arrays_overlap("w", r["words"]) & F.arrays_overlap("w", r["more"]))
     found = F.flatten(F.transform(tried, lambda r: _matches(inner, r)))
-    gated = F.col("normal").rlike(GATE)
+    gated = F.arrays_overlap("w", F.lit(gate()))
     rows = rows.withColumn("found", F.when(gated, found).otherwise(F.array().cast(_DETECTIONS)))
     rows = rows.withColumn("kept", _resolved(F.col("found"))).withColumn("kept", _without_beaten(F.col("kept")))
     places = F.concat(*(F.col(f"b{k}") for k in range(len(BASE))))

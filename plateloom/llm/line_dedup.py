@@ -49,7 +49,8 @@ def _split(docs: DataFrame) -> DataFrame:
 
 def _chunks(split: DataFrame) -> DataFrame:
     """Chunks of several lines: ``(doc_id, first, n, chunk)``."""
-    rows = split.select("doc_id", "_lines", F.explode("_chunks").alias("c")).filter("c.end - c.first > 1")
+    # explode() would bring a filter on the size of the array, which is then worked out twice
+    rows = split.select("doc_id", "_lines", F.explode_outer("_chunks").alias("c")).filter("c.end - c.first > 1")
     text = F.array_join(F.slice("_lines", F.col("c.first") + 1, F.col("c.end") - F.col("c.first")), "\n")
     return rows.select("doc_id", F.col("c.first").alias("first"), (F.col("c.end") - F.col("c.first")).alias("n"), text.alias("chunk"))
 

@@ -128,11 +128,10 @@ def brute_scan(text):
     base = [(i, label) for phrase, label in license_scan.BASE for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split()]
     normal = " ".join(w)
     found = []
-    for p, label, pattern, key, weight in license_scan.rules():
-        if re.search(key, f" {normal} "):
-            for m in re.finditer(pattern, normal):
-                a = normal[: m.start()].count(" ")
-                found.append((a, -(a + m.group().count(" ") + 1), p, label, weight))
+    for p, label, pattern, _, _, weight in license_scan.rules():  # without the prefilter
+        for m in re.finditer(pattern, normal):
+            a = normal[: m.start()].count(" ")
+            found.append((a, -(a + m.group().count(" ") + 1), p, label, weight))
     kept, reach = [], 0
     for d in sorted(found):
         if -d[1] > reach:
