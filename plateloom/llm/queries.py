@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plateloom.llm import decontam, language_id, license_scan, line_dedup, packing, simhash, topk, warc
+import corpus_pipeline
+from plateloom.llm import decontam, language_id, license_scan, line_dedup, lm, packing, simhash, topk, warc
 from plateloom.llm.common import table
 
 
@@ -33,6 +34,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.drop("detections")
@@ -48,15 +53,21 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontam.contamination(docs.select("doc_id", "text"), items.select("item_id", "text"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_language_id": op2_language_id,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_exact_topk": op4_exact_topk,
     "op5_warc": op5_warc,
+    "op6_lm_scoring": op6_lm_scoring,
     "op8_license_scan": op8_license_scan,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "pipeline": pipeline,
 }
 
 ORACLES = {
