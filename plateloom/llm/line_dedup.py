@@ -69,8 +69,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     seen = _chunks(_split(work)).withColumn("key", F.xxhash64("chunk"))
     # 1. which hashes occur more than once: a count for each, summed before it is shuffled
     repeated = stage(seen.groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("key"), "line-keys")
-    # 2. the chunks with these hashes
-    places = stage(seen.join(repeated, "key", "left_semi").select("doc_id", "first", "n", "chunk"), "line-places")
+    # 2. the chunks with these hashes; the hashes grow with the input, so they are never broadcast
+    places = stage(seen.join(repeated.hint("merge"), "key", "left_semi").select("doc_id", "first", "n", "chunk"), "line-places")
     place = (F.col("doc_id").cast(PLACE) * F.lit(LINES).cast("decimal(13,0)") + F.col("first")).cast(PLACE)
     # 3. bytes are compared: chunks are grouped and joined by their whole text
     kept = places.groupBy("chunk").agg(F.min(place).alias("kept"), F.count(F.lit(1)).alias("times")).filter("times > 1")
