@@ -1,6 +1,674 @@
-"""Registry of the engine's queries and of the SQL that each is compared with."""
+"""The engine's queries over the example tables, each with the SQL it is compared with where SQL can express it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plateloom.functions import exprs as X
+from plateloom.model import Dataset, FilterSpec, Reduction, assay_from_matrix
+from plateloom.operators import aggregate, cluster, filters, linmodel, lmm, neighbors, plotdata, reduce, representatives, resolve, stats, transform, umap, validate
+from plateloom.plans.tables import DIMS, FEATURES, GAPPY, GAPPY_SQL, VECTORS_SQL, gappy, line_items, orders, read, rounded, vectors
+from plateloom.sources import cellprofiler
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Registers a query under its function's name, with its SQL."""
+
+    def register(f):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLES[name or f.__name__] = sql
+        return f
+
+    return register
+
+
+def _r(names: list[str], digits: int = 6) -> list:
+    return [rounded(n, digits).alias(n) for n in names]
+
+
+# --- flagship ---------------------------------------------------------------------------------------------------------
+@query("""
+with s as (select l_returnflag, avg(l_quantity) filter (l_linestatus = 'O') mq, stddev_samp(l_quantity) filter (l_linestatus = 'O') sq,
+                  avg(l_extendedprice) filter (l_linestatus = 'O') me, stddev_samp(l_extendedprice) filter (l_linestatus = 'O') se
+           from lineitem group by 1),
+z as (select l.l_returnflag, (l_quantity - mq) / sq as zq, (l_extendedprice - me) / se as ze from lineitem l join s using (l_returnflag))
+select l_returnflag, count(*) as n, round(avg(zq), 6) + 0.0 as zq, round(avg(ze), 6) + 0.0 as ze from z
+where zq >= -1.5 and ze >= -1.5 and zq <= 1.5 and ze <= 1.5 group by 1""")
+def flagship_scale_filter_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scaling within plates against their controls, object filters, and means by plate."""
+    pair = FEATURES[:2]
+    scaled = transform.fast_colscale(line_items(spark, sf_dir), pair, reference=F.col("is_control"), grouping="l_returnflag")
+    kept = scaled.filter(filters.filter_vec_min_sum(pair, -1.5) & filters.filter_vec_max_sum(pair, 1.5))
+    return kept.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg("l_quantity")).alias("zq"), rounded(F.avg("l_extendedprice")).alias("ze"))
+
+
+# --- scaling ----------------------------------------------------------------------------------------------------------
+_KEYS = ["l_orderkey", "l_linenumber"]
+
+
+@query("""
+with s as (select avg(l_quantity) m, stddev_samp(l_quantity) s, avg(l_tax) mt, stddev_samp(l_tax) st from lineitem)
+select l_orderkey, l_linenumber, round((l_quantity - m) / s, 6) + 0.0 as l_quantity, round((l_tax - mt) / st, 6) + 0.0 as l_tax from lineitem, s""")
+def colscale_mean(spark, sf_dir):
+    return transform.fast_colscale(line_items(spark, sf_dir), ["l_quantity", "l_tax"]).select(*_KEYS, *_r(["l_quantity", "l_tax"]))
+
+
+@query("""
+with s as (select l_returnflag, avg(l_quantity) m, stddev_samp(l_quantity) s from lineitem group by 1)
+select l_orderkey, l_linenumber, round((l_quantity - m) / s, 6) + 0.0 as l_quantity from lineitem join s using (l_returnflag)""")
+def colscale_grouped(spark, sf_dir):
+    return transform.fast_colscale(line_items(spark, sf_dir), ["l_quantity"], grouping="l_returnflag").select(*_KEYS, *_r(["l_quantity"]))
+
+
+@query("""
+with s as (select l_returnflag, avg(l_quantity) m, stddev_samp(l_quantity) s from lineitem where l_linestatus = 'O' group by 1)
+select l_orderkey, l_linenumber, round((l_quantity - m) / s, 6) + 0.0 as l_quantity from lineitem left join s using (l_returnflag)""")
+def colscale_reference(spark, sf_dir):
+    return transform.fast_colscale(line_items(spark, sf_dir), ["l_quantity"], grouping="l_returnflag", reference=F.col("is_control")).select(*_KEYS, *_r(["l_quantity"]))
+
+
+@query("""
+with s as (select avg(nullif(l_discount, 0)) m, stddev_samp(nullif(l_discount, 0)) s from lineitem)
+select l_orderkey, l_linenumber, round((l_discount - m) / s, 6) + 0.0 as l_discount from lineitem, s""")
+def colscale_na_zero(spark, sf_dir):
+    return transform.fast_colscale(line_items(spark, sf_dir), ["l_discount"], na_zero=True, na_rm=True).select(*_KEYS, *_r(["l_discount"]))
+
+
+@query(f"""
+with {GAPPY_SQL}, s as (select avg(f_null) m, stddev_samp(f_null) s, avg(case when not isnan(f_nan) then f_nan end) mn, stddev_samp(case when not isnan(f_nan) then f_nan end) sn from gappy)
+select l_orderkey, l_linenumber, round((f_null - m) / s, 6) + 0.0 as f_null, case when isnan(f_nan) then null else round((f_nan - mn) / sn, 6) + 0.0 end as f_nan from gappy, s""")
+def colscale_missing(spark, sf_dir):
+    out = transform.fast_colscale(gappy(spark, sf_dir), ["f_null", "f_nan"], na_rm=True)
+    return out.select(*_KEYS, rounded("f_null").alias("f_null"), F.when(~X.missing("f_nan"), rounded("f_nan")).alias("f_nan"))
+
+
+@query("""
+with m as (select median(l_extendedprice) m from lineitem), a as (select m, 1.4826 * median(abs(l_extendedprice - m)) as mad from lineitem, m group by m)
+select l_orderkey, l_linenumber, round(0.6745 * (l_extendedprice - m) / mad, 6) + 0.0 as l_extendedprice from lineitem, a""")
+def mod_zscore(spark, sf_dir):
+    return transform.mod_zscore(line_items(spark, sf_dir), ["l_extendedprice"]).select(*_KEYS, *_r(["l_extendedprice"]))
+
+
+@query("""
+with s as (select min(l_quantity) lo, max(l_quantity) hi, var_samp(l_quantity) v from lineitem)
+select l_orderkey, l_linenumber, round(2 * (l_quantity - lo) / (hi - lo) - 1, 6) + 0.0 as l_quantity from lineitem, s""")
+def minmax(spark, sf_dir):
+    return transform.min_max(line_items(spark, sf_dir), ["l_quantity"], -1, 1).select(*_KEYS, *_r(["l_quantity"]))
+
+
+@query("""
+with s as (select min(l_quantity) lo, max(l_quantity) hi, var_samp(l_quantity) v from lineitem)
+select l_orderkey, l_linenumber, round((l_quantity - lo) / (hi - lo) * v, 5) + 0.0 as l_quantity from lineitem, s""")
+def minmax_by_var(spark, sf_dir):
+    return transform.min_max(line_items(spark, sf_dir), ["l_quantity"], scale_by_var=True).select(*_KEYS, *_r(["l_quantity"], 5))
+
+
+_GRID_SQL = "grid as (select unnest(range(-50, 51)) / 10.0::double as lam)"
+
+
+@query(f"""
+with x as (select o_totalprice::double as y from orders), g as (select exp(avg(ln(y))) as gm from x), {_GRID_SQL},
+t as (select lam, case when abs(lam) > 0.02 then ((y / gm) ** lam - 1) / lam else
+        ln(y / gm) * (1 + lam * ln(y / gm) / 2 * (1 + lam * ln(y / gm) / 3 * (1 + lam * ln(y / gm) / 4))) end as v from x, g, grid),
+l as (select lam, -count(*) / 2.0 * ln(var_pop(v) * count(*)) as ll from t group by lam)
+select 'price' as feature, round(arg_max(lam, ll), 6) + 0.0 as lambda from l""")
+def boxcox_lambda(spark, sf_dir):
+    return transform.boxcox_lambdas(orders(spark, sf_dir), ["price"]).select("feature", rounded("lambda").alias("lambda"))
+
+
+@query("select l_orderkey, l_linenumber, round((l_quantity ** 0.5 - 1) / 0.5, 6) + 0.0 as power, round(ln(l_quantity), 6) + 0.0 as log from lineitem")
+def boxcox_values(spark, sf_dir):
+    rows = line_items(spark, sf_dir)
+    return rows.select(*_KEYS, rounded(transform.power_transform("l_quantity", 0.5)).alias("power"), rounded(transform.power_transform("l_quantity", 0.0)).alias("log"))
+
+
+@query("""select l_orderkey, l_linenumber, round(sign(y) * ((abs(y) + 1) ** 0.3 - 1) / 0.3, 6) + 0.0 as power, round(sign(y) * ln(abs(y) + 1), 6) + 0.0 as log
+from (select *, l_quantity - 25.0 as y from lineitem)""")
+def modulus_values(spark, sf_dir):
+    rows = line_items(spark, sf_dir).withColumn("y", F.col("l_quantity") - 25)
+    return rows.select(*_KEYS, rounded(X.modulus("y", 0.3)).alias("power"), rounded(X.modulus("y", 0.0)).alias("log"))
+
+
+@query(f"""
+with x as (select o_totalprice::double - 100000 as y from orders), g as (select exp(avg(ln(abs(y) + 1))) as gm from x), {_GRID_SQL},
+t as (select lam, case when abs(lam) < 1e-9 then sign(y) * ln(abs(y) + 1) else sign(y) * ((abs(y) + 1) ** lam - 1) / lam end * gm ** (1 - lam) as v from x, g, grid),
+l as (select lam, -count(*) / 2.0 * ln(var_pop(v) * count(*)) as ll from t group by lam)
+select 'y' as feature, round(arg_max(lam, ll), 6) + 0.0 as lambda from l""")
+def modulus_lambda(spark, sf_dir):
+    rows = orders(spark, sf_dir).withColumn("y", F.col("price") - 100000)
+    return transform.boxcox_lambdas(rows, ["y"], mode="modulus").select("feature", rounded("lambda").alias("lambda"))
+
+
+# --- filters ----------------------------------------------------------------------------------------------------------
+@query("select l_orderkey, l_linenumber, l_quantity >= 10 as lo, l_quantity <= 40 as hi from lineitem")
+def filter_vec_min_max(spark, sf_dir):
+    return line_items(spark, sf_dir).select(*_KEYS, filters.filter_vec_min("l_quantity", 10).alias("lo"), filters.filter_vec_max("l_quantity", 40).alias("hi"))
+
+
+@query(f"""with {GAPPY_SQL} select l_orderkey, l_linenumber, coalesce(f_null >= 0.05, true) and (isnan(f_nan) or f_nan >= 0.05) as keep from gappy""")
+def filter_vec_min_sum(spark, sf_dir):
+    return gappy(spark, sf_dir).select(*_KEYS, filters.filter_vec_min_sum(["f_null", "f_nan"], 0.05).alias("keep"))
+
+
+@query(f"""with {GAPPY_SQL} select l_orderkey, l_linenumber, coalesce(f_null <= 30, true) and (isnan(f_nan) or f_nan <= 30) as keep from gappy""")
+def filter_vec_max_sum(spark, sf_dir):
+    return gappy(spark, sf_dir).select(*_KEYS, filters.filter_vec_max_sum(["f_null", "f_nan"], 30).alias("keep"))
+
+
+_MODZ_SQL = """m as (select l_returnflag, median(l_quantity) mq, median(l_tax) mt from lineitem group by 1),
+a as (select l_returnflag, mq, mt, 1.4826 * median(abs(l_quantity - mq)) aq, 1.4826 * median(abs(l_tax - mt)) at_ from lineitem join m using (l_returnflag) group by 1, 2, 3),
+z as (select *, abs(0.6745 * (l_quantity - mq) / aq) < 0.7 as pq, abs(0.6745 * (l_tax - mt) / at_) < 0.7 as pt from lineitem join a using (l_returnflag))"""
+
+
+@query(f"with {_MODZ_SQL} select l_orderkey, l_linenumber, pq as keep from z")
+def filter_vec_mod_z(spark, sf_dir):
+    return filters.filter_vec_mod_z(line_items(spark, sf_dir), "l_quantity", 0.7, "l_returnflag").select(*_KEYS, "keep")
+
+
+@query(f"with {_MODZ_SQL} select l_orderkey, l_linenumber, pq and pt as keep from z")
+def filter_vec_mod_z_sum(spark, sf_dir):
+    return filters.filter_vec_mod_z_sum(line_items(spark, sf_dir), ["l_quantity", "l_tax"], 0.7, "l_returnflag").select(*_KEYS, "keep")
+
+
+@query(f"with {_MODZ_SQL} select l_orderkey, l_linenumber, (pq::int + pt::int) / 2.0 >= 0.5 as keep from z")
+def filter_vec_mod_z_perc(spark, sf_dir):
+    return filters.filter_vec_mod_z_perc(line_items(spark, sf_dir), ["l_quantity", "l_tax"], 0.7, 0.5, "l_returnflag").select(*_KEYS, "keep")
+
+
+@query(f"""with {GAPPY_SQL}, k as (select *, case when not isnan(f_nan) then f_nan end as nn from gappy)
+select avg((f_null is null)::int) <= 0.05 as na_null, avg((nn is null)::int) <= 0.05 as na_nan, var_samp(f_const) > 0 as var_const, var_samp(l_quantity) > 0 as var_quantity,
+       abs(stddev_samp(l_quantity) / avg(l_quantity)) > 0.5 as cv, count(distinct f_null) + max((f_null is null)::int) > 48 as unique_null,
+       sum((abs(f_inf) = 'inf'::double)::int) <= 10 as inf, abs(median(f_inf)) <> 'inf'::double as inf_median, false as blacklist from k""")
+def filter_agg(spark, sf_dir):
+    f = filters
+    return gappy(spark, sf_dir).agg(
+        f.filter_agg_na("f_null", 0.05).alias("na_null"),
+        f.filter_agg_na("f_nan", 0.05).alias("na_nan"),
+        f.filter_agg_zero_var("f_const").alias("var_const"),
+        f.filter_agg_zero_var("l_quantity").alias("var_quantity"),
+        f.filter_agg_coef_var("l_quantity", 0.5).alias("cv"),
+        f.filter_agg_unique_val("f_null", 48).alias("unique_null"),
+        f.filter_agg_inf("f_inf", 10).alias("inf"),
+        f.filter_agg_inf_median("f_inf").alias("inf_median"),
+        f.filter_agg_blacklist("l_quantity").alias("blacklist"),
+    )
+
+
+_MOMENTS = "(sum((x - m) ** {k}) / ((count(x) - 1) * max(s) ** {k}))"
+
+
+@query(f"""with s as (select avg(o_totalprice) m, stddev_samp(o_totalprice) s from orders), x as (select o_totalprice::double as x, m, s from orders, s)
+select abs({_MOMENTS.format(k=3)}) > 0.2 as skew, abs({_MOMENTS.format(k=4)}) > 2.5 as kurt from x""")
+def filter_agg_moments(spark, sf_dir):
+    return orders(spark, sf_dir).agg(filters.filter_agg_skewness("price", 0.2).alias("skew"), filters.filter_agg_kurtosis("price", 2.5).alias("kurt"))
+
+
+_MULTI = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _multi(name: str, func, threshold: float, sql: str) -> None:
+    body = ", ".join(sql.format(c=c) + f" as {c}" for c in _MULTI)
+    ORACLES[name] = f"select {body} from lineitem"
+    QUERIES[name] = lambda spark, sf_dir: line_items(spark, sf_dir).agg(*func(_MULTI, threshold))
+
+
+_multi("filter_agg_na_multicol", filters.filter_agg_na_multicol, 0.0, "count(*) - count({c}) <= 0")
+_multi("filter_agg_zero_var_multicol", filters.filter_agg_zero_var_multicol, 0.001, "var_samp({c}) > 0.001")
+_multi("filter_agg_coef_var_multicol", filters.filter_agg_coef_var_multicol, 0.6, "abs(stddev_samp({c}) / avg({c})) > 0.6")
+_multi("filter_agg_unique_val_multicol", filters.filter_agg_unique_val_multicol, 20, "count(distinct {c}::double + 0.0) > 20")
+_multi("filter_agg_inf_multicol", filters.filter_agg_inf_multicol, 0, "sum(isinf({c}::double)::int) <= 0")
+_CENTRAL = "abs((avg({c}::double ** %d) %s)) > 0"
+for _name, _func, _k in (("filter_agg_skewness_multicol", filters.filter_agg_skewness_multicol, 3), ("filter_agg_kurtosis_multicol", filters.filter_agg_kurtosis_multicol, 4)):
+    _parts = ", ".join(f"abs((select sum(({c} - m) ** {_k}) / ((count(*) - 1) * max(s) ** {_k}) from lineitem, (select avg({c}) m, stddev_samp({c}) s from lineitem))) > 1 as {c}" for c in _MULTI)
+    ORACLES[_name] = f"select {_parts}"
+    QUERIES[_name] = lambda spark, sf_dir, f=_func: line_items(spark, sf_dir).agg(*f(_MULTI, 1.0))
+
+
+@query(f"with {GAPPY_SQL} select abs(median(f_inf)) <> 'inf'::double and abs(median(f_null)) <> 'inf'::double as keep from gappy")
+def filter_agg_inf_median_sum(spark, sf_dir):
+    return gappy(spark, sf_dir).agg(filters.filter_agg_inf_median_sum(["f_inf", "f_null"]).alias("keep"))
+
+
+_ROW_SPECS = [FilterSpec("na", "^f_", "filter_agg_na_multicol", 0.3, True), FilterSpec("inf", "^f_", "filter_agg_inf_multicol", 0, True), FilterSpec("unique", "^f_", "filter_agg_unique_val_multicol", 3, True)]
+
+
+@query(f"""with {GAPPY_SQL}, r as (select *, (f_null is null)::int + isnan(f_nan)::int as gaps, isinf(f_inf)::int as infs,
+  list_unique([coalesce(f_null, -1), case when isnan(f_nan) then -2 else f_nan + 0.0 end, f_inf + 0.0, f_const]) as u from gappy)
+select l_orderkey, l_linenumber, gaps / 4.0 <= 0.3 as na, infs <= 0 as inf, u > 3 as "unique" from r""")
+def filter_transposed(spark, sf_dir):
+    rows = gappy(spark, sf_dir).withColumn("id", F.struct(*_KEYS))
+    out = filters.calculate_object_filters(rows, _ROW_SPECS, features=["f_null", "f_nan", "f_inf", "f_const"], key="id")
+    return out.select("id.*", "na", "inf", "unique")
+
+
+_FEATURE_SPECS = [FilterSpec("na", "all", "filter_agg_na", 0.05), FilterSpec("var", "all", "filter_agg_zero_var", 0.0), FilterSpec("inf", "^f_i", "filter_agg_inf", 0), FilterSpec("off", "all", "filter_agg_blacklist", active=False)]
+
+
+@query(f"""with {GAPPY_SQL}, k as (select *, case when not isnan(f_nan) then f_nan end as nn from gappy),
+s as (select unnest([{{'feature': 'f_null', 'na': avg((f_null is null)::int), 'v': var_samp(f_null), 'i': 0}}, {{'feature': 'f_nan', 'na': avg((nn is null)::int), 'v': var_samp(nn), 'i': 0}},
+  {{'feature': 'f_inf', 'na': 0.0, 'v': 1.0, 'i': sum(isinf(f_inf)::int)}}, {{'feature': 'f_const', 'na': 0.0, 'v': var_samp(f_const), 'i': 0}}, {{'feature': 'l_quantity', 'na': 0.0, 'v': var_samp(l_quantity), 'i': 0}}]) as r from k)
+select r.feature as feature, r.na <= 0.05 as na, r.v > 0 as var, r.i <= 0 as inf, true as off from s""")
+def feature_filter_table(spark, sf_dir):
+    return filters.calculate_feature_filters(gappy(spark, sf_dir), _FEATURE_SPECS, GAPPY)
+
+
+_OBJECT_SPECS = [FilterSpec("low", "^l_quantity$", "filter_vec_min", 5), FilterSpec("high", "l_quantity|l_tax", "filter_vec_max_sum", 40), FilterSpec("off", "all", "filter_vec_min", 0, active=False)]
+
+
+@query("select o_orderkey, sum_quantity >= 50 as low, avg_tax <= 0.05 as high from (select l_orderkey as o_orderkey, sum(l_quantity)::double as sum_quantity, avg(l_tax)::double as avg_tax from lineitem group by 1)")
+def object_filter_table(spark, sf_dir):
+    rows = line_items(spark, sf_dir).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_quantity").alias("sum_quantity"), F.avg("l_tax").alias("avg_tax"))
+    specs = [FilterSpec("low", "^sum_", "filter_vec_min", 50), FilterSpec("high", "^avg_", "filter_vec_max", 0.05)]
+    return filters.calculate_object_filters(rows, specs, key="o_orderkey")
+
+
+@query("select count(*)::double as n from lineitem where l_quantity >= 5 and l_quantity <= 40 and l_tax <= 40")
+def object_filter_apply(spark, sf_dir):
+    rows = line_items(spark, sf_dir).withColumn("id", F.monotonically_increasing_id())
+    found = filters.calculate_object_filters(rows, _OBJECT_SPECS, features=["l_quantity", "l_tax"], key="id")
+    return filters.passing(found, "id").agg(F.count(F.lit(1)).cast("double").alias("n"))
+
+
+def _order_dataset(spark: SparkSession, sf_dir: str) -> Dataset:
+    """Orders as objects of the images that customers are."""
+    rows = orders(spark, sf_dir)
+    images = read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("image_id"), "c_mktsegment", "c_nationkey", F.col("c_acctbal").cast("double").alias("c_acctbal"))
+    images = images.join(rows.select("image_id").distinct(), "image_id", "left_semi")
+    return Dataset(rows.select("object_id", "image_id", "o_orderstatus", "o_orderpriority"), images, {"raw": assay_from_matrix(rows.select("object_id", "price"))}, {"image.data": images.select("image_id", F.col("c_acctbal").alias("balance"))}, active_assay="raw")
+
+
+@query("select o.o_orderkey::varchar as object_id from orders o join customer c on o.o_custkey = c.c_custkey where c.c_acctbal >= 0")
+def apply_image_filters_semi(spark, sf_dir):
+    d = _order_dataset(spark, sf_dir)
+    found = filters.calculate_object_filters(d.images.select("image_id", "c_acctbal"), [FilterSpec("balance", "c_acctbal", "filter_vec_min", 0)], key="image_id")
+    return filters.apply_image_filters(d, found).objects.select("object_id")
+
+
+# --- aggregation ------------------------------------------------------------------------------------------------------
+for _method, _sql in (("mean", "avg"), ("median", "median"), ("sum", "sum")):
+    QUERIES[f"aggregate_{_method}"] = lambda spark, sf_dir, m=_method: aggregate.aggregate_matrix(line_items(spark, sf_dir), FEATURES, "l_returnflag", m).select("l_returnflag", *_r(FEATURES, 3))
+    ORACLES[f"aggregate_{_method}"] = f"select l_returnflag, {', '.join(f'round({_sql}({c}::double), 3) + 0.0 as {c}' for c in FEATURES)} from lineitem group by 1"
+
+
+@query("""select o_custkey, round(avg(o_totalprice::double), 7) + 0.0 as price, case when count(distinct o_orderstatus) = 1 then min(o_orderstatus) end as o_orderstatus,
+  string_agg(distinct o_orderpriority, '; ' order by o_orderpriority) as o_orderpriority from orders group by 1""")
+def aggregate_metadata(spark, sf_dir):
+    rows = orders(spark, sf_dir).select("o_custkey", "price", "o_orderstatus", "o_orderpriority")
+    return aggregate.aggregate_metadata(rows, "o_custkey", factors=("o_orderpriority",)).withColumn("price", rounded("price", 7))
+
+
+@query("""select c_mktsegment as object_id, round(avg(o_totalprice::double), 3) + 0.0 as price from orders o join customer c on o_custkey = c_custkey group by 1""")
+def aggregate_by_imagecol(spark, sf_dir):
+    return aggregate.aggregate_by_imagecol(_order_dataset(spark, sf_dir), "c_mktsegment").assays["raw"].data.withColumn("price", rounded("price", 3))
+
+
+_WELLS = "chr((65 + o_orderkey % 16)::int) || lpad((1 + o_custkey % 24)::varchar, 2, '0')"
+
+
+@query(f"""with v as (select o_orderstatus as plate, {_WELLS} as well, avg(o_totalprice::double) as v from orders group by 1, 2),
+g as (select plate, chr((64 + r)::int) || lpad(c::varchar, 2, '0') as well, r::int as "row", c::int as "column" from (select distinct o_orderstatus as plate from orders), range(1, 17) as x(r), range(1, 25) as y(c))
+select g.plate, g.well, g."row", g."column", round(v, 7) + 0.0 as value from g left join v on g.plate = v.plate and g.well = v.well""")
+def plate_384(spark, sf_dir):
+    rows = orders(spark, sf_dir).withColumn("plate", F.col("o_orderstatus"))
+    rows = rows.withColumn("well", F.concat(F.char(65 + F.col("o_orderkey") % 16), F.lpad((1 + F.col("o_custkey") % 24).cast("string"), 2, "0")))
+    return aggregate.aggregate_to_plate(rows, "price").withColumn("value", rounded("value", 7))
+
+
+@query("""select o.o_orderkey, round(avg(l_quantity::double), 6) + 0.0 as l_l_quantity, round(avg(l_tax::double), 6) + 0.0 as l_l_tax, nullif(count(l_quantity), 0) as l_QC_Object_Count
+from orders o left join lineitem l on l_orderkey = o_orderkey and l_orderkey <> 0 group by 1""")
+def child_rollup(spark, sf_dir):
+    out = aggregate.child_rollup(orders(spark, sf_dir).select("o_orderkey"), line_items(spark, sf_dir), ["o_orderkey"], ["l_orderkey"], ["l_quantity", "l_tax"], "l")
+    return out.select("o_orderkey", *_r(["l_l_quantity", "l_l_tax"]), "l_QC_Object_Count")
+
+
+# --- lookups and structure --------------------------------------------------------------------------------------------
+@query("""select o_orderkey::varchar as object_id, c_mktsegment, o_orderstatus, round(o_totalprice::double, 6) + 0.0 as price from orders join customer on o_custkey = c_custkey""")
+def get_data_by_object(spark, sf_dir):
+    out = resolve.get_data_by_object(_order_dataset(spark, sf_dir), ["c_mktsegment", "o_orderstatus", "price"], "raw")
+    return out.withColumn("price", rounded("price"))
+
+
+@query("select o_orderkey::varchar as object_id, c_nationkey, round(c_acctbal::double, 6) + 0.0 as balance from orders join customer on o_custkey = c_custkey")
+def image_lookup(spark, sf_dir):
+    out = resolve.get_image_data_by_object(_order_dataset(spark, sf_dir), ["c_nationkey", "balance"])
+    return out.withColumn("balance", rounded("balance"))
+
+
+@query("select c_custkey::varchar as image_id, c_mktsegment, round(c_acctbal::double, 6) + 0.0 as balance from customer where c_custkey in (select o_custkey from orders)")
+def image_data(spark, sf_dir):
+    return resolve.get_image_data(_order_dataset(spark, sf_dir), ["c_mktsegment", "balance"]).withColumn("balance", rounded("balance"))
+
+
+@query("select o_orderkey::varchar as object_id, round(o_totalprice::double, 6) + 0.0 as price, round(sqrt(o_totalprice::double), 6) + 0.0 as root from orders")
+def add_features(spark, sf_dir):
+    d = _order_dataset(spark, sf_dir)
+    new = d.assay().data.select("object_id", F.sqrt("price").alias("root"))
+    return resolve.add_features_to_assay(d.assay(), new).data.select("object_id", *_r(["price", "root"]))
+
+
+@query("""select 'object in an unknown image' as violation, k as key from (select distinct l_orderkey::varchar as k from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderstatus <> 'F'))
+union all select 'image without objects', o_orderkey::varchar from orders where o_orderstatus <> 'F' and o_orderkey not in (select l_orderkey from lineitem)""")
+def validate_fk_anti(spark, sf_dir):
+    rows = line_items(spark, sf_dir).select(F.col("l_orderkey").cast("string").alias("image_id"))
+    images = orders(spark, sf_dir).filter("o_orderstatus <> 'F'").select(F.col("object_id").alias("image_id"))
+    lost = validate.orphans(rows, images, "image_id").select(F.lit("object in an unknown image").alias("violation"), F.col("image_id").alias("key"))
+    return lost.union(validate.orphans(images, rows, "image_id").select(F.lit("image without objects"), "image_id"))
+
+
+@query("select 'none' as violation, 0 as n where false")
+def validate_dataset(spark, sf_dir):
+    return validate.violations(_order_dataset(spark, sf_dir)).groupBy("violation").agg(F.count(F.lit(1)).cast("int").alias("n"))
+
+
+@query("""select l_orderkey as "ImageNumber", l_linenumber as "cell_ObjectNumber", 'FS3_I' || l_orderkey as "ImageNumber_Global", 'FS3_I' || l_orderkey || '_O' || l_linenumber as "cell_ObjectNumber_Global" from lineitem""")
+def global_ids(spark, sf_dir):
+    rows = line_items(spark, sf_dir).select(F.col("l_orderkey").alias("ImageNumber"), F.col("l_linenumber").alias("cell_ObjectNumber"))
+    return cellprofiler.add_global_ids(rows, 3)
+
+
+@query("""with p as (select p_partkey, replace(p_name || ' ' || p_brand, ' ', '_') as id from part), s as (select *, string_split(id, '_') as t from p)
+select p_partkey, id, t[1] as object, array_to_string(t[2:], '_') as measurement, t[2] as category, array_to_string(t[3:], '_') as name from s""")
+def feature_meta_parse(spark, sf_dir):
+    rows = read(spark, sf_dir, "part").select("p_partkey", F.replace(F.concat_ws(" ", "p_name", "p_brand"), F.lit(" "), F.lit("_")).alias("id"))
+    return rows.join(resolve.feature_meta_from_names(rows.select("id").distinct()), "id").select("p_partkey", "id", "object", "measurement", "category", "name")
+
+
+@query("select o_orderkey, o_totalprice::double as price, o_orderstatus from orders where o_orderstatus <> 'P'")
+def merge_union(spark, sf_dir):
+    parts = []
+    for status in ("F", "O", "P"):
+        rows = orders(spark, sf_dir).filter(F.col("o_orderstatus") == status).select("o_orderkey", "price", "o_orderstatus")
+        parts.append({"cells": rows.drop("price") if status == "P" else rows, "meta": rows.select("o_orderkey")})
+    return cellprofiler.merge_filesets(parts, skip_orl=True)["cells"]
+
+
+@query("select p_partkey as nearest from part order by abs(p_retailprice::double - 1000), p_partkey limit 1")
+def nearest_index(spark, sf_dir):
+    return resolve.nearest_index(read(spark, sf_dir, "part"), 1000, "p_retailprice", "p_partkey")
+
+
+# --- representatives and neighbours -----------------------------------------------------------------------------------
+def _representative_sql(goal: str) -> str:
+    return f"""with g as (select {goal} as goal from orders), r as (select o_orderkey, o_totalprice::double as value, row_number() over (order by o_totalprice, o_orderkey) as k from orders),
+c as (select k from r, g order by abs(value - goal), value, o_orderkey limit 1)
+select o_orderkey, round(value, 6) + 0.0 as value, (r.k - c.k)::int as "offset" from r, c where abs(r.k - c.k) <= 2"""
+
+
+for _metric, _goal in (("mean", "avg(o_totalprice::double)"), ("median", "median(o_totalprice::double)"), ("upper.q", "quantile_cont(o_totalprice::double, 0.75)"), ("lower.q", "quantile_cont(o_totalprice::double, 0.25)")):
+    _n = f"representative_{_metric.replace('.', '_')}"
+    ORACLES[_n] = _representative_sql(_goal)
+    QUERIES[_n] = lambda spark, sf_dir, m=_metric: representatives.fetch_representative_object(orders(spark, sf_dir), "price", m, 2, key="o_orderkey").withColumn("value", rounded("value"))
+
+
+@query(
+    " union all ".join(
+        f"""select * from (with g as (select quantile_cont(o_totalprice::double, {q}) as goal from orders)
+select 'q{round(100 * q)} - price' as label, o_orderkey, round(o_totalprice::double, 6) + 0.0 as value from orders, g order by abs(o_totalprice::double - goal), o_totalprice, o_orderkey limit 1)"""
+        for q in representatives.QUANTILES
+    )
+)
+def representative_quantiles(spark, sf_dir):
+    out = representatives.fetch_representative_object_quantiles(orders(spark, sf_dir), "price", 0, "price", "o_orderkey")
+    return out.select("label", "o_orderkey", rounded("value").alias("value"))
+
+
+_DIST = " + ".join("(v.{d} - c.{d}) ** 2".format(d=d) for d in DIMS)
+
+
+@query(f"""with {VECTORS_SQL}, c as (select label, {', '.join(f'avg({d}) as {d}' for d in DIMS)} from vectors group by 1),
+d as (select v.label, v.object_id, sqrt({_DIST}) as dist from vectors v join c using (label))
+select label, object_id, round(dist, 6) + 0.0 as dist, 1 as rank from d qualify row_number() over (partition by label order by dist, object_id) = 1""")
+def representative_nn(spark, sf_dir):
+    return representatives.fetch_representative_object_nn(vectors(spark, sf_dir), "label", DIMS).withColumn("dist", rounded("dist"))
+
+
+@query(f"""with {VECTORS_SQL}, d as (select v.object_id as src, c.object_id as dst, sqrt({_DIST}) as dist from vectors v, vectors c)
+select src, dst, round(dist, 5) + 0.0 as dist from d where src <> dst qualify row_number() over (partition by src order by dist, dst) <= 5""")
+def knn_exact(spark, sf_dir):
+    found = neighbors.knn(vectors(spark, sf_dir), DIMS, 6).filter("src <> dst")
+    return found.select("src", "dst", rounded("dist", 5).alias("dist"))
+
+
+@query()
+def knn_approximate(spark, sf_dir):
+    return neighbors.annoy_nn(vectors(spark, sf_dir), DIMS, 6)
+
+
+_A, _B = "(o_orderkey % 97)::double", "(o_totalprice::bigint % 89)::double"
+
+
+@query(f"""with p as (select o_orderkey as id, o_orderpriority as plate, {_A} as x, {_B} as y, o_orderkey % 2 as side from orders),
+m as (select a.id as a_id, b.id as b_id, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) as dist from p a join p b on a.plate = b.plate where a.side = 0 and b.side = 1 and sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 2),
+f as (select * from m qualify row_number() over (partition by a_id order by dist, b_id) = 1)
+select p.id as a_id, f.b_id, round(f.dist, 6) + 0.0 as dist from p left join f on p.id = f.a_id where p.side = 0""")
+def nn_tolerance_join(spark, sf_dir):
+    rows = orders(spark, sf_dir).select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("plate"), (F.col("o_orderkey") % 97).cast("double").alias("x"), (F.rint("price").cast("bigint") % 89).cast("double").alias("y"))
+    a, b = rows.filter("id % 2 = 0").withColumnRenamed("id", "a_id"), rows.filter("id % 2 = 1").withColumnRenamed("id", "b_id")
+    return neighbors.nearest_within(a, b, 2.0, ["plate"]).select("a_id", "b_id", rounded("dist").alias("dist"))
+
+
+# --- statistics -------------------------------------------------------------------------------------------------------
+_LONG = " union all ".join(f"select label as class, '{d}' as feature, {d} as v from vectors" for d in DIMS)
+_WELCH = f"""with {VECTORS_SQL}, l as ({_LONG}), k as (select distinct class from l),
+s as (select k.class, feature, avg(v) filter (l.class = k.class) m, var_samp(v) filter (l.class = k.class) s, count(v) filter (l.class = k.class) n,
+  avg(v) filter (l.class <> k.class {{ref}}) rm, var_samp(v) filter (l.class <> k.class {{ref}}) rs, count(v) filter (l.class <> k.class {{ref}}) rn from l, k group by 1, 2),
+t as (select class, feature, (m - rm) / sqrt(s / n + rs / rn) as t_stat, (s / n + rs / rn) ** 2 / ((s / n) ** 2 / (n - 1) + (rs / rn) ** 2 / (rn - 1)) as df, m - rm as mean_diff from s)
+"""
+_MARKER = ["class", "feature", "t_stat", "df", "mean_diff"]
+_MARKER_SQL = "class, feature, round(t_stat, 5) + 0.0 as t_stat, round(df, 4) + 0.0 as df, round(mean_diff, 6) + 0.0 as mean_diff"
+
+
+def _markers(df: DataFrame) -> DataFrame:
+    return df.select("class", "feature", rounded("t_stat", 5).alias("t_stat"), rounded("df", 4).alias("df"), rounded("mean_diff").alias("mean_diff"))
+
+
+@query(_WELCH.format(ref="") + f"select {_MARKER_SQL} from t")
+def markers_tstat(spark, sf_dir):
+    return _markers(stats.find_markers(vectors(spark, sf_dir), "label", DIMS, None, p_values=False))
+
+
+@query(_WELCH.format(ref="") + f"select {_MARKER_SQL} from t qualify row_number() over (partition by class order by t_stat desc, feature) <= 3")
+def markers_topk(spark, sf_dir):
+    return _markers(stats.find_markers(vectors(spark, sf_dir), "label", DIMS, 3, p_values=False))
+
+
+@query(_WELCH.format(ref="and l.class = '0'") + f"select {_MARKER_SQL} from t where class <> '0'")
+def markers_reference(spark, sf_dir):
+    return _markers(stats.find_markers(vectors(spark, sf_dir), "label", DIMS, None, ["0"], p_values=False))
+
+
+@query()
+def markers_pvalues(spark, sf_dir):
+    return stats.find_markers(vectors(spark, sf_dir), "label", DIMS, 3)
+
+
+@query("""with p as (select event_id, abs(sin(event_id * 12.9898)) as p from events where event_id < 2000), n as (select count(*)::double as n from p),
+r as (select *, row_number() over (order by p, event_id) as k from p), q as (select event_id, least(1.0, min(p * n / k) over (order by k desc rows between unbounded preceding and current row)) as padj from r, n)
+select event_id, round(padj, 6) + 0.0 as padj from q""")
+def bh_fdr(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").filter("event_id < 2000").select("event_id", F.abs(F.sin(F.col("event_id") * 12.9898)).alias("p"))
+    return stats.p_adjust(rows, "p").select("event_id", rounded("padj").alias("padj"))
+
+
+@query("select l_returnflag, round(corr(l_quantity::double, l_extendedprice::double), 6) + 0.0 as r, count(*) as n from lineitem group by 1")
+def cor_xy(spark, sf_dir):
+    return plotdata.plot_xy(line_items(spark, sf_dir), "l_quantity", "l_extendedprice", ["l_returnflag"], False).select("l_returnflag", rounded("r").alias("r"), "n")
+
+
+@query(f"""with s as (select o_orderpriority, avg(o_totalprice) m, stddev_samp(o_totalprice) s from orders group by 1), x as (select o_orderpriority, o_totalprice::double as x, m, s from orders join s using (o_orderpriority))
+select o_orderpriority, round({_MOMENTS.format(k=3)}, 6) + 0.0 as skew, round({_MOMENTS.format(k=4)}, 6) + 0.0 as kurt from x group by 1""")
+def moments(spark, sf_dir):
+    return orders(spark, sf_dir).groupBy("o_orderpriority").agg(rounded(X.skewness("price")).alias("skew"), rounded(X.kurtosis("price")).alias("kurt"))
+
+
+@query("select event_type, round(exp(sum(case when value > 0 then ln(value) else 0 end) / count(*)), 6) + 0.0 as gm from events group by 1")
+def geometric_mean(spark, sf_dir):
+    return read(spark, sf_dir, "events").groupBy("event_type").agg(rounded(X.geometric_mean("value")).alias("gm"))
+
+
+@query()
+def effective_dimensions(spark, sf_dir):
+    rows = vectors(spark, sf_dir)
+    return spark.createDataFrame([(m, stats.effective_dimensionality(rows, DIMS, m)) for m in ("LiJi", "pc_var", "Cheverud", "Galwey")], "method string, value double")
+
+
+# --- regression -------------------------------------------------------------------------------------------------------
+_OLS = "regr_slope(l_extendedprice::double, l_quantity::double) as b, regr_intercept(l_extendedprice::double, l_quantity::double) as a, regr_r2(l_extendedprice::double, l_quantity::double) as r2"
+
+
+@query(f"select 'l_extendedprice' as feature, t as term, round(c, 4) + 0.0 as coef from (select {_OLS} from lineitem), lateral (select unnest(['(Intercept)', 'l_quantity']) as t, unnest([a, b]) as c)")
+def ols_coef(spark, sf_dir):
+    rows = line_items(spark, sf_dir)
+    fit = linmodel.lm_matrix(rows, ["l_extendedprice"], linmodel.model_matrix(rows, "~ l_quantity"))
+    return linmodel.fit_table(spark, fit).select("feature", "term", rounded("coef", 4).alias("coef"))
+
+
+@query(f"select l_returnflag as \"group\", round(r2, 6) + 0.0 as r2 from (select l_returnflag, {_OLS} from lineitem group by 1)")
+def ols_grouped_r2(spark, sf_dir):
+    rows = line_items(spark, sf_dir)
+    fits = linmodel.lm_matrix(rows, ["l_extendedprice"], linmodel.model_matrix(rows, "~ l_quantity"), group="l_returnflag")
+    return linmodel.model_table(spark, fits).select("group", rounded("r2").alias("r2"))
+
+
+@query(f"select l_orderkey, l_linenumber, round(l_extendedprice - a - b * l_quantity, 3) + 0.0 as l_extendedprice from lineitem, (select {_OLS} from lineitem)")
+def lm_residuals_1cov(spark, sf_dir):
+    rows = line_items(spark, sf_dir)
+    design = linmodel.model_matrix(rows, "~ l_quantity")
+    out = linmodel.residuals(rows, design, linmodel.lm_matrix(rows, ["l_extendedprice"], design), keep=_KEYS)
+    return out.withColumn("l_extendedprice", rounded("l_extendedprice", 3))
+
+
+@query("select l_orderkey, l_linenumber, round(l_quantity - m, 5) + 0.0 as l_quantity from lineitem join (select l_returnflag, avg(l_quantity::double) as m from lineitem group by 1) using (l_returnflag)")
+def lm_residuals_factor(spark, sf_dir):
+    """A factor with treatment contrasts: residuals are deviations from its levels' means."""
+    rows = line_items(spark, sf_dir)
+    design = linmodel.model_matrix(rows, "~ l_returnflag")
+    return linmodel.residuals(rows, design, linmodel.lm_matrix(rows, ["l_quantity"], design), keep=_KEYS).withColumn("l_quantity", rounded("l_quantity", 5))
+
+
+def _vector_dataset(spark: SparkSession, sf_dir: str) -> Dataset:
+    rows = vectors(spark, sf_dir).withColumn("object_id", F.col("object_id").cast("string"))
+    objects = rows.select("object_id", F.col("label").alias("image_id"), "label")
+    d = Dataset(objects, objects.select("image_id").distinct(), {"raw": assay_from_matrix(rows.drop("label"))}, active_assay="raw")
+    return transform.scale_dataset(d, "raw")
+
+
+@query(f"""with {VECTORS_SQL}, m as (select avg(e1) m1, avg(e2) m2, regr_slope(e1, e0) b1, regr_intercept(e1, e0) a1, regr_slope(e2, e0) b2, regr_intercept(e2, e0) a2 from vectors)
+select object_id::varchar as object_id, round(e1 - a1 - b1 * e0, 6) + 0.0 as e1, round(e2 - a2 - b2 * e0, 6) + 0.0 as e2 from vectors, m""")
+def correct_lm(spark, sf_dir):
+    out = linmodel.correct_lm(_vector_dataset(spark, sf_dir), "raw", ["e0"])
+    return out.assays["raw.lm.corrected"].data.select("object_id", *_r(["e1", "e2"]))
+
+
+@query(f"""with {VECTORS_SQL}, m as (select regr_slope(e2, e0) b2, regr_intercept(e2, e0) a2, regr_slope(e3, e1) b3, regr_intercept(e3, e1) a3 from vectors)
+select object_id::varchar as object_id, round(e2 - a2 - b2 * e0, 6) + 0.0 as e2, round(e3 - a3 - b3 * e1, 6) + 0.0 as e3, null::double as e4 from vectors, m""")
+def correct_lm_per_featuregroup(spark, sf_dir):
+    out = linmodel.correct_lm_per_featuregroup(_vector_dataset(spark, sf_dir), "raw", {"^e2$": ["e0"], "^e3$": ["e1"]})
+    return out.assays["raw.lm.corrected"].data.select("object_id", *_r(["e2", "e3"]), F.col("e4"))
+
+
+@query()
+def lmm_random_intercept(spark, sf_dir):
+    return lmm.lmm_matrix(vectors(spark, sf_dir), ["e1", "e2"], "~ e0 + (1|label)", "~ 1 + (1|label)")
+
+
+# --- reductions, outliers, clusters -----------------------------------------------------------------------------------
+@query()
+def pca_var(spark, sf_dir):
+    r = reduce.calculate_pca(_vector_dataset(spark, sf_dir)).reductions["PCA.raw"]
+    return spark.createDataFrame([(n, v, r.var_total) for n, v in zip(r.dims, r.var)], "component string, var double, total double")
+
+
+@query()
+def pca_scores(spark, sf_dir):
+    return reduce.calculate_pca(_vector_dataset(spark, sf_dir), pc_n=3).reductions["PCA.raw"].scores
+
+
+@query()
+def outliers_mahalanobis(spark, sf_dir):
+    return reduce.find_outliers_pca(vectors(spark, sf_dir), DIMS, "label")
+
+
+@query()
+def outliers_mod_z(spark, sf_dir):
+    return reduce.find_outliers_pca(vectors(spark, sf_dir), DIMS, "label", method="mod.z")
+
+
+@query()
+def clusters_louvain(spark, sf_dir):
+    d = reduce.calculate_pca(_vector_dataset(spark, sf_dir), pc_n=5)
+    return cluster.calculate_clustering(d, "PCA.raw", k=10, resolution=[0.1, 1.0], exact_nn=True).objects
+
+
+@query()
+def clusters_leiden(spark, sf_dir):
+    d = reduce.calculate_pca(_vector_dataset(spark, sf_dir), pc_n=5)
+    return cluster.calculate_clustering(d, "PCA.raw", k=10, method="leiden", resolution=0.05, exact_nn=True).objects
+
+
+@query()
+def umap_layout(spark, sf_dir):
+    d = reduce.calculate_pca(_vector_dataset(spark, sf_dir), pc_n=5)
+    return umap.calculate_umap(d, pc_n=5, epochs=60).reductions["UMAP.PCA.raw"].scores
+
+
+# --- tables behind plots ----------------------------------------------------------------------------------------------
+@query("""with p as (select l_quantity::double / 5.0 as u, l_tax::double * 100 / (5.0 * sqrt(3)) as v from lineitem),
+r as (select *, round_even(u, 0) as r1, round_even(v, 0) as s1, floor(u) + 0.5 as r2, floor(v) + 0.5 as s2 from p),
+h as (select case when (u - r1) ** 2 + 3 * (v - s1) ** 2 <= (u - r2) ** 2 + 3 * (v - s2) ** 2 then [r1, s1] else [r2, s2] end as c from r)
+select round(c[1] * 5.0, 6) + 0.0 as hx, round(c[2] * 5.0 * sqrt(3), 6) + 0.0 as hy, count(*) as n from h group by 1, 2""")
+def hexbin(spark, sf_dir):
+    rows = line_items(spark, sf_dir).select(F.col("l_quantity").alias("x"), (F.col("l_tax") * 100).alias("y"))
+    return plotdata.hex_counts(rows, "x", "y", 5).select(rounded("hx").alias("hx"), rounded("hy").alias("hy"), "n")
+
+
+@query("""with e as (select min(value) lo, max(value) hi from events), b as (select event_type as "group", least(floor((value - lo) / ((hi - lo) / 30)), 29)::int as bin from events, e)
+select "group", bin, count(*) as n from b group by 1, 2""")
+def histogram(spark, sf_dir):
+    return plotdata.histogram(read(spark, sf_dir, "events"), "value", 30, "event_type").select("group", "bin", "n")
+
+
+@query("""with q as (select o_orderpriority as "group", quantile_cont(o_totalprice::double, 0.25) q1, median(o_totalprice::double) median, quantile_cont(o_totalprice::double, 0.75) q3, count(*) as n from orders group by 1)
+select "group", n, round(min(o_totalprice::double), 3) + 0.0 as lower, round(q1, 3) + 0.0 as q1, round(median, 3) + 0.0 as median, round(q3, 3) + 0.0 as q3, round(max(o_totalprice::double), 3) + 0.0 as upper
+from q join orders on "group" = o_orderpriority where o_totalprice between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1) group by "group", n, q1, median, q3""")
+def boxplot_stats(spark, sf_dir):
+    return plotdata.boxplot_stats(orders(spark, sf_dir), "price", "o_orderpriority").select("group", "n", *_r(["lower", "q1", "median", "q3", "upper"], 3))
+
+
+@query(f"with {VECTORS_SQL} select label, round(avg(e0), 6) + 0.0 as x, round(avg(e1), 6) + 0.0 as y from vectors group by 1")
+def ident_labels(spark, sf_dir):
+    return plotdata.make_ident_labels(vectors(spark, sf_dir), "e0", "e1", "label").select("label", *_r(["x", "y"]))
+
+
+@query("""with t as (select avg(l_quantity::double) a, avg(l_tax::double) b, avg(l_discount::double) c from lineitem), u as (select unnest(['quantity', 'tax', 'discount']) as module, unnest([a, b, c]) as v from t)
+select module, round(100 * v / sum(v) over (), 6) + 0.0 as value from u""")
+def exec_time_rank(spark, sf_dir):
+    rows = line_items(spark, sf_dir).select(*(F.col(f"l_{c}").alias(f"ExecutionTime_{c}") for c in ("quantity", "tax", "discount")))
+    return plotdata.execution_time(rows, percent=True).withColumn("value", rounded("value"))
+
+
+@query("select event_type, round(avg(value), 6) + 0.0 as mean, round(stddev_samp(value), 6) + 0.0 as sd from events group by 1")
+def mean_sd(spark, sf_dir):
+    return plotdata.mean_sd(read(spark, sf_dir, "events"), "value", ["event_type"]).select("event_type", *_r(["mean", "sd"]))
+
+
+@query("select o_orderkey, [round(1.0, 6), round(128 / 255.0, 6), round((o_orderkey % 256) / 255.0, 6)] as rgb from orders")
+def hex_to_rgb(spark, sf_dir):
+    rows = orders(spark, sf_dir).select("o_orderkey", F.concat(F.lit("#ff80"), F.lpad(F.hex(F.col("o_orderkey") % 256), 2, "0")).alias("code"))
+    return rows.select("o_orderkey", F.transform(X.hex_to_rgb("code"), lambda v: F.round(v, 6)).alias("rgb"))
+
+
+@query(f"""with {VECTORS_SQL} select object_id::varchar as object_id, round(e0, 6) + 0.0 as x, round(e1, 6) + 0.0 as y, label as ident from vectors""")
+def dimplot(spark, sf_dir):
+    d = _vector_dataset(spark, sf_dir)
+    d = replace(d, reductions={"r": Reduction(d.assay().data.select("object_id", "e0", "e1"), [])})
+    points, _ = plotdata.dimplot(d.reductions["r"].scores, d.objects, ("e0", "e1"), "label")
+    return points.select("object_id", *_r(["x", "y"]), "ident")
