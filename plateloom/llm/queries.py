@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plateloom.llm import decontam, language_id, license_scan, line_dedup, lm, packing, simhash, topk, warc
+from plateloom.llm import decontam, language_id, license_scan, line_dedup, lm, packing, simhash, suffix_dedup, topk, warc
 from plateloom.llm.common import table
 
 
@@ -38,6 +38,12 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.dedup_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    gone = F.aggregate("spans", F.lit(0).cast("bigint"), lambda acc, s: acc + s["stop"] - s["start"])
+    return found.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.drop("detections")
@@ -64,6 +70,7 @@ QUERIES = {
     "op4_exact_topk": op4_exact_topk,
     "op5_warc": op5_warc,
     "op6_lm_scoring": op6_lm_scoring,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_license_scan": op8_license_scan,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
