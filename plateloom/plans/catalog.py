@@ -302,7 +302,7 @@ for _method, _sql in (("mean", "avg"), ("median", "median"), ("sum", "sum")):
   string_agg(distinct o_orderpriority, '; ' order by o_orderpriority) as o_orderpriority from orders group by 1""")
 def aggregate_metadata(spark, sf_dir):
     rows = orders(spark, sf_dir).select("o_custkey", "price", "o_orderstatus", "o_orderpriority")
-    return aggregate.aggregate_metadata(rows, "o_custkey", factors=("o_orderpriority",)).withColumn("price", rounded("price", 7))
+    return aggregate.aggregate_metadata(rows, "o_custkey", factors=("o_orderpriority",), drop_na_col=False).withColumn("price", rounded("price", 7))
 
 
 @query("""select c_mktsegment as object_id, round(avg(o_totalprice::double), 3) + 0.0 as price from orders o join customer c on o_custkey = c_custkey group by 1""")
