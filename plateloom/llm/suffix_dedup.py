@@ -22,8 +22,8 @@ from plateloom.llm.lm import pack_arrays, unpack_arrays
 
 LENGTH = 50
 GRAM = 16
-#: Text of a part of the documents, of which a task holds one, and of a shard's contexts, about; work at once.
-PART_BYTES, SHARD_BYTES, WORK_BYTES = 12 << 20, 12 << 20, 2 << 20
+#: Of how much text a part holds the documents and a shard the contexts, about; work at once.
+PART_BYTES, SHARD_BYTES, WORK_BYTES = 12 << 20, 4 << 20, 2 << 20
 LEAST_PARTS = 16
 _POSITION = np.uint64((1 << 24) - 1)
 
@@ -38,7 +38,7 @@ def rank_doubling(s: np.ndarray, depth: int | None = None) -> np.ndarray:
         after = np.zeros(n, np.int64)
         after[: n - h] = rank[h:] + 1 if h < n else 0
         key = rank * (n + 1) + after
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
         rank[order] = np.cumsum(np.r_[0, ordered[1:] != ordered[:-1]])
         h *= 2
@@ -179,30 +179,32 @@ def suffix_array(s: np.ndarray, sigma: int | None = None, depth: int | None = No
     return induce(s, types, types.lms[order], sigma)
 
 
-def permuted_common_prefixes(data: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
-    """In order of the text, the bytes, up to ``most``, that a suffix shares with the one before it in the array."""
+def permuted_common_prefixes(data: np.ndarray, sa: np.ndarray, most: int, exact: bool = True) -> np.ndarray:
+    """In order of the text, the bytes, up to ``most``, that a suffix shares with the one before it in the array.
+
+    Eight bytes are compared at a time. Without ``exact`` a prefix of fewer than ``most`` bytes may be given as shorter.
+    """
     n = len(data)
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
-    out = np.zeros(n, np.int64)
+    out = np.zeros(n, np.int32)
     live = np.flatnonzero(before >= 0)
-    padded = np.r_[data, np.zeros(8, np.uint8)]
-    words = np.ndarray((n + 1,), np.uint64, padded, strides=(1,))
+    words = np.ndarray((n + 1,), np.uint64, np.r_[data, np.zeros(8, np.uint8)], strides=(1,))
     k = 0
     while k < most and len(live):
-        a, b = live + k, before[live] + k
-        inside = np.maximum(a, b) + 8 <= n
-        equal = np.zeros(len(live), bool)
-        equal[inside] = words[a[inside]] == words[b[inside]]
-        # the rest ends within these eight bytes
-        rest, ra, rb = live[~equal], a[~equal], b[~equal]
-        for j in range(8):
-            ok = (ra < n) & (rb < n)
-            ok[ok] = padded[ra[ok]] == padded[rb[ok]]
-            rest, ra, rb = rest[ok], ra[ok] + 1, rb[ok] + 1
-            out[rest] = k + j + 1
-            if not len(rest):
-                break
+        # the last step may go over bytes again
+        at = min(k, most - 8) if most >= 8 and not exact else k
+        a, b = live + at, before[live] + at
+        equal = np.maximum(a, b) + 8 <= n
+        equal[equal] = words[a[equal]] == words[b[equal]]
+        if exact:
+            # the rest ends within these eight bytes
+            rest, ra, rb = live[~equal], a[~equal], b[~equal]
+            for j in range(8):
+                ok = (ra < n) & (rb < n)
+                ok[ok] = data[ra[ok]] == data[rb[ok]]
+                rest, ra, rb = rest[ok], ra[ok] + 1, rb[ok] + 1
+                out[rest] = k + j + 1
         live = live[equal]
         k += 8
         out[live] = k
@@ -348,14 +350,14 @@ def _anchors(parts: int, shards: int):
             # (part, anchor, document) without repeats, then (part, anchor)
             part = own[doc.astype(np.int64)].astype(np.uint64) if len(doc) else doc
             key = (part << np.uint64(40)) | anchor
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             key, doc = key[order], doc[order]
             new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
             several = np.maximum.reduceat(doc, new) != np.minimum.reduceat(doc, new) if len(key) else np.zeros(0, bool)
             key = key[new]
             part, anchor = (key >> np.uint64(40)).astype(np.int64), key & np.uint64((1 << 40) - 1)
             group = part * shards + _shard_of(anchor, shards)
-            order = np.argsort(group, kind="stable")
+            order = np.argsort(group.astype(np.uint16) if parts * shards < 1 << 16 else group, kind="stable")
             group, anchor, several = group[order], anchor[order], several[order]
             starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
             stops = np.r_[starts[1:], len(group)]
@@ -401,6 +403,7 @@ class Contexts(NamedTuple):
     data: np.ndarray
     sizes: np.ndarray
     least: np.ndarray  # the smallest doc_id with this context
+    anchor: np.ndarray
     shard: np.ndarray
 
 
@@ -435,11 +438,11 @@ def _contexts(texts: Texts, known: np.ndarray, shards: int) -> Contexts:
     n = len(different)
     least = np.full(n, np.iinfo(np.int64).max)
     np.minimum.at(least, code, texts.ids[doc])
-    shard = np.zeros(n, np.int64)
-    shard[code] = _shard_of(anchor.astype(np.uint64), shards)
+    own = np.zeros(n, np.uint64)
+    own[code] = anchor.astype(np.uint64)
     offsets = np.frombuffer(different.buffers()[1], np.int64)[: n + 1] if n else np.zeros(1, np.int64)
     data = np.frombuffer(different.buffers()[2], np.uint8)[: offsets[-1]] if n else np.zeros(0, np.uint8)
-    return Contexts(first, doc, code, data, np.diff(offsets), least, shard)
+    return Contexts(first, doc, code, data, np.diff(offsets), least, own, _shard_of(own, shards))
 
 
 def _known(table: pa.Table) -> np.ndarray:
@@ -461,7 +464,7 @@ def _send(shards: int):
                 rows = np.flatnonzero(c.shard == s)
                 out["shard"].append(s)
                 out["part"].append(part)
-                out["payload"].append(_packed([_gather(c.data, begins[rows], c.sizes[rows]), c.sizes[rows].astype(np.int32), c.least[rows]]))
+                out["payload"].append(_packed([_gather(c.data, begins[rows], c.sizes[rows]), c.sizes[rows].astype(np.uint32), c.least[rows], c.anchor[rows]]))
         return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
 
     return run
@@ -476,10 +479,12 @@ def earlier_strings(data: np.ndarray, sizes: np.ndarray, least: np.ndarray) -> n
     of = np.repeat(np.arange(n), sizes)
     symbols[np.arange(len(data)) + of] = data.astype(np.uint16) + 1
     used = np.unique(symbols)
-    small = np.searchsorted(used, symbols).astype(np.int64)
+    small_of = np.zeros(257, np.uint16)
+    small_of[used] = np.arange(len(used))
+    small = small_of[symbols]
     sa = suffix_array(small, len(used), LENGTH)
     # prefixes are compared by byte; a separator can't be within a string that counts
-    prefixes = permuted_common_prefixes((np.maximum(symbols, 1) - 1).astype(np.uint8), sa, LENGTH)
+    prefixes = permuted_common_prefixes((np.maximum(symbols, 1) - 1).astype(np.uint8), sa, LENGTH, exact=False)
     counts = sizes - LENGTH + 1
     starts = np.arange(counts.sum()) + np.repeat(begins - np.r_[0, np.cumsum(counts)[:-1]], counts) if n else np.zeros(0, np.int64)
     number = np.full(len(symbols), -1, np.int64)
@@ -508,9 +513,18 @@ def _compare(table: pa.Table) -> pa.Table:
     offsets = np.frombuffer(different.buffers()[1], np.int64)[: len(different) + 1]
     own = np.full(len(different), np.iinfo(np.int64).max)
     np.minimum.at(own, code, least)
-    found = earlier_strings(np.frombuffer(different.buffers()[2], np.uint8)[: offsets[-1]], np.diff(offsets), own)
-    counts = np.diff(offsets) - LENGTH + 1
+    anchor = np.zeros(len(different), np.uint64)
+    anchor[code] = np.concatenate([b[3] for b in lists])
+    sizes = np.diff(offsets)
+    counts = sizes - LENGTH + 1
     begins = np.r_[0, np.cumsum(counts)[:-1]]
+    # all strings of a context have its anchor: where no other context has it, no other has the strings
+    found = np.repeat(own, counts)
+    _, of, alike = np.unique(anchor, return_inverse=True, return_counts=True)
+    rows = np.flatnonzero(alike[of] > 1)
+    if len(rows):
+        data = _gather(np.frombuffer(different.buffers()[2], np.uint8), offsets[:-1][rows], sizes[rows])
+        found[_gather(np.arange(len(found)), begins[rows], counts[rows])] = earlier_strings(data, sizes[rows], own[rows])
     payloads, k = [], 0
     for b in lists:
         rows = code[k : k + len(b[1])]
@@ -586,7 +600,8 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
     parts = max(LEAST_PARTS, -(-size // PART_BYTES))
     shards = max(LEAST_PARTS, -(-size // SHARD_BYTES))
     dealt = own.mapInArrow(_deal(parts), "part int, kind int, payload binary").groupBy("part")
-    repeated = own.mapInArrow(_anchors(parts, shards), "shard int, part int, payload binary").groupBy("shard").applyInArrow(_repeated, "part int, kind int, payload binary")
+    anchor_shards = max(LEAST_PARTS, parts // 2)
+    repeated = own.mapInArrow(_anchors(parts, anchor_shards), "shard int, part int, payload binary").groupBy("shard").applyInArrow(_repeated, "part int, kind int, payload binary")
     repeated = stage(repeated, "suffix-anchors")
     sent = dealt.cogroup(repeated.groupBy("part")).applyInArrow(_send(shards), "shard int, part int, payload binary")
     answers = sent.groupBy("shard").applyInArrow(_compare, "part int, kind int, payload binary")
