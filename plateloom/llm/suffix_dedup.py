@@ -23,7 +23,7 @@ from plateloom.llm.lm import pack_arrays, unpack_arrays
 LENGTH = 50
 GRAM = 16
 #: Of how much text a part holds the documents and a shard the contexts, about; work at once.
-PART_BYTES, SHARD_BYTES, WORK_BYTES = 12 << 20, 4 << 20, 2 << 20
+PART_BYTES, SHARD_BYTES, WORK_BYTES = 8 << 20, 4 << 20, 1 << 20
 LEAST_PARTS = 16
 _POSITION = np.uint64((1 << 24) - 1)
 
@@ -252,6 +252,8 @@ def anchor_runs(data: np.ndarray, ends: np.ndarray) -> Runs:
 
 def _gather(data: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Pieces of ``data`` behind each other."""
+    if len(first) * 256 < int(sizes.sum()):
+        return np.concatenate([data[a : a + n] for a, n in zip(first.tolist(), sizes.tolist())])
     offsets = np.r_[0, np.cumsum(sizes)]
     return data[np.arange(offsets[-1]) + np.repeat(first - offsets[:-1], sizes)]
 
@@ -546,7 +548,7 @@ def _remove(shards: int):
         if not left.num_rows:
             return pa.table({"doc_id": pa.array([], pa.int64()), "n_bytes": pa.array([], pa.int64()), "kept": pa.array([], pa.binary()), "spans": pa.array([], _SPANS)})
         texts = _part_texts(left)
-        cover = np.zeros(len(texts.data) + 1, np.int32)
+        begun = np.zeros(len(texts.data) + LENGTH, np.int32)  # 1 where a string begins that goes
         if right.num_rows:
             c = _contexts(texts, _known(right), shards)
             counts = c.sizes - LENGTH + 1
@@ -564,9 +566,10 @@ def _remove(shards: int):
                 # within the part only the document of smallest id keeps a context
                 gone |= np.repeat(texts.ids[doc] > c.least[code], counts[code])
                 place = np.arange(len(gone)) + np.repeat(first - np.r_[0, np.cumsum(counts[code])[:-1]], counts[code])
-                np.add.at(cover, place[gone], 1)
-                np.add.at(cover, place[gone] + LENGTH, -1)
-        removed = np.cumsum(cover[:-1]) > 0
+                begun[place[gone] + LENGTH] = 1
+        np.cumsum(begun, out=begun)
+        # a byte goes if one of the LENGTH strings that end with it or later, and begin with it or before, does
+        removed = np.r_[begun[LENGTH:], begun[-1:]][: len(texts.data)] - begun[: len(texts.data)] > 0
         begins = np.r_[0, texts.ends[:-1]]
         kept_before = np.r_[0, np.cumsum(~removed)]
         kept = _binary(texts.data[~removed], kept_before[texts.ends] - kept_before[begins]).cast(pa.binary())
