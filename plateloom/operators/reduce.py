@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plateloom.functions import special
-from plateloom.functions.exprs import agg_wide, col, known, missing, number
+from plateloom.functions.exprs import agg_wide, col, divide, known, missing, number, var_known
 from plateloom.model import OBJECT, Dataset, Reduction, columns_but
 
 
@@ -111,74 +111,116 @@ def calculate_pca(dataset: Dataset, assay: str | None = None, slot: str = "scale
     return replace(dataset, reductions={**dataset.reductions, reduction_name or f"PCA.{assay}": made})
 
 
-def outlier_scores(x: np.ndarray, method: str = "mahalanobis", pc_thresh: float = 0.75, pc_max: int | None = None, pc_n: int | None = None, thresh: float = 3.5) -> dict[str, np.ndarray]:
-    """How far each row lies out in the space of its group's leading components.
+def outlier_components(cross: np.ndarray, n: int, used: np.ndarray, pc_thresh: float = 0.75, pc_max: int | None = None, pc_n: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Loadings (all features by components) and variances that a group's outliers are looked for in.
 
-    Features with missing values or no variance go. As many components are taken as explain more than ``pc_thresh``, of at
-    most a quarter of the features, or ``pc_n``. ``mahalanobis``: summed squares over variances; ``z`` and ``mod.z``: the
-    number of components within and beyond the threshold.
+    ``cross`` is the cross product of z-scores; unused features are zero. As many components are taken as explain more
+    than ``pc_thresh``, of at most a quarter of the features, or ``pc_n``.
     """
-    n = len(x)
-    none = {"dist": np.full(n, np.nan), "df": np.full(n, np.nan), "n_outlier": np.zeros(n), "skipped": np.ones(n, bool), "pcs": np.zeros((n, 0))}
-    if n < 3 or (pc_n is not None and n <= pc_n):
-        return none
-    x = x[:, ~np.isnan(x).any(0)]
-    sd = x.std(0, ddof=1) if x.size else np.zeros(0)
-    x = (x - x.mean(0))[:, sd > 0] / sd[sd > 0]
-    if not x.shape[1]:
-        return none
-    most = min(pc_n or pc_max or max(1, round(0.25 * x.shape[1])), n - 1, x.shape[1])
-    u, s, _ = np.linalg.svd(x, full_matrices=False)
-    var = s**2 / (n - 1)
-    share = np.cumsum(var) / x.shape[1]
-    enough = np.flatnonzero(share[:most] > pc_thresh)
-    k = pc_n and most or (int(enough[0]) + 1 if len(enough) else most)
-    pcs = (u * s)[:, :k]
-    if method == "mahalanobis":
-        white = pcs / np.sqrt(var[:k])
-        return {"dist": (white**2).sum(1), "df": np.full(n, float(k)), "n_outlier": np.zeros(n), "skipped": np.zeros(n, bool), "pcs": white}
-    if method == "z":
-        z = (pcs - pcs.mean(0)) / pcs.std(0, ddof=1)
-    elif method == "mod.z":
-        middle = np.median(pcs, 0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            z = 0.6745 * (pcs - middle) / (1.4826 * np.median(np.abs(pcs - middle), 0))
-    else:
-        raise ValueError(f"no method {method}")
-    out = np.abs(z) >= thresh
-    return {"dist": (~out).sum(1).astype(float), "df": np.full(n, float(k)), "n_outlier": out.sum(1).astype(float), "skipped": np.zeros(n, bool), "pcs": z}
+    p = int(used.sum())
+    if n < 3 or (pc_n is not None and n <= pc_n) or not p:
+        return np.zeros((len(used), 0)), np.zeros(0)
+    lam, vectors = np.linalg.eigh(cross[np.ix_(used, used)] / (n - 1))
+    order = np.argsort(-lam)
+    lam, vectors = np.maximum(lam[order], 0), signed(vectors[:, order])
+    most = min(pc_n or pc_max or max(1, round(0.25 * p)), n - 1, p)
+    enough = np.flatnonzero((np.cumsum(lam) / p)[:most] > pc_thresh)
+    k = most if pc_n or not len(enough) else int(enough[0]) + 1
+    k = min(k, int((lam > 1e-12 * lam[0]).sum()))
+    out = np.zeros((len(used), k))
+    out[used] = vectors[:, :k]
+    return out, lam[:k]
 
 
 def find_outliers_pca(df: DataFrame, features: list[str], qc_group: str | None = None, thresh: float | str = "auto", method: str = "mahalanobis", padj_method: str = "fdr", key: str = OBJECT, return_pcs: bool = False, **how) -> DataFrame:
     """``(object_id, outlier, dist, df, pval, padj, n_within, n_outlier)``, found within groups such as plates.
 
-    A group is handled by one task and must fit into it. With ``mahalanobis`` p-values are from the chi-squared
-    distribution and adjusted over all groups; outliers have less than 0.05 or, of the raw ones, ``thresh``. Groups too
-    small to tell have no outliers.
+    Features are z-scored within a group; those with missing values or no variance there go. ``mahalanobis``: summed squares
+    over variances of the leading components, with p-values from the chi-squared distribution, adjusted over all groups;
+    outliers have less than 0.05 or, of the raw ones, ``thresh``. ``z`` and ``mod.z``: components within and beyond the
+    threshold. Groups too small to tell have no outliers.
+
+    Moments and cross products of all groups come from two distributed aggregates; the driver sees matrices whose size depends on
+    features and groups, never rows, and a group may be of any size.
     """
     from plateloom.operators.stats import p_adjust
 
+    if method not in ("mahalanobis", "z", "mod.z"):
+        raise ValueError(f"no method {method}")
     limit = 3.5 if thresh == "auto" else float(thresh)
     kind = df.schema[key].dataType.simpleString()
+    names = [f"_x{i}" for i in range(len(features))]
+    group = F.coalesce(col(qc_group).cast("string"), F.lit("")) if qc_group else F.lit("all")
+    rows = df.select(col(key).alias("_key"), group.alias("_g"), *(number(f).alias(x) for f, x in zip(features, names)))
+    moments = agg_wide(rows, ["_g"], [a for x in names for a in (F.max(missing(x).cast("int")).alias(f"m|{x}"), F.avg(known(x)).alias(f"c|{x}"), F.sqrt(var_known(x)).alias(f"s|{x}"))]).collect()
+    used, centre, scale = {}, {}, {}
+    for r in moments:
+        used[r["_g"]] = np.array([r[f"m|{x}"] == 0 and bool(r[f"s|{x}"]) and np.isfinite(r[f"s|{x}"]) for x in names])
+        pick = lambda c, other: np.array([r[f"{c}|{x}"] if u else other for x, u in zip(names, used[r["_g"]])], float)  # noqa: B023, E731
+        centre[r["_g"]], scale[r["_g"]] = pick("c", 0.0), pick("s", 1.0)
+    sent = df.sparkSession.sparkContext.broadcast((used, centre, scale))
+
+    def scaled(batch: pa.RecordBatch) -> tuple[list[str], np.ndarray]:
+        used, centre, scale = sent.value
+        groups = batch.column("_g").to_pylist()
+        x = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names], 1)
+        for g in set(groups):
+            own = np.array([v == g for v in groups])
+            x[own] = np.where(used[g], (x[own] - centre[g]) / scale[g], 0.0)
+        return groups, x
+
+    def standard(batches):
+        for batch in batches:
+            if batch.num_rows:
+                groups, x = scaled(batch)
+                yield pa.RecordBatch.from_arrays([pa.array(groups, pa.string()), *(pa.array(x[:, j]) for j in range(x.shape[1]))], names=["_g", *names])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_key", kind="stable")
-        found = outlier_scores(pdf[[f"_x{i}" for i in range(len(features))]].to_numpy(float), method, thresh=limit, **how)
-        within = np.where(found["skipped"], np.nan, found["df"] - found["n_outlier"])
-        p = special.chi2_upper(found["dist"], found["df"]) if method == "mahalanobis" else np.full(len(pdf), np.nan)
-        return pd.DataFrame({"_key": pdf["_key"], "qc": pdf["_g"], "dist": found["dist"], "df": found["df"], "pval": p, "n_within": within, "n_outlier": found["n_outlier"], "pcs": list(found["pcs"])})
-
-    group = col(qc_group).cast("string") if qc_group else F.lit("all")
-    rows = df.select(col(key).alias("_key"), group.alias("_g"), *(number(f).alias(f"_x{i}") for i, f in enumerate(features)))
-    out = rows.groupBy("_g").applyInPandas(run, f"_key {kind}, qc string, dist double, df double, pval double, n_within double, n_outlier double, pcs array<double>")
-    out = out.withColumns({c: F.when(~F.isnan(col(c)), col(c)) for c in ("dist", "df", "pval", "n_within")})
+    z = rows.select("_g", *names).mapInArrow(standard, "_g string, " + ", ".join(f"{x} double" for x in names))
+    spaces = {g: outlier_components(cross, n, used[g], **how) for g, (cross, n) in gram(z, names, group="_g").items()}
+    spaces_sent = df.sparkSession.sparkContext.broadcast(spaces)
+
+    def place(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            groups, x = scaled(batch)
+            pcs: list = [None] * len(groups)
+            for g in set(groups):
+                own = [i for i, v in enumerate(groups) if v == g]
+                vectors, var = spaces_sent.value[g]
+                for i, row in zip(own, (x[own] @ vectors) / np.sqrt(var)):
+                    pcs[i] = row
+            yield pa.RecordBatch.from_arrays([batch.column("_key"), batch.column("_g"), pa.array(pcs, pa.list_(pa.float64()))], names=["_key", "qc", "pcs"])
+
+    out = rows.mapInArrow(place, f"_key {kind}, qc string, pcs array<double>")
+    if method == "mod.z":
+        # scores in one dimension at a time: medians, then medians of distances
+        at = out.select("qc", F.posexplode("pcs").alias("i", "v"))
+        middle = at.groupBy("qc", "i").agg(F.median("v").alias("m"))
+        mad = at.join(middle, ["qc", "i"]).groupBy("qc", "i", "m").agg((F.median(F.abs(F.col("v") - F.col("m"))) * 1.4826 / 0.6745).alias("d"))
+        frames = {}
+        for r in mad.collect():
+            frames.setdefault(r.qc, {})[r.i] = (r.m, r.d)
+        table = df.sparkSession.createDataFrame([(g, [own[i][0] for i in range(len(own))], [own[i][1] for i in range(len(own))]) for g, own in frames.items()], "qc string, m array<double>, d array<double>")
+        out = out.join(table, "qc", "left")
+        out = out.withColumn("pcs", F.coalesce(F.transform("pcs", lambda v, i: divide(v - F.get("m", i), F.get("d", i))), F.col("pcs"))).drop("m", "d")
+    k = F.size("pcs").cast("double")
+    some = k > 0
+    beyond = F.size(F.filter("pcs", lambda v: F.abs(v) >= limit)).cast("double")
+    squares = F.aggregate("pcs", F.lit(0.0), lambda acc, v: acc + v * v)
+    out = out.withColumns({"df": F.when(some, k), "n_outlier": F.when(some, beyond).otherwise(0.0) if method != "mahalanobis" else F.lit(0.0)})
+    out = out.withColumn("n_within", F.when(some, F.col("df") - F.col("n_outlier")))
     if method == "mahalanobis":
+        out = out.withColumn("dist", F.when(some, squares))
+        p = special.chi2_upper_udf("dist", "df")
+        out = out.withColumn("pval", p).withColumn("pval", F.when(~F.isnan("pval"), F.col("pval")))
         out = p_adjust(out, "pval", padj_method)
         outlier = (F.col("padj") < 0.05) if thresh == "auto" else (F.col("pval") < limit)
     else:
-        out, outlier = out.withColumn("padj", F.lit(None).cast("double")), F.col("n_outlier") > 0
-    names = ["outlier", "dist", "df", "pval", "padj", "n_within", "n_outlier", *(["pcs"] if return_pcs else [])]
-    return out.withColumn("outlier", F.coalesce(outlier, F.lit(False))).select(col("_key").alias(key), *names)
+        out = out.withColumns({"dist": F.col("n_within"), "pval": F.lit(None).cast("double"), "padj": F.lit(None).cast("double")})
+        outlier = F.col("n_outlier") > 0
+    listed = ["outlier", "dist", "df", "pval", "padj", "n_within", "n_outlier", *(["pcs"] if return_pcs else [])]
+    return out.withColumn("outlier", F.coalesce(outlier, F.lit(False))).select(col("_key").alias(key), *listed)
 
 
 def known_rows(df: DataFrame, features: list[str]) -> DataFrame:

@@ -58,32 +58,46 @@ def find_markers(df: DataFrame, ident: str, features: list[str], return_top: int
 def p_adjust(df: DataFrame, p: str, method: str = "fdr", out: str = "padj", groups: list[str] | None = None) -> DataFrame:
     """Adjusted p-values over all rows, or within groups: fdr (BH), BY, bonferroni, holm, hochberg or none. Missing stay missing.
 
-    The ranks need one ordering of a group's tests; it is meant for tables of results.
+    Tests are ranked without one global sort: they fall into cells by the logarithm of p, which are ranked apart; the counts and
+    extremes of the cells, at most some hundred thousand rows a group, join them to one ranking.
     """
     method = {"fdr": "BH"}.get(method, method)
-    keys = [col(g) for g in groups or []] or [F.lit(0)]
-    has = col(p).isNotNull()
-    whole = Window.partitionBy(*keys, has)
-    n = F.count(F.lit(1)).over(whole).cast("double")
-    if method in ("none", "bonferroni"):
-        value = col(p) if method == "none" else F.least(F.lit(1.0), col(p) * n)
-        return df.withColumn(out, F.when(has, value))
-    rank = F.row_number().over(whole.orderBy(col(p)))
-    up, down = whole.orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, 0), whole.orderBy("_rank").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = df.withColumn("_n", n).withColumn("_rank", rank)
-    left = F.col("_n") - F.col("_rank") + 1
-    if method == "BH":
-        value = F.min(col(p) * F.col("_n") / F.col("_rank")).over(up)
-    elif method == "BY":
-        ranked = ranked.withColumn("_q", F.sum(1 / F.col("_rank")).over(whole))
-        value = F.min(col(p) * F.col("_q") * F.col("_n") / F.col("_rank")).over(up)
-    elif method == "hochberg":
-        value = F.min(col(p) * left).over(up)
-    elif method == "holm":
-        value = F.max(col(p) * left).over(down)
-    else:
+    if method not in ("BH", "BY", "bonferroni", "holm", "hochberg", "none"):
         raise ValueError(f"no method {method}")
-    return ranked.withColumn(out, F.when(has, F.least(F.lit(1.0), value))).drop("_n", "_rank", "_q")
+    if method == "none":
+        return df.withColumn(out, col(p))
+    keys = groups or []
+    tests = df.filter(col(p).isNotNull())
+    totals = tests.groupBy(*map(col, keys)).agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    if method == "bonferroni":
+        found = X.join_groups(df, totals, keys)
+        return found.withColumn(out, F.when(col(p).isNotNull(), F.least(F.lit(1.0), col(p) * F.col("_n")))).drop("_n")
+    cell = F.when(col(p) > 0, F.ceil(F.ln(col(p)) * 1024)).otherwise(F.lit(-(10**9))).cast("bigint")
+    own = Window.partitionBy(*map(col, keys), F.col("_cell"))
+    ranked = tests.withColumn("_cell", cell).withColumn("_in", F.row_number().over(own.orderBy(col(p))))
+    cells = ranked.groupBy(*map(col, keys), F.col("_cell")).agg(F.count(F.lit(1)).alias("_c"))
+    whole = Window.partitionBy(*(map(col, keys) if keys else [F.lit(0)]))
+    before = F.coalesce(F.sum("_c").over(whole.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = cells.select(*map(col, keys), "_cell", before.alias("_before"))
+    ranked = X.join_groups(ranked.join(cells, [*keys, "_cell"]), totals, keys).withColumn("_rank", F.col("_before") + F.col("_in"))
+    left = F.col("_n") - F.col("_rank") + 1
+    if method == "BY":
+        # the harmonic sum, by its expansion where it is long
+        n = F.col("_n")
+        long = F.ln(n) + 0.57721566490153286 + F.try_divide(F.lit(0.5), n) - F.try_divide(F.lit(1 / 12), n * n)
+        short = F.aggregate(F.sequence(F.lit(1), F.least(n, F.lit(1000.0)).cast("int")), F.lit(0.0), lambda acc, i: acc + F.lit(1.0) / i)
+        ranked = ranked.withColumn("_n", F.col("_n") * F.when(n > 1000, long).otherwise(short))
+    raw = {"BH": col(p) * F.col("_n") / F.col("_rank"), "BY": col(p) * F.col("_n") / F.col("_rank"), "hochberg": col(p) * left, "holm": col(p) * left}[method]
+    ranked = ranked.withColumn("_v", raw)
+    # from the largest p down the least so far counts; for holm, from the smallest up the largest
+    step, extreme, pick = (F.desc, F.min, F.least) if method != "holm" else (F.asc, F.max, F.greatest)
+    inner = extreme("_v").over(own.orderBy(step("_rank")).rowsBetween(Window.unboundedPreceding, 0))
+    ends = ranked.groupBy(*map(col, keys), F.col("_cell")).agg(extreme("_v").alias("_e"))
+    ends = ends.select(*map(col, keys), "_cell", extreme("_e").over(whole.orderBy(step("_cell")).rowsBetween(Window.unboundedPreceding, -1)).alias("_outer"))
+    ranked = ranked.withColumn("_inner", inner).join(ends, [*keys, "_cell"])
+    ranked = ranked.withColumn(out, F.least(F.lit(1.0), pick("_inner", "_outer")))
+    without = df.filter(col(p).isNull()).withColumn(out, F.lit(None).cast("double"))
+    return ranked.select(*map(col, df.columns), out).unionByName(without.select(*map(col, df.columns), out))
 
 
 def cor_test(df: DataFrame, x: str, y: str, groups: list[str] | None = None, p_values: bool = True) -> DataFrame:

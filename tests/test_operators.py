@@ -237,6 +237,10 @@ def test_components_outliers_and_dimensions(data, spark):
     assert np.allclose(scores @ scores.T, z @ z.T, atol=1e-8)
     found = reduce.find_outliers_pca(d.assay().data.join(d.objects.select(OBJECT, "drug"), OBJECT), names, "drug", return_pcs=True)
     assert found.count() == 200 and found.filter("outlier").count() < 40
+    # one group against its singular values
+    whole = frame(reduce.find_outliers_pca(d.assay().data, names))
+    u, sv, _ = np.linalg.svd(z, full_matrices=False)
+    assert set(whole["df"]) == {3.0} and np.allclose(whole["dist"], 199 * (u[:, :3] ** 2).sum(1))
     planted = d.assay().data.withColumn(names[0], F.when(F.col(OBJECT) == "FS1_I0_O0", 1e4).otherwise(F.col(names[0])))
     for method in ("mahalanobis", "z", "mod.z"):
         got = reduce.find_outliers_pca(planted, names, method=method, pc_n=6)
