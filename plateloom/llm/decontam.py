@@ -58,12 +58,12 @@ def _masks() -> list[int]:
 
 def _items(benchmark: DataFrame) -> DataFrame:
     """Benchmark items with words: id, words, their number, the shingle length, shingles and fingerprint."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words_of(F.col("text")).alias("iw"))
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words_of(F.col("text")).alias("iw")).distinct()
     rows = rows.withColumn("n", F.size("iw")).filter("n > 0").withColumn("k", F.least("n", F.lit(SHINGLE_WORDS)))
     rows = rows.withColumn("ih", F.transform("iw", lambda w: F.xxhash64(w)))
     by_k = reduce(lambda rest, k: F.when(F.col("k") == k, _shingle_hashes(F.col("ih"), F.col("n"), k)).otherwise(rest), range(1, SHINGLE_WORDS), _shingle_hashes(F.col("ih"), F.col("n"), SHINGLE_WORDS))
     rows = rows.withColumn("sh", by_k).withColumn("ifp", simhash(F.col("sh")))
-    return rows.select("item_id", "iw", "n", "k", "sh", "ifp", _shingle_texts(F.col("iw"), F.col("n"), F.col("k")).alias("ishingles"))
+    return rows.select("item_id", F.xxhash64("item_id", "iw").alias("mark"), "n", "k", "sh", "ifp", _shingle_texts(F.col("iw"), F.col("n"), F.col("k")).alias("ishingles"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -82,7 +82,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
     items = stage(_items(benchmark), "benchmark-items")
     total, sizes = items.agg(F.sum(F.size("sh")), F.collect_set("k")).first()
     blocks = max(1, -(-(total or 0) // BLOCK_SHINGLES))
-    number = F.pmod(F.xxhash64("item_id", "iw"), F.lit(blocks))
+    number = F.pmod("mark", F.lit(blocks))
     found = [_one_block(docs, items.filter(number == b), sorted(sizes or [SHINGLE_WORDS]), similarity) for b in range(blocks)]
     return reduce(DataFrame.unionByName, found)
 
@@ -106,25 +106,29 @@ def _one_block(docs: DataFrame, items: DataFrame, sizes: list[int], similarity:
         length = F.least("n", "nd").alias("len")
         shared = shared.select("doc_id", "n", "k", start, length, "w", "sh")
         laid.append(shared.select("doc_id", "n", "k", "start", "len", F.slice("w", F.col("start") + 1, F.col("len")).alias("ww"), F.slice("sh", F.col("start") + 1, F.greatest(F.col("len") - F.col("k") + 1, F.lit(1))).alias("wsh")))
-    windows = reduce(DataFrame.union, laid).distinct().withColumn("wfp", F.coalesce(simhash(F.col("wsh")), F.lit(0).cast("bigint")))
+    # few bytes but much work follow: the partitions stay as many as they are
+    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    windows = reduce(DataFrame.union, laid).distinct().repartition(spread, "doc_id", "start", "n").withColumn("wfp", F.coalesce(simhash(F.col("wsh")), F.lit(0).cast("bigint")))
     windows = windows.select("*", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("b")).withColumn("value", _part(F.col("wfp"), F.col("b")))
 
-    index = items.select("item_id", "n", "ifp", "ishingles", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("b"))
+    index = items.select("item_id", "mark", "n", "ifp", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("b"))
     index = index.select("*", F.explode(F.array(*(F.lit(m) for m in _masks()))).alias("mask"))
-    index = index.select("item_id", "n", "ifp", "ishingles", "b", _part(F.col("ifp"), F.col("b")).bitwiseXOR(F.col("mask")).alias("value"))
+    index = index.select("item_id", "mark", "n", "ifp", "b", _part(F.col("ifp"), F.col("b")).bitwiseXOR(F.col("mask")).alias("value"))
 
     pairs = windows.join(F.broadcast(index), ["n", "b", "value"])
     differ = F.col("wfp").bitwiseXOR(F.col("ifp"))
     # a pair is taken up by the first of the parts that found it
     earlier = reduce(lambda rest, b: F.when(F.bit_count(_part(differ, b)) <= FLIPS, F.lit(b)).otherwise(rest), reversed(range(BLOCKS)), F.lit(BLOCKS))
     pairs = pairs.filter((F.bit_count(differ) <= RADIUS) & (F.col("b") == earlier))
+    pairs = pairs.select("doc_id", "item_id", "mark", "start", "len", "k", "ww").join(F.broadcast(items.select("mark", "ishingles")), "mark")
     pairs = pairs.withColumn("wshingles", _shingle_texts(F.col("ww"), F.col("len"), F.col("k")))
     times = lambda xs, s: F.size(F.filter(xs, lambda x: x == s))
     smaller = F.aggregate(F.array_distinct("ishingles"), F.lit(0), lambda acc, s: acc + F.least(times(F.col("ishingles"), s), times(F.col("wshingles"), s)))
     pairs = pairs.withColumn("common", smaller)
     share = F.col("common") / (F.size("ishingles") + F.size("wshingles") - F.col("common"))
-    best = pairs.withColumn("similarity", share).filter(F.col("similarity") >= similarity).groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "len")).alias("best"))
-    return best.select("doc_id", "item_id", (-F.col("best.back")).cast("int").alias("start_word"), F.col("best.len").cast("int").alias("n_words"), F.col("best.similarity").alias("similarity"))
+    best = pairs.select("doc_id", "item_id", "start", "len", share.alias("similarity")).groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "len")).alias("best"))
+    # a filter before the maximum would be worked out within the join, once for every use of what it needs
+    return best.filter(F.col("best.similarity") >= similarity).select("doc_id", "item_id", (-F.col("best.back")).cast("int").alias("start_word"), F.col("best.len").cast("int").alias("n_words"), F.col("best.similarity").alias("similarity"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
