@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plateloom.llm.common import stage
+
 #: Permitted sequence lengths, in tokens.
 LENGTHS = (256, 512, 1024, 2048, 4096)
 #: What a sequence costs besides its length: so many tokens, and this share of its length times its length over the longest.
@@ -20,7 +22,7 @@ SHARD_PIECES = 4096
 
 def word_count(text: Column) -> Column:
     """The number of tokens if every word is one and a document ends with one more."""
-    trimmed = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"^\s+|\s+$", "")
+    trimmed = F.btrim(F.coalesce(text.cast("string"), F.lit("")), F.lit(" \t\n\x0b\f\r"))
     return (F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"\s+"))) + 1).cast("bigint")
 
 
@@ -92,9 +94,10 @@ def pack_documents(docs: DataFrame, tokens: Column | None = None, lengths: tuple
     amount = word_count(F.col("text")) if tokens is None else tokens.cast("bigint")
     mark = F.xxhash64(*(F.col(c) for c in ("doc_id", "text") if c in docs.columns))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(amount, F.lit(0)).alias("n"), mark.alias("mark"))
-    pieces = rows.filter("n > 0").select("doc_id", "n", "mark", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / longest))).alias("piece"))
+    rows = stage(rows.filter("n > 0"), "packing-sizes")  # texts are read once
+    pieces = rows.select("doc_id", "n", "mark", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / longest))).alias("piece"))
     pieces = pieces.select("doc_id", "mark", F.col("piece").cast("int").alias("piece"), (F.col("piece") * longest).alias("start"), F.least(F.lit(longest).cast("bigint"), F.col("n") - F.col("piece") * longest).cast("int").alias("n_tokens"))
-    total = rows.filter("n > 0").agg(F.sum(F.floor((F.col("n") - 1) / longest) + 1)).first()[0] or 0
+    total = rows.agg(F.sum(F.floor((F.col("n") - 1) / longest) + 1)).first()[0] or 0
     shards = max(1, -(-int(total) // SHARD_PIECES))
     pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("mark", "piece"), F.lit(shards)).cast("long")).drop("mark")
 
