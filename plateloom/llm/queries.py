@@ -80,9 +80,9 @@ QUERIES = {
 ORACLES = {
     "op4_exact_topk": """
 with v as (
-  select vec_id, list_transform(embedding, x -> cast(floor(1024 * cast(x as double)) as double)) as v from embeddings
+  select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as double)) as v from embeddings
   where vec_id is not null and embedding is not null
-    and list_bool_and(list_transform(embedding, x -> x is not null and isfinite(x)))),
+    and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))),
 scored as (
   select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.v, c.v) as bigint) as score
   from v q join v c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % 100 = 0)
