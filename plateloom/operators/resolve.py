@@ -117,3 +117,11 @@ def check_dataset_assay_slot(dataset: Dataset, assay: str, slot: str) -> None:
             raise KeyError(f"no image assay {assay}")
         return
     dataset.assay(assay).slot(slot)
+
+
+def check_package(name: str) -> None:
+    """An error that says which package is missing."""
+    import importlib.util
+
+    if importlib.util.find_spec(name) is None:
+        raise ImportError(f"package {name} is needed here")
