@@ -20,8 +20,8 @@ from plateloom.llm.language_id import held_out
 
 #: Word pairs that occur less often are not kept; they back off to single words.
 MIN_PAIRS = 2
-#: Text that is counted or scored at once, and text whose pairs share a shard of the trie, in bytes.
-WORK_BYTES = 12 << 20
+#: Text that is counted at once, that is scored at once, and whose pairs share a shard of the trie, in bytes.
+WORK_BYTES, SCORE_BYTES = 10 << 20, 6 << 20
 SHARD_BYTES = 1 << 24
 LEAST_SHARDS = 16
 #: Bits of a word's hash: of a context in a shard of pairs, and of a word within its context.
@@ -444,7 +444,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         trie = Trie.of(model)
         for whole in batches:
-            for batch in _parts(whole, "text", WORK_BYTES):
+            for batch in _parts(whole, "text", SCORE_BYTES):
                 t = tokens_of(batch.column("text"))
                 count, base, given = trie.score(t)
                 n = batch.num_rows
