@@ -77,6 +77,7 @@ def test_scores_match_brute_force(spark, monkeypatch):
     expected = sorted(brute(rows), key=str)
     for partitions, work in ((1, 1 << 20), (4, 2000)):
         monkeypatch.setattr(lm, "WORK_BYTES", work)
+        monkeypatch.setattr(lm, "SCORE_BYTES", work // 2)
         got = sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in lm.score_documents(docs.repartition(partitions)).collect()), key=lambda r: str(r[:4]))
         expected.sort(key=lambda r: str(r[:4]))
         assert [g[:4] for g in got] == [e[:4] for e in expected]
