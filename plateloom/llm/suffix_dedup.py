@@ -350,8 +350,8 @@ def _anchors(parts: int, shards: int):
             found: list[Runs] = [*_runs(texts)]
             anchor, doc = (np.concatenate([getattr(r, c) for r in found]) if found else np.zeros(0, np.uint64) for c in ("anchor", "doc"))
             # (part, anchor, document) without repeats, then (part, anchor)
-            part = own[doc.astype(np.int64)].astype(np.uint64) if len(doc) else doc
-            key = (part << np.uint64(40)) | anchor
+            part = own[doc.astype(np.int64)].astype(np.uint64)
+            key = (part << np.uint64(40)) | anchor.astype(np.uint64)
             order = np.argsort(key)
             key, doc = key[order], doc[order]
             new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
