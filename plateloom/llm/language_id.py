@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plateloom.llm.memory import released
+
 #: Labelled documents that the model learns from, on average; all of them where there are fewer.
 TRAINING_DOCS = 8_000
 #: Character n-grams of words with their ends marked, counted in so many cells.
@@ -22,6 +24,8 @@ SCRIPT_SHARE = 0.002
 UNKNOWN = "und"
 #: Text in a batch of work; the rest of an Arrow batch follows in further ones.
 WORK_BYTES = 12 << 20
+#: Different words whose n-grams are laid out at once.
+WORK_WORDS = 1 << 15
 
 #: The first code points of ranges and the script that starts there; 0 is no particular one.
 SCRIPTS = (
@@ -53,11 +57,12 @@ class Words:
             self.offsets, index = kept[self.offsets], index[keep]
         self.index = index
 
-    def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Cells of all n-grams of the different words, the word of each, and each word's script."""
-        flat = np.frombuffer("".join(f"\x02{w}\x03" for w in self.words).encode("utf-32-le", "surrogatepass"), np.uint32)
-        sizes = np.fromiter((len(w) + 2 for w in self.words), np.int64, len(self.words))
-        owner = np.repeat(np.arange(len(sizes)), sizes)
+    def grams(self, at: int, to: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cells of all n-grams of some of the different words, the word of each (from 0), and each word's script."""
+        words = self.words[at:to]
+        flat = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        sizes = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
+        owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         cells, owners = [], []
         mixed = np.zeros(len(flat), np.uint64)
         for n in range(1, max(ORDERS) + 1):
@@ -101,14 +106,14 @@ class Model:
     def scores(self, words: Words) -> np.ndarray:
         """Log likelihoods, words by languages; words of a script that no language has say nothing."""
         out = np.zeros((len(words.words), len(self.langs)), np.float32)
-        if not words.words:
-            return out
-        cells, owner, script = words.grams()
-        for k in range(len(self.langs)):
-            out[:, k] = np.bincount(owner, self.table[cells, k], len(out))
-        out += self.allowed[script]
-        out -= out.max(1, keepdims=True)
-        out[~self.known[script]] = 0
+        for at in range(0, len(out), WORK_WORDS):
+            part = out[at : at + WORK_WORDS]
+            cells, owner, script = words.grams(at, at + WORK_WORDS)
+            for k in range(len(self.langs)):
+                part[:, k] = np.bincount(owner, self.table[cells, k], len(part))
+            part += self.allowed[script]
+            part -= part.max(1, keepdims=True)
+            part[~self.known[script]] = 0
         return out
 
 
@@ -125,17 +130,22 @@ def train(docs: DataFrame) -> Model:
         rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < (1 << 30) * TRAINING_DOCS // total)
 
     def count(batches):
-        for whole in batches:
+        for whole in released(batches):
             for batch in _parts(whole, "text"):
                 words = Words(batch.column("text"))
                 langs = batch.column("lang").dictionary_encode()
                 if not words.words:
                     continue
                 of_word = np.repeat(langs.indices.to_numpy(), np.diff(words.offsets))
-                cells, owner, script = words.grams()
+                totals = np.zeros((len(langs.dictionary), CELLS + N_SCRIPTS))
+                times = [np.bincount(words.index[of_word == k], minlength=len(words.words)) for k in range(len(totals))]
+                for at in range(0, len(words.words), WORK_WORDS):
+                    cells, owner, script = words.grams(at, at + WORK_WORDS)
+                    for own, n in zip(totals, times):
+                        own[:CELLS] += np.bincount(cells, n[at : at + WORK_WORDS][owner], CELLS)
+                        own[CELLS:] += np.bincount(script, n[at : at + WORK_WORDS], N_SCRIPTS)
                 for k, lang in enumerate(langs.dictionary.to_pylist()):
-                    times = np.bincount(words.index[of_word == k], minlength=len(words.words))
-                    found = np.concatenate([np.bincount(cells, times[owner], CELLS), np.bincount(script, times, N_SCRIPTS)]).astype(np.int64)
+                    found = totals[k].astype(np.int64)
                     some = np.flatnonzero(found)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some.astype(np.int32)), pa.array(found[some])], names=["lang", "cell", "n"])
 
@@ -217,7 +227,7 @@ def identify(docs: DataFrame, model: Model | None = None, switch: float = SWITCH
         return [named, pa.array(votes[np.arange(n), top] / np.maximum(total, 1)), lists]
 
     def run(batches):
-        for whole in batches:
+        for whole in released(batches):
             for batch in _parts(whole, "text"):
                 yield pa.RecordBatch.from_arrays([*batch.columns, *label(batch)], names=schema.names)
 

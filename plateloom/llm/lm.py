@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from plateloom.llm.common import stage
 from plateloom.llm.language_id import held_out
+from plateloom.llm.memory import release, released
 
 #: Word pairs that occur less often are not kept; they back off to single words.
 MIN_PAIRS = 2
@@ -211,7 +212,7 @@ def _count(shape: Shape):
     """Each batch's different words and pairs with their counts, packed by shard: words first, then pairs."""
 
     def run(batches):
-        for whole in batches:
+        for whole in released(batches):
             for batch in _parts(whole, "text", WORK_BYTES):
                 t = tokens_of(batch.column("text"))
                 rows: list[tuple[int, bytes]] = []
@@ -263,6 +264,7 @@ def _merge(shape: Shape, least: int):
         own = _word_shard(context << np.uint64(64 - CONTEXT_BITS), shape.words)
         rows += [("contexts", s, pack_arrays(columns)) for s, columns in _split(own, shape.words, [context, followers, mass])]
         kinds, shards, payloads = zip(*rows)
+        release()
         return pa.table({"kind": pa.array(kinds), "shard": pa.array(shards, pa.int32()), "payload": pa.array(payloads, pa.binary())})
 
     return run
@@ -443,7 +445,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         trie = Trie.of(model)
-        for whole in batches:
+        for whole in released(batches):
             for batch in _parts(whole, "text", SCORE_BYTES):
                 t = tokens_of(batch.column("text"))
                 count, base, given = trie.score(t)

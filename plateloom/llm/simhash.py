@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plateloom.llm.common import connected_components, stage
+from plateloom.llm.memory import release, released
 
 SHINGLE_WORDS = 4
 RADIUS = 4
@@ -47,7 +48,7 @@ def fingerprints(docs: DataFrame, words_in_shingle: int = SHINGLE_WORDS) -> Data
     """``(doc_id long, fp long)`` for each row of ``docs``, over whole texts."""
 
     def run(batches):
-        for batch in batches:
+        for batch in released(batches):
             texts = batch.column("text").cast(pa.binary())
             found = np.fromiter((fingerprint(t.as_py(), words_in_shingle) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
@@ -173,6 +174,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         if not alone and n_first == len(fp):  # nothing is left of one of the tiles
             return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
         u, v = tile_links(fp, rep, n_first, radius)
+        release()
         return pa.table({"u": u, "v": v})
 
     return dealt.groupBy("pair").applyInArrow(compare, "u long, v long")

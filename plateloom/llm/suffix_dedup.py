@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from plateloom.llm.common import stage
 from plateloom.llm.lm import pack_arrays, unpack_arrays
+from plateloom.llm.memory import release, released
 
 LENGTH = 50
 GRAM = 16
@@ -331,7 +332,7 @@ def _deal(parts: int):
     """Documents packed by part."""
 
     def run(batches):
-        for batch in batches:
+        for batch in released(batches):
             texts = _texts_of(batch)
             own = _part_of(texts.ids, parts)
             found = [(int(p), _take(texts, np.flatnonzero(own == p))) for p in np.unique(own)]
@@ -344,7 +345,7 @@ def _anchors(parts: int, shards: int):
     """The different anchors of a batch by part and shard, and which are in several of its documents."""
 
     def run(batches):
-        for batch in batches:
+        for batch in released(batches):
             texts = _texts_of(batch)
             own = _part_of(texts.ids, parts)
             found: list[Runs] = [*_runs(texts)]
@@ -467,6 +468,7 @@ def _send(shards: int):
                 out["shard"].append(s)
                 out["part"].append(part)
                 out["payload"].append(_packed([_gather(c.data, begins[rows], c.sizes[rows]), c.sizes[rows].astype(np.uint32), c.least[rows], c.anchor[rows]]))
+        release()
         return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
 
     return run
@@ -534,6 +536,7 @@ def _compare(table: pa.Table) -> pa.Table:
         earlier = strings < np.repeat(b[2], counts[rows])
         payloads.append(_packed([np.array([shard], np.int64), np.packbits(earlier)]))
         k += len(b[1])
+    release()
     return pa.table({"part": pa.array(parts, pa.int32()), "kind": pa.array([2] * len(parts), pa.int32()), "payload": pa.array(payloads, pa.binary())})
 
 
