@@ -69,9 +69,10 @@ def _items(benchmark: DataFrame) -> DataFrame:
 def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``(doc_id, item_id, start_word, n_words, similarity)`` for each document that holds a benchmark item.
 
-    A window of as many words as the item has is laid wherever the document and the benchmark share a shingle, with
-    the shingle in its place; a window without a shared shingle has similarity zero and can't matter. Windows are cut
-    to the document. Their fingerprints look up the items of that size in a multi-index, which holds all fingerprints
+    For each size of item, windows of so many words end at every shingle that items of this size have too. Any other
+    window can move left until it ends at one, or begins the document, and loses none, so these windows hold the
+    most similar one and the first of its kind. Those with fewer shared shingles than ``similarity`` needs are left out.
+    Windows are cut to the document. Their fingerprints look up the items of that size in a multi-index, which holds all fingerprints
     within ``RADIUS`` bits for certain. Each pair found is verified: the similarity is the sum of the smaller over the
     sum of the larger of the counts of every five-word shingle (items below five words: the whole item), compared as
     text. The most similar, then first, window of a document and item is returned if it has ``similarity`` or more.
@@ -87,24 +88,40 @@ def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
     return reduce(DataFrame.unionByName, found)
 
 
+def _starts(n: int, k: int, known: list[int], similarity: float) -> Column:
+    """``(n, start)`` of the windows of ``n`` words that can be similar to an item with some of the shingles ``known``."""
+    shingles = n - k + 1
+    own = F.least(F.lit(n), F.col("nd")) - k + 1
+    # common / (shingles + own - common) >= similarity
+    need = F.greatest(F.lit(1), F.ceil(F.lit(similarity / (1 + similarity)) * (own + shingles) - 1e-9).cast("int"))
+
+    def ends(places: Column) -> Column:
+        enough = F.filter(places, lambda p, i: (i + 1 >= need) & (p - F.get(places, i + 1 - need) < own))
+        return F.array_distinct(F.transform(enough, lambda p: F.greatest(F.lit(0), p - own + 1)))
+
+    places = F.transform(F.filter("hits", lambda s: s["h"].isin(known)), lambda s: s["pos"])
+    starts = F.flatten(F.transform(F.array(places), ends))
+    # a bound that needs no look-up comes first
+    return F.when(F.size("hits") >= need, F.transform(starts, lambda s: F.struct(F.lit(n).alias("n"), s.alias("start")))).otherwise(F.array().cast("array<struct<n:int,start:int>>"))
+
+
 def _one_block(docs: DataFrame, items: DataFrame, sizes: list[int], similarity: float) -> DataFrame:
     """``contamination`` for a block of items that is small enough to be sent to all executors."""
-    anchors = items.select("n", "k", F.posexplode("sh").alias("off", "h")).distinct()
+    known: dict[int, dict[int, list[int]]] = {k: {} for k in sizes}
+    for r in items.select("n", "k", F.explode("sh").alias("h")).distinct().collect():
+        known[r.k].setdefault(r.n, []).append(r.h)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text")).alias("w"))
     rows = rows.withColumn("nd", F.size("w")).withColumn("wh", F.transform("w", lambda x: F.xxhash64(x)))
     laid = []
     for k in sizes:
-        known = [r.h for r in anchors.filter(F.col("k") == k).select("h").distinct().collect()]
+        some = sorted({h for hs in known[k].values() for h in hs})
         shingled = rows.withColumn("sh", _shingle_hashes(F.col("wh"), F.col("nd"), k))
         # (place, hash) of the shingles that the benchmark has too
-        hits = F.filter(F.transform("sh", lambda h, i: F.struct(i.alias("pos"), F.when(h.isin(known), h).alias("h"))), lambda s: s["h"].isNotNull())
+        hits = F.filter(F.transform("sh", lambda h, i: F.struct(i.alias("pos"), F.when(h.isin(some), h).alias("h"))), lambda s: s["h"].isNotNull())
+        starts = F.concat(F.array().cast("array<struct<n:int,start:int>>"), *(_starts(n, k, hs, similarity) for n, hs in sorted(known[k].items())))
         # explode() would bring a filter on the size of the array, which is then worked out twice
-        shared = shingled.withColumn("hits", hits).select("doc_id", "w", "nd", "sh", F.explode_outer("hits").alias("hit")).filter("hit.h is not null")
-        shared = shared.withColumn("h", F.col("hit.h"))
-        shared = shared.join(F.broadcast(anchors.filter(F.col("k") == k)), "h")
-        start = F.greatest(F.lit(0), F.least(F.col("hit.pos") - F.col("off"), F.col("nd") - F.col("n"))).alias("start")
-        length = F.least("n", "nd").alias("len")
-        shared = shared.select("doc_id", "n", "k", start, length, "w", "sh")
+        shared = shingled.withColumn("hits", hits).select("doc_id", "w", "nd", "sh", F.explode_outer(starts).alias("at")).filter("at.start is not null")
+        shared = shared.select("doc_id", F.col("at.n").alias("n"), F.lit(k).alias("k"), F.col("at.start").alias("start"), F.least("at.n", "nd").alias("len"), "w", "sh")
         laid.append(shared.select("doc_id", "n", "k", "start", "len", F.slice("w", F.col("start") + 1, F.col("len")).alias("ww"), F.slice("sh", F.col("start") + 1, F.greatest(F.col("len") - F.col("k") + 1, F.lit(1))).alias("wsh")))
     # few bytes but much work follow: the partitions stay as many as they are
     spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

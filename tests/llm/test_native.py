@@ -109,6 +109,55 @@ def test_decontamination_matches_brute_force(spark):
     assert all(abs(got[k] - expected[k]) < 0.1 for k in got)
 
 
+def first_best_windows(docs, items, threshold=0.8):
+    """Similarity and start of the most similar, then first, of all windows of each document and item."""
+    from collections import Counter
+
+    found = {}
+    for d, text in docs:
+        w = words(text)
+        for i, item in items:
+            iw = words(item)
+            k, n = min(5, len(iw)), len(iw)
+            shingles = lambda ws: Counter(tuple(ws[x : x + k]) for x in range(max(1, len(ws) - k + 1)))
+            ish = shingles(iw)
+            for s in range(max(1, len(w) - n + 1)):
+                wsh = shingles(w[s : s + n])
+                sim = (ish & wsh).total() / (ish | wsh).total()
+                if sim >= max(threshold, found.get((d, i), (0, 0))[0] + 1e-12):
+                    found[d, i] = (sim, s)
+    return found
+
+
+def test_decontamination_finds_moved_and_inserted_words(spark):
+    rng = random.Random(8)
+    fresh = iter(range(10**6))
+    some = lambda n: [f"x{next(fresh)}" for _ in range(n)]
+    items = [(i, " ".join(some(n))) for i, n in enumerate([59, 59, 100, 7, 30, 3])]
+    a, b, c, *rest = (words(x) for _, x in items)
+    changed = [
+        a[30:] + a[:30],  # halves swapped
+        some(1) + b[1:29] + some(2) + b[29:58] + some(1),
+        some(3) + c[3:50] + some(6) + c[50:97] + some(3),
+        some(1) + a[1:58] + some(1),
+        a[25:] + a[:25] + some(4) + a[30:] + a[:30],
+        *rest,
+    ]
+    docs = []
+    for d, w in enumerate(changed * 3):
+        docs.append((d, " ".join(some(rng.choice([0, 5, 80])) + w + some(rng.choice([0, 5, 80])))))
+    docs += [(90, " ".join(a[2:])), (91, " ".join(a[9:])), (92, " ".join(b[:57]))]
+    for d in range(100, 160):  # an item with words cut, put in and reordered
+        w = words(rng.choice(items)[1])
+        for _ in range(rng.randrange(3)):
+            at = rng.randrange(len(w))
+            w[at:at] = some(rng.randrange(4))
+        turn = rng.randrange(len(w)) if rng.random() < 0.4 else 0
+        docs.append((d, " ".join(some(rng.randrange(9)) + w[turn:] + w[:turn] + some(rng.randrange(9)))))
+    got = decontam.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id): (r.similarity, r.start_word) for r in got.collect()} == first_best_windows(docs, items)
+
+
 def test_decontamination_in_blocks_and_edges(spark, monkeypatch):
     docs = spark.createDataFrame([(None, "one two three four five six seven", 1), (2, "one two three four five six seven", 2), (2, "one two three four five six seven", 2), (3, "other", 3)], "doc_id long, text string, n int")
     items = spark.createDataFrame([(1, "one two three four five six seven"), (2, "three four five six seven"), (None, "other")], "item_id long, text string")
