@@ -257,7 +257,9 @@ def _merge(shape: Shape, least: int):
             counts.append(c)
         (h1, h2), (n,) = _sums([np.concatenate([_wide(b[0], 6) for b in blobs]), np.concatenate([_wide(b[1], 5) for b in blobs])], [np.concatenate(counts)])
         keep = n >= least
-        level = np.minimum(np.log(np.maximum(n, least) / least) / np.log(STEP) + 1e-9, 255).astype(np.uint8)
+        level = (np.log(np.maximum(n, least) / least) / np.log(STEP) + 1e-9).astype(np.uint16)
+        if level.max(initial=0) < 256:  # a byte for each, unless a count of this shard needs two
+            level = level.astype(np.uint8)
         held = np.where(keep, least * STEP ** level.astype(float), 0.0)
         (context,), (followers, mass) = _sums([h1], [np.ones(len(h1), np.int64), held])
         rows = [("pairs", shard - shape.words, pack_pairs(h1[keep], h2[keep], level[keep]))]

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from plateloom.llm import lm
@@ -92,3 +93,15 @@ def test_edges(spark):
     only_held = [d for d in range(100) if zlib.crc32(str(d).encode()) % 7 == 2][:1]
     got = lm.score_documents(spark.createDataFrame([(only_held[0], "a b")], "doc_id long, text string")).collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got] == [(3, 0, 0, 0.0, 0.0)]
+
+
+def test_very_large_counts_are_kept():
+    h1, h2, n = np.array([7, 7, 9], np.uint64), np.array([1, 5, 2], np.uint64), np.array([10**9, 3, 10**15])
+    narrow = [h1.view(np.uint8).reshape(-1, 8)[:, :6].ravel(), h2.view(np.uint8).reshape(-1, 8)[:, :5].ravel(), np.minimum(n, 255).astype(np.uint8), np.array([0, 2]), n[[0, 2]]]
+    shard = pa.table({"shard": pa.array([1], pa.int32()), "payload": pa.array([lm.pack_arrays(narrow)], pa.binary())})
+    for least in (1, 2):
+        rows = lm._merge(lm.Shape(1, 1), least)(shard).to_pylist()
+        (pairs,), (contexts,) = ([lm.unpack_arrays(np.frombuffer(r["payload"], np.uint8)) for r in rows if r["kind"] == kind] for kind in ("pairs", "contexts"))
+        kept = least * lm.STEP ** pairs[-1].astype(float)
+        assert (kept <= n * (1 + 1e-6)).all() and (kept * lm.STEP >= n * (1 - 1e-6)).all()
+        assert np.allclose(contexts[2], [kept[0] + kept[1], kept[2]])
