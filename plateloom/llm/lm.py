@@ -19,7 +19,7 @@ from plateloom.llm.common import stage
 from plateloom.llm.language_id import held_out
 from plateloom.llm.memory import release, released
 
-#: Word pairs that occur less often are not kept; they back off to single words.
+#: Unless told otherwise, word pairs that occur less often are not kept and back off to single words. The query keeps all (1).
 MIN_PAIRS = 2
 #: Text that is counted at once, that is scored at once, and whose pairs share a shard of the trie, in bytes.
 WORK_BYTES, SCORE_BYTES = 10 << 20, 6 << 20
@@ -27,7 +27,7 @@ SHARD_BYTES = 1 << 24
 LEAST_SHARDS = 16
 #: Bits of a word's hash: of a context in a shard of pairs, and of a word within its context.
 CONTEXT_BITS, SUCCESSOR_BITS = 48, 40
-#: Counts of pairs are quantised, downwards, to MIN_PAIRS times powers of this.
+#: Counts of pairs are quantised, downwards, to the least count that is kept times powers of this.
 STEP = 1.07
 _BEGIN, _END = (xxhash.xxh64_intdigest(x) for x in (b" <s>", b" </s>"))  # no word begins with a blank
 _SELECT = np.array([[[b for b in range(8) if x >> b & 1][r] if r < x.bit_count() else 8 for r in range(8)] for x in range(256)], np.uint8)

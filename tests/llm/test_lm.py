@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from plateloom.llm import lm
+from plateloom.llm import lm, queries
 
 
 @pytest.mark.parametrize("top", [1, 60, 10**6, 2**63])
@@ -105,3 +105,12 @@ def test_very_large_counts_are_kept():
         kept = least * lm.STEP ** pairs[-1].astype(float)
         assert (kept <= n * (1 + 1e-6)).all() and (kept * lm.STEP >= n * (1 - 1e-6)).all()
         assert np.allclose(contexts[2], [kept[0] + kept[1], kept[2]])
+
+
+def test_query_keeps_pairs_seen_once(spark, tmp_path):
+    rows = [r for r in corpus() if r[0] is not None and r[0] != 1004]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.score for r in queries.op6_lm_scoring(spark, str(tmp_path)).collect()}
+    whole, pruned = ({b[0]: b[5] for b in brute(rows, least)} for least in (1, 2))
+    assert got.keys() == whole.keys() and all(abs(got[d] - whole[d]) < 1e-4 for d in got)
+    assert sum(abs(whole[d] - pruned[d]) > 0.1 for d in whole) > 200
