@@ -11,7 +11,7 @@ from plateloom.llm.common import new_path, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language that holds at least half of their words; those without letters go."""
+    """Documents with words of a language, be it one or several; those without letters go."""
     return language_id.keep_identified(docs)
 
 

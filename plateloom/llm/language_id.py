@@ -234,7 +234,10 @@ def identify(docs: DataFrame, model: Model | None = None, switch: float = SWITCH
     return rows.mapInArrow(run, schema)
 
 
-def keep_identified(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that have a language with at least ``least_score`` of their words."""
+def keep_identified(docs: DataFrame, least_score: float = 0.0) -> DataFrame:
+    """The rows of ``docs`` with words of a language, in however many languages.
+
+    With ``least_score``, those whose language of most words has less than this share of them go too.
+    """
     found = identify(docs)
     return found.filter((F.col("_lang") != UNKNOWN) & (F.col("_score") >= least_score)).select(*(F.col(f"`{c}`") for c in docs.columns))

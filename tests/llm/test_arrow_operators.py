@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from plateloom.llm import language_id, packing, topk, warc
 
 SF = "/root/testdata/sf0.01"
@@ -67,6 +68,17 @@ def test_language_id_spans_and_edges(spark):
     assert {r._lang for r in unlabelled.collect()} == {"und"}
 
 
+def test_texts_of_three_languages_are_kept(spark):
+    words = {"en": "the with house which and", "de": "der nicht über straße und", "ru": "это дом который есть не"}
+    rows = [(i, " ".join([words[lang]] * 8), lang) for i, lang in enumerate(["en", "de", "ru"] * 30)]
+    rows += [(900, f"{' '.join([words['en']] * 9)}. {' '.join([words['ru']] * 6)}. {' '.join([words['de']] * 5)}", None), (901, "12 -- 3", None), (902, None, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    top = language_id.identify(docs).filter("doc_id = 900").first()
+    assert [s.lang for s in top._spans] == ["en", "ru", "de"] and top._score == 0.45
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, SF).collect()}
+    assert kept == {*range(90), 900}
+
+
 def test_very_long_text(spark):
     docs = spark.createDataFrame([(1, "the house and " * 60_000, "en"), (4, "der und nicht " * 10, "de")], "doc_id long, text string, lang string")
     assert {r.doc_id: r._lang for r in language_id.identify(docs).collect()} == {1: "en", 4: "de"}
