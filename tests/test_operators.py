@@ -225,6 +225,25 @@ def test_markers_and_adjustments(data, spark):
     assert np.isclose(r.r, np.corrcoef(x[names[0]], x[names[1]])[0, 1]) and 0 <= r.pval <= 1
 
 
+def test_adjusted_p_values_of_a_whole_table(spark):
+    events = spark.read.parquet("/root/testdata/sf0.01/events.parquet").select("event_id", F.abs(F.sin(F.col("event_id") * 12.9898)).alias("p"))
+    known = events.toPandas().set_index("event_id")["p"].sort_values(kind="stable")
+    p, n = known.to_numpy(), len(known)
+    k = np.arange(1, n + 1)
+    least = lambda x: np.minimum.accumulate(x[::-1])[::-1]
+    expected = {
+        "bonferroni": p * n,
+        "holm": np.maximum.accumulate(p * (n - k + 1)),
+        "hochberg": least(p * (n - k + 1)),
+        "BH": least(p * n / k),
+        "BY": least(p * (1 / k).sum() * n / k),
+    }
+    assert n == 10_000
+    for method, values in expected.items():
+        got = stats.p_adjust(events, "p", method).toPandas().set_index("event_id")["padj"]
+        assert len(got) == n and np.allclose(got.loc[known.index], np.minimum(values, 1), rtol=1e-9, atol=0), method
+
+
 def test_components_outliers_and_dimensions(data, spark):
     names = [f"cell_Category{i % 3}_Feature{i}" for i in range(12)]
     d = data.with_assay("raw", data.assay().select(names))
