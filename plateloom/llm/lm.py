@@ -1,35 +1,33 @@
-"""An n-gram language model in an Elias-Fano trie: trained on the whole corpus, read from memory-mapped files."""
+"""A trigram language model in Elias-Fano tries, one for each shard of contexts, trained on and asked by whole corpora."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark import SparkFiles
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plateloom.llm.common import stage
+from plateloom.llm import store
+from plateloom.llm.common import new_path, stage
 from plateloom.llm.language_id import held_out
 from plateloom.llm.memory import release, released
 
-#: Unless told otherwise, word pairs that occur less often are not kept and back off to single words. The query keeps all (1).
-MIN_PAIRS = 2
-#: Text that is counted at once, that is scored at once, and whose pairs share a shard of the trie, in bytes.
-WORK_BYTES, SCORE_BYTES = 10 << 20, 6 << 20
+#: Text whose n-grams are counted or scored at once, and whose n-grams share a shard, in bytes.
+WORK_BYTES = 8 << 20
 SHARD_BYTES = 1 << 24
 LEAST_SHARDS = 16
-#: Bits of a word's hash: of a context in a shard of pairs, and of a word within its context.
-CONTEXT_BITS, SUCCESSOR_BITS = 48, 40
-#: Counts of pairs are quantised, downwards, to the least count that is kept times powers of this.
-STEP = 1.07
-_BEGIN, _END = (xxhash.xxh64_intdigest(x) for x in (b" <s>", b" </s>"))  # no word begins with a blank
+#: Weights, in counts, of the next lower order in the probabilities of pairs and of triples of words.
+PRIORS = (4.0, 2.0)
+#: Probabilities and counts are quantised in so many steps to a power of two.
+STEPS = 1024
+#: Bits of a context's hash, and of a successor's within its context.
+CONTEXT_BITS, SUCCESSOR_BITS = 48, 32
+_END, _BEGIN, _AFTER = (xxhash.xxh64_intdigest(x) for x in (b" </s>", b" <s>", b" "))  # no word begins with a blank
 _SELECT = np.array([[[b for b in range(8) if x >> b & 1][r] if r < x.bit_count() else 8 for r in range(8)] for x in range(256)], np.uint8)
 _COUNT = np.array([x.bit_count() for x in range(256)], np.uint8)
 
@@ -46,6 +44,7 @@ class EliasFano:
         (self.n, self.width), self.low, self.high = parts[0].tolist(), parts[1], parts[2]
         self.ones = parts[3].astype(np.int64)
         self.zeros = np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones
+        self.plain: np.ndarray | None = None
 
     @staticmethod
     def encode(values: np.ndarray) -> list[np.ndarray]:
@@ -92,15 +91,26 @@ class EliasFano:
         highs = (self._select(i, self.ones, False) - i).astype(np.uint64)
         return (highs << np.uint64(self.width)) | self._lows(i)
 
+    def decode(self) -> np.ndarray:
+        """All values."""
+        at = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little"))[: self.n]
+        i = np.arange(self.n)
+        return ((at - i).astype(np.uint64) << np.uint64(self.width)) | self._lows(i)
+
     def find(self, values: np.ndarray) -> np.ndarray:
         """The first position of each value; -1 where it doesn't occur.
 
         Values with the same high bits stand together; from the first of them on, their low bits are searched for the
-        successor of what is looked for.
+        successor of what is looked for. For many values the sequence is decoded once.
         """
         out = np.full(len(values), -1, np.int64)
         if not self.n:
             return out
+        if self.n < 32 * len(values):
+            if self.plain is None:
+                self.plain = self.decode()
+            at = np.minimum(np.searchsorted(self.plain, values), self.n - 1)
+            return np.where(self.plain[at] == values, at, -1)
         highs, lows = (values >> np.uint64(self.width)).astype(np.int64), values & np.uint64((1 << self.width) - 1)
         todo = np.flatnonzero(highs < self.zeros[-1])
         h = highs[todo]
@@ -137,17 +147,24 @@ def unpack_arrays(data: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-# --- tokens -----------------------------------------------------------------------------------------------------------
-class Tokens(NamedTuple):
-    """Pairs of following tokens of a batch of texts, by the hash of their words."""
+# --- n-grams ----------------------------------------------------------------------------------------------------------
+class Block(NamedTuple):
+    """The tokens of some texts."""
+
+    words: np.ndarray  # hashes of the different tokens, in order
+    token: np.ndarray  # of each token its place in ``words``
+    owner: np.ndarray  # the text that it is in
+    ends: np.ndarray  # of each text
 
-    hashes: np.ndarray  # of the different words, then of the end and the beginning
-    context: np.ndarray
-    token: np.ndarray
-    owner: np.ndarray  # the text that a token is in
+    def digest(self, train: np.ndarray) -> int:
+        """A number that depends on all tokens and on which texts are learned from."""
+        h = xxhash.xxh64()
+        for a in (self.words, self.token, self.ends, np.packbits(train)):
+            h.update(np.ascontiguousarray(a).view(np.uint8))
+        return int(np.uint64(h.intdigest()).view(np.int64))
 
 
-def tokens_of(texts: pa.Array) -> Tokens:
+def block_of(texts: pa.Array) -> Block:
     """A-Z in lower case, words between ASCII white space, and an end; a null text is empty."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")).cast(pa.large_string()))
     offsets = lists.offsets.to_numpy().astype(np.int64)
@@ -159,9 +176,86 @@ def tokens_of(texts: pa.Array) -> Tokens:
         kept = np.concatenate([[0], np.cumsum(keep)])
         offsets, index = kept[offsets], index[keep]
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    end, begin = len(words), len(words) + 1
-    token, context = np.insert(index, offsets[1:], end), np.insert(index, offsets[:-1], begin)
-    return Tokens(np.concatenate([hashes, np.array([_END, _BEGIN], np.uint64)]), context.astype(np.int64), token.astype(np.int64), np.repeat(np.arange(len(texts)), np.diff(offsets) + 1))
+    token = np.insert(index.astype(np.int64), offsets[1:], len(words))
+    used, token = _renumbered(np.concatenate([hashes, np.array([_END], np.uint64)]), token)
+    sizes = np.diff(offsets) + 1
+    return Block(used, token, np.repeat(np.arange(len(texts)), sizes), np.cumsum(sizes))
+
+
+def _renumbered(hashes: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the tokens that occur, in order, and the tokens by these."""
+    occurs = np.zeros(len(hashes), bool)
+    occurs[token] = True
+    some = np.flatnonzero(occurs)
+    some = some[np.argsort(hashes[some])]
+    rank = np.zeros(len(hashes), np.int64)
+    rank[some] = np.arange(len(some))
+    return hashes[some], rank[token]
+
+
+class Grams(NamedTuple):
+    """The different contexts (pairs of tokens) of a block in order of their hashes, and the successors of each."""
+
+    context: np.ndarray  # hashes
+    sizes: np.ndarray  # different successors
+    successor: np.ndarray  # hashes, context by context
+    count: np.ndarray  # how often each triple occurs in texts that are learned from
+    place: np.ndarray | None  # of each token, the triple that it is the middle of
+    owner: np.ndarray | None  # of each token, the context that it ends
+
+
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = a * np.uint64(0x9E3779B97F4A7C15) + (b ^ (b >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+def grams_of(block: Block, train: np.ndarray, places: bool = False) -> Grams:
+    """Every token with the one before it and the one behind it; beyond a text stand a beginning and what comes after ends."""
+    v, n = len(block.words), len(block.token)
+    bits = (v + 1).bit_length()
+    token = block.token
+    before, behind = np.empty(n, np.int64), np.empty(n, np.int64)
+    before[1:], behind[:-1] = token[:-1], token[1:]
+    if n:
+        before[np.r_[0, block.ends[:-1]]] = v
+        behind[block.ends - 1] = v + 1
+    pair = (before << bits) | token
+    if 3 * bits > 62:  # too many different words for a key of three: pairs are numbered first
+        pairs, pair = np.unique(pair, return_inverse=True)
+    else:
+        pairs = None
+    key = (((pair << bits) | behind) << 1) | train[block.owner]
+    place = None
+    if places:
+        order = np.argsort(key)
+        key = key[order]
+    else:
+        key.sort()
+    new = np.r_[True, key[1:] >> 1 != key[:-1] >> 1] if n else np.zeros(0, bool)
+    starts = np.flatnonzero(new)
+    count = np.add.reduceat(key & 1, starts) if n else key
+    if places:
+        place = np.empty(n, np.int64)
+        place[order] = np.cumsum(new) - 1
+    key = key[starts] >> 1
+    pair, successor = key >> bits, key & ((1 << bits) - 1)
+    first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]) if n else starts
+    sizes = np.diff(np.r_[first, len(key)])
+    pair = pair[first] if pairs is None else pairs[pair[first]]
+    hashes = np.concatenate([block.words, np.array([_BEGIN, _AFTER], np.uint64)])
+    context = _mix(hashes[pair >> bits], hashes[pair & ((1 << bits) - 1)])
+    order = np.argsort(context)
+    moved = sizes[order]
+    at = np.r_[0, np.cumsum(moved)[:-1]] if n else moved
+    take = np.arange(len(key)) + np.repeat(first[order] - at, moved)
+    owner = None
+    if places:
+        back = np.empty(len(key), np.int64)
+        back[take] = np.arange(len(key))
+        place = back[place]
+        owner = np.repeat(np.arange(len(moved)), moved)[place]
+    return Grams(context[order], moved, hashes[successor[take]], count[take], place, owner)
 
 
 def _parts(batch: pa.RecordBatch, column: str, most: int):
@@ -173,301 +267,280 @@ def _parts(batch: pa.RecordBatch, column: str, most: int):
         at = to
 
 
-def _pair_shard(h1: np.ndarray, h2: np.ndarray, shards: int) -> np.ndarray:
-    """A pair's shard depends on both words, so that the pairs of a frequent word are spread."""
-    mixed = (h1 * np.uint64(0x9E3779B97F4A7C15)) ^ (h2 * np.uint64(0xC2B2AE3D27D4EB4F))
-    return ((mixed >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
+def _edges(hashes: np.ndarray, shards: int) -> np.ndarray:
+    """Where the ranges of hashes of the shards begin and end among sorted hashes."""
+    return np.r_[0, np.searchsorted(hashes, np.array([-(-(s << 24) // shards) << 40 for s in range(1, shards)], np.uint64)), len(hashes)]
 
 
-def _word_shard(h: np.ndarray, shards: int) -> np.ndarray:
-    return ((h >> np.uint64(40)) * np.uint64(shards) >> np.uint64(24)).astype(np.int64)
+def _small(values: np.ndarray) -> np.ndarray:
+    """Non-negative integers in the least type that holds them."""
+    return values.astype(np.min_scalar_type(int(values.max(initial=0))))
 
 
-def _split(shard: np.ndarray, shards: int, columns: list[np.ndarray]):
-    order = np.argsort(shard, kind="stable")
-    ends = np.searchsorted(shard[order], np.arange(shards + 1))
-    for s in range(shards):
-        if ends[s] < ends[s + 1]:
-            yield s, [c[order[ends[s] : ends[s + 1]]] for c in columns]
+def _blocks(batches):
+    for whole in released(batches):
+        for batch in _parts(whole, "text", WORK_BYTES):
+            yield batch, block_of(batch.column("text")), batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
 
 
-def _sums(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """The different keys in order, and the sums of the values of each."""
-    if not len(keys[0]):
-        return keys, values
-    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
-    keys = [k[order] for k in keys]
-    new = np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)]
-    starts = np.flatnonzero(new)
-    return [k[starts] for k in keys], [np.add.reduceat(v[order], starts) for v in values]
+def _send(shape: Shape):
+    """Each block's different words and triples, packed by shard: words first, then triples."""
 
+    def run(batches):
+        for _, block, train in _blocks(batches):
+            rows: list[tuple[int, bytes]] = []
+            times = np.bincount(block.token, train[block.owner], len(block.words)).astype(np.int64)
+            cut = _edges(block.words, shape.words)
+            for s in np.flatnonzero(np.diff(cut)).tolist():
+                rows.append((s, pack_arrays([block.words[cut[s] : cut[s + 1]], _small(times[cut[s] : cut[s + 1]])])))
+            grams = grams_of(block, train)
+            cut = _edges(grams.context, shape.grams)
+            ends = np.r_[0, np.cumsum(grams.sizes)][cut]
+            narrow = grams.context >> np.uint64(64 - CONTEXT_BITS)
+            successor = (grams.successor >> np.uint64(64 - SUCCESSOR_BITS)).astype(np.uint32)
+            for s in np.flatnonzero(np.diff(cut)).tolist():
+                own, triples = slice(cut[s], cut[s + 1]), slice(ends[s], ends[s + 1])
+                rows.append((shape.words + s, pack_arrays([narrow[own][:1], _small(np.diff(narrow[own])), _small(grams.sizes[own]), successor[triples], _small(grams.count[triples])])))
+            shards, payloads = zip(*rows)
+            name = block.digest(train)
+            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array([name] * len(rows), pa.int64()), pa.array(payloads, pa.binary())], names=["shard", "block", "payload"])
 
-# --- training ---------------------------------------------------------------------------------------------------------
+    return run
+
+
+# --- levels -----------------------------------------------------------------------------------------------------------
 class Shape(NamedTuple):
-    pairs: int  # shards of word pairs
+    grams: int  # shards of triples, by context
     words: int  # shards of words
 
 
-def _count(shape: Shape):
-    """Each batch's different words and pairs with their counts, packed by shard: words first, then pairs."""
+def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys in order, and the sums of the values of each."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else order
+    return keys[starts], np.add.reduceat(values[order], starts) if len(keys) else values
 
-    def run(batches):
-        for whole in released(batches):
-            for batch in _parts(whole, "text", WORK_BYTES):
-                t = tokens_of(batch.column("text"))
-                rows: list[tuple[int, bytes]] = []
-                n = np.bincount(t.token, minlength=len(t.hashes)).astype(np.int64)
-                some = np.flatnonzero(n)
-                for s, columns in _split(_word_shard(t.hashes[some], shape.words), shape.words, [t.hashes[some], n[some]]):
-                    rows.append((s, pack_arrays(columns)))
-                pairs, times = np.unique(t.context * len(t.hashes) + t.token, return_counts=True)
-                h1, h2 = t.hashes[pairs // len(t.hashes)], t.hashes[pairs % len(t.hashes)]
-                h2_cut = h2 >> np.uint64(64 - SUCCESSOR_BITS)
-                packed = [h1 >> np.uint64(64 - CONTEXT_BITS), h2_cut, times.astype(np.int64)]
-                for s, (a, b, c) in _split(_pair_shard(h1, h2, shape.pairs), shape.pairs, packed):
-                    # six and five bytes of hashes, and a byte for most counts
-                    large = np.flatnonzero(c >= 255)
-                    narrow = [a.view(np.uint8).reshape(-1, 8)[:, :6].ravel(), b.view(np.uint8).reshape(-1, 8)[:, :5].ravel(), np.minimum(c, 255).astype(np.uint8), large, c[large]]
-                    rows.append((shape.words + s, pack_arrays(narrow)))
-                at, payloads = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(payloads, pa.binary())], names=["shard", "payload"])
 
-    return run
+def words_level(hashes: np.ndarray, counts: np.ndarray) -> bytes:
+    """The first level: words, and the running sum of their counts."""
+    return pack_arrays([*EliasFano.encode(hashes), *EliasFano.encode(np.r_[0, np.cumsum(counts)])])
+
+
+def _logs(values: np.ndarray) -> np.ndarray:
+    return np.minimum(np.rint(np.log2(values) * STEPS) + 1, 65535).astype(np.uint16)
 
 
-def _wide(data: np.ndarray, width: int) -> np.ndarray:
-    out = np.zeros((len(data) // width, 8), np.uint8)
-    out[:, :width] = data.reshape(-1, width)
-    return out.view(np.uint64).ravel()
+_POWERS = np.r_[0.0, 2.0 ** (np.arange(65535) / STEPS)]
+_COUNTS, _SHARES = np.rint(_POWERS), np.r_[0.0, 1 / _POWERS[1:]]
 
 
-def _merge(shape: Shape, least: int):
-    """Sums a shard's counts. Pairs become a level of the trie and, for each word shard, what a context adds up to."""
+def grams_level(context: np.ndarray, sizes: np.ndarray, successor: np.ndarray, count: np.ndarray) -> bytes:
+    """The second and third level: contexts, pointers to their successors, successors, quantised probabilities.
+
+    A triple's probability is its count over that of the context and the weight of the lower order: what a smoothed
+    probability has beyond its back-off. Of a context the quantised count is kept, which its back-off and the
+    probability of its second word follow from. Successors ascend within a context; with its number above them throughout.
+    """
+    total = np.add.reduceat(count, np.r_[0, np.cumsum(sizes)[:-1]]) if len(sizes) else count
+    number = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
+    share = _logs((np.repeat(total, sizes) + PRIORS[1]) / count)
+    parts = [*EliasFano.encode(context), *EliasFano.encode(np.r_[0, np.cumsum(sizes)]), *EliasFano.encode((number << np.uint64(SUCCESSOR_BITS)) | successor)]
+    coded = [x for values in (_logs(total), share) for x in np.unique(values, return_inverse=True)]
+    return pack_arrays([*parts, *(x if x.dtype == np.uint16 else _small(x) for x in coded)])
+
+
+class WordsLevel:
+    def __init__(self, data: np.ndarray) -> None:
+        arrays = unpack_arrays(data)
+        self.words, self.sums = EliasFano(arrays[0:4]), EliasFano(arrays[4:8])
+
+    def counts(self, hashes: np.ndarray) -> np.ndarray:
+        at = self.words.find(hashes)
+        out = np.zeros(len(hashes), np.int64)
+        hit = at >= 0
+        if hit.any():
+            out[hit] = (self.sums[at[hit] + 1] - self.sums[at[hit]]).astype(np.int64)
+        return out
+
+
+class GramsLevel:
+    def __init__(self, data: np.ndarray) -> None:
+        a = unpack_arrays(data)
+        self.contexts, self.pointers, self.successors = (EliasFano(a[k : k + 4]) for k in (0, 4, 8))
+        self.total, self.share = (a[12], a[13]), (a[14], a[15])
+
+    def ask(self, context: np.ndarray, sizes: np.ndarray, successor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The codes of contexts and of the triples with their successors; 0 where they aren't known.
+
+        A successor is searched for among those of its context, relative to the context's place.
+        """
+        at = self.contexts.find(context)
+        totals, shares = np.zeros(len(context), np.uint16), np.zeros(len(successor), np.uint16)
+        totals[at >= 0] = self.total[0][self.total[1][at[at >= 0]]]
+        own = np.repeat(at, sizes)
+        rows = np.flatnonzero(own >= 0)
+        if len(rows):
+            found = self.successors.find((own[rows].astype(np.uint64) << np.uint64(SUCCESSOR_BITS)) | successor[rows])
+            rows, found = rows[found >= 0], found[found >= 0]
+            shares[rows] = self.share[0][self.share[1][found]]
+        return totals, shares
+
+
+_OUT = "kind int, block long, shard int, payload binary, tokens long, known long"
+_KINDS = {"kind": pa.int32(), "block": pa.int64(), "shard": pa.int32(), "payload": pa.binary(), "tokens": pa.int64(), "known": pa.int64()}
+_ANSWER, _TOTAL = 0, 1
+
+
+def _level(shape: Shape, learn: bool, folder: str | None, answer: bool):
+    """Sums a shard's counts to levels of the trie, or maps these into memory, and answers what each block asks of them."""
 
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        blobs = [unpack_arrays(np.frombuffer(x.as_py(), np.uint8)) for x in table.column("payload")]
-        if shard < shape.words:
-            (h,), (n,) = _sums([np.concatenate([b[0] for b in blobs])], [np.concatenate([b[1] for b in blobs])])
-            return pa.table({"kind": ["words"], "shard": pa.array([shard], pa.int32()), "payload": pa.array([pack_arrays([h, n])], pa.binary())})
-        counts = []
-        for b in blobs:
-            c = b[2].astype(np.int64)
-            c[b[3]] = b[4]
-            counts.append(c)
-        (h1, h2), (n,) = _sums([np.concatenate([_wide(b[0], 6) for b in blobs]), np.concatenate([_wide(b[1], 5) for b in blobs])], [np.concatenate(counts)])
-        keep = n >= least
-        level = (np.log(np.maximum(n, least) / least) / np.log(STEP) + 1e-9).astype(np.uint16)
-        if level.max(initial=0) < 256:  # a byte for each, unless a count of this shard needs two
-            level = level.astype(np.uint8)
-        held = np.where(keep, least * STEP ** level.astype(float), 0.0)
-        (context,), (followers, mass) = _sums([h1], [np.ones(len(h1), np.int64), held])
-        rows = [("pairs", shard - shape.words, pack_pairs(h1[keep], h2[keep], level[keep]))]
-        own = _word_shard(context << np.uint64(64 - CONTEXT_BITS), shape.words)
-        rows += [("contexts", s, pack_arrays(columns)) for s, columns in _split(own, shape.words, [context, followers, mass])]
-        kinds, shards, payloads = zip(*rows)
+        asked = [unpack_arrays(np.frombuffer(x.as_py(), np.uint8)) for x in table.column("payload")]
+        out: list[tuple] = []
+        words = shard < shape.words
+        if not words:
+            contexts = [np.concatenate([b[0], b[0] + np.cumsum(b[1].astype(np.uint64))]) for b in asked]
+        if learn and words:
+            hashes, counts = _sums(np.concatenate([b[0] for b in asked]), np.concatenate([b[1].astype(np.int64) for b in asked]))
+            some = counts > 0
+            data = words_level(hashes[some], counts[some])
+            out.append((_TOTAL, shard, shard, None, int(counts.sum()), int(some.sum())))
+        elif learn:
+            different, number = np.unique(np.concatenate(contexts), return_inverse=True)
+            number = np.repeat(number.astype(np.uint64), np.concatenate([b[2].astype(np.int64) for b in asked]))
+            key, count = _sums((number << np.uint64(SUCCESSOR_BITS)) | np.concatenate([b[3] for b in asked]), np.concatenate([b[4].astype(np.int64) for b in asked]))
+            del number
+            key, count = key[count > 0], count[count > 0]
+            sizes = np.bincount((key >> np.uint64(SUCCESSOR_BITS)).astype(np.int64), minlength=len(different))
+            data = grams_level(different[sizes > 0], sizes[sizes > 0], key & np.uint64((1 << SUCCESSOR_BITS) - 1), count)
+            del key, count, different
+        if learn and folder:
+            store.write(f"{folder}/{shard}", data)
+        if answer:
+            level = (WordsLevel if words else GramsLevel)(np.frombuffer(data, np.uint8) if learn else store.read(f"{folder}/{shard}"))
+            pack = zstandard.ZstdCompressor(level=1).compress
+            for k, (name, b) in enumerate(zip(table.column("block").to_pylist(), asked)):
+                found = [_small(level.counts(b[0]))] if words else [*level.ask(contexts[k], b[2], b[3])]
+                out.append((_ANSWER, name, shard, pack(pack_arrays(found)), 0, 0))
         release()
-        return pa.table({"kind": pa.array(kinds), "shard": pa.array(shards, pa.int32()), "payload": pa.array(payloads, pa.binary())})
+        columns = zip(*out) if out else [[]] * len(_KINDS)
+        return pa.table({k: pa.array(c, kind) for (k, kind), c in zip(_KINDS.items(), columns)})
 
     return run
 
 
-def pack_pairs(h1: np.ndarray, h2: np.ndarray, level: np.ndarray) -> bytes:
-    """The second level of the trie: contexts, pointers to their successors, successors, quantised counts.
+def _file(folder: str, block: int) -> str:
+    return f"{folder}/{block & 255:02x}/{block & (2**64 - 1):016x}"
 
-    Successors ascend within a context; with the context's number above them they ascend throughout.
-    """
-    contexts, first = np.unique(h1, return_index=True)
-    number = np.repeat(np.arange(len(contexts)), np.diff(np.r_[first, len(h1)])).astype(np.uint64)
-    pointers = np.r_[first, len(h1)]
-    parts = [*EliasFano.encode(contexts), *EliasFano.encode(pointers), *EliasFano.encode((number << np.uint64(SUCCESSOR_BITS)) | h2), level]
-    return pack_arrays(parts)
-
-
-def _words(table: pa.Table) -> pa.Table:
-    """The first level of the trie for a range of hashes: words, running sums of counts and followers, held mass."""
-    shard = table.column("shard")[0].as_py()
-    own, contexts = [], []
-    for kind, payload in zip(table.column("kind").to_pylist(), table.column("payload")):
-        (own if kind == "words" else contexts).append(unpack_arrays(np.frombuffer(payload.as_py(), np.uint8)))
-    h = np.concatenate([b[0] for b in own]) if own else np.zeros(0, np.uint64)
-    n = np.concatenate([b[1] for b in own]) if own else np.zeros(0, np.int64)
-    known, n_tokens = len(h), int(n.sum())
-    cut = np.concatenate([b[0] for b in contexts]) if contexts else np.zeros(0, np.uint64)
-    (cut,), (followers, mass) = _sums([cut], [np.concatenate([b[k] for b in contexts]) if contexts else np.zeros(0) for k in (1, 2)])
-    begin = np.uint64(_BEGIN >> (64 - CONTEXT_BITS))
-    if begin in cut:  # the beginning is a context, but no token
-        at = int(np.searchsorted(h, np.uint64(_BEGIN)))
-        h, n = np.insert(h, at, np.uint64(_BEGIN)), np.insert(n, at, 0)
-    where = np.searchsorted(cut, h >> np.uint64(64 - CONTEXT_BITS))
-    where = np.minimum(where, max(len(cut) - 1, 0))
-    hit = cut[where] == h >> np.uint64(64 - CONTEXT_BITS) if len(cut) else np.zeros(len(h), bool)
-    f = np.where(hit, followers[where] if len(cut) else 0, 0).astype(np.int64)
-    m = np.where(hit, mass[where] if len(cut) else 0, 0.0).astype(np.float32)
-    parts = [*EliasFano.encode(h), *EliasFano.encode(np.r_[0, np.cumsum(n)]), *EliasFano.encode(np.r_[0, np.cumsum(f)]), m]
-    return pa.table({"kind": ["level1"], "shard": pa.array([shard], pa.int32()), "payload": pa.array([pack_arrays(parts)], pa.binary()), "known": [known], "tokens": [n_tokens]})
+
+def _gather(folder: str):
+    """A block's answers, shard after shard, in a file of its own; totals are passed on."""
+
+    def run(table: pa.Table) -> pa.Table:
+        if table.column("kind")[0].as_py() == _ANSWER:
+            by = dict(zip(table.column("shard").to_pylist(), table.column("payload")))  # equal blocks ask, and get, the same
+            parts: list[list[np.ndarray]] = [[], [], []]
+            for s in sorted(by):
+                found = unpack_arrays(np.frombuffer(zstandard.ZstdDecompressor().decompress(by[s].as_py()), np.uint8))
+                for k, x in zip((0,) if len(found) == 1 else (1, 2), found):
+                    parts[k].append(x)
+            data = pack_arrays([_small(np.concatenate(p)) if p else np.zeros(0, np.uint8) for p in parts])
+            store.write(_file(folder, table.column("block")[0].as_py()), zstandard.ZstdCompressor(level=1).compress(data))
+        return pa.table({"tokens": [sum(table.column("tokens").to_pylist())], "known": [sum(table.column("known").to_pylist())]})
+
+    return run
 
 
 class Model(NamedTuple):
-    """Where the parts of a trie stand in its file, and the totals that its probabilities need."""
+    """Where the levels of a model stand, a file for each shard, and the totals that its probabilities need."""
 
-    file: str
-    parts: dict[tuple[str, int], tuple[int, int]]
+    folder: str
     shape: Shape
     vocabulary: int
     tokens: int
-    texts: int
-    least: int
 
 
-def train(docs: DataFrame, least: int = MIN_PAIRS) -> Model:
-    """A model of the texts of all rows of ``docs``.
+def _texts(docs: DataFrame, train) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), train.alias("train"))
 
-    Counting is distributed: batches are counted where they are, their packed counts are dealt by shard, and every shard
-    of words or pairs is summed and coded by a task of its own. The driver passes the coded shards on, one at a time,
-    to a file that every executor gets and maps into memory.
-    """
-    spark = docs.sparkSession
-    texts = docs.select(F.col("text").cast("string").alias("text"))
-    size, n_texts = texts.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
-    pairs = max(LEAST_SHARDS, -(-(size or 0) // SHARD_BYTES))
-    shape = Shape(pairs, max(LEAST_SHARDS, pairs // 2))
-    counted = texts.mapInArrow(_count(shape), "shard int, payload binary").groupBy("shard").applyInArrow(_merge(shape, least), "kind string, shard int, payload binary")
-    counted = stage(counted, "lm-counts")
-    level1 = counted.filter("kind in ('words', 'contexts')").groupBy("shard").applyInArrow(_words, "kind string, shard int, payload binary, known long, tokens long")
-    level1 = stage(level1, "lm-words")
-    known, tokens = level1.agg(F.sum("known"), F.sum("tokens")).first()
-    name = f"lm-{uuid.uuid4().hex}.bin"
-    path = os.path.join(tempfile.mkdtemp(), name)  # the driver's own copy; executors get theirs through Spark
-    parts, at = {}, 0
-    with open(path, "wb") as out:
-        for rows in (level1.select("kind", "shard", "payload"), counted.filter("kind = 'pairs'")):
-            for r in rows.toLocalIterator():
-                out.write(r.payload)
-                parts[r.kind, r.shard] = (at, len(r.payload))
-                at += len(r.payload)
-    spark.sparkContext.addFile(path)
-    return Model(name, parts, shape, known or 0, tokens or 0, n_texts, least)
-
-
-# --- scoring ----------------------------------------------------------------------------------------------------------
-_OPEN: dict[str, dict] = {}
-
-
-class Trie:
-    """A trie in a mapped file; a worker opens each once."""
-
-    def __init__(self, model: Model) -> None:
-        self.model = model
-        self.data = np.memmap(SparkFiles.get(model.file), np.uint8, "r") if model.parts else np.zeros(0, np.uint8)
-        self.cached: dict = {}
 
-    @staticmethod
-    def of(model: Model) -> Trie:
-        if model.file not in _OPEN:
-            _OPEN.clear()
-            _OPEN[model.file] = Trie(model)
-        return _OPEN[model.file]
-
-    def part(self, kind: str, shard: int) -> list | None:
-        key = kind, shard
-        if key not in self.cached:
-            if key not in self.model.parts:
-                self.cached[key] = None
-            else:
-                at, size = self.model.parts[key]
-                arrays = unpack_arrays(self.data[at : at + size])
-                self.cached[key] = [EliasFano(arrays[0:4]), EliasFano(arrays[4:8]), EliasFano(arrays[8:12]), arrays[12]]
-        return self.cached[key]
-
-    def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Count, number of different followers, and mass of the kept pairs of each word; zeros for unknown ones."""
-        count, followers, mass = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64), np.zeros(len(hashes))
-        own = _word_shard(hashes, self.model.shape.words)
-        for s in np.unique(own).tolist():
-            if (part := self.part("level1", s)) is None:
-                continue
-            rows = np.flatnonzero(own == s)
-            at = part[0].find(hashes[rows])
-            rows, at = rows[at >= 0], at[at >= 0]
-            if len(rows):
-                count[rows] = (part[1][at + 1] - part[1][at]).astype(np.int64)
-                followers[rows] = (part[2][at + 1] - part[2][at]).astype(np.int64)
-                mass[rows] = part[3][at]
-        return count, followers, mass
-
-    def pairs(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        """The quantised count of each pair, zero if it isn't kept. Equal contexts should stand together."""
-        out = np.zeros(len(h1))
-        own = _pair_shard(h1, h2, self.model.shape.pairs)
-        order = np.argsort(own, kind="stable")
-        ends = np.searchsorted(own[order], np.arange(self.model.shape.pairs + 1))
-        for s in range(self.model.shape.pairs):
-            rows = order[ends[s] : ends[s + 1]]
-            if not len(rows) or (part := self.part("pairs", s)) is None:
-                continue
-            context = h1[rows] >> np.uint64(64 - CONTEXT_BITS)
-            new = np.r_[True, context[1:] != context[:-1]]
-            at = part[0].find(context[new])[np.cumsum(new) - 1]
-            rows, at = rows[at >= 0], at[at >= 0]
-            if not len(rows):
-                continue
-            target = (at.astype(np.uint64) << np.uint64(SUCCESSOR_BITS)) | (h2[rows] >> np.uint64(64 - SUCCESSOR_BITS))
-            found = part[2].find(target)
-            rows, at, found = rows[found >= 0], at[found >= 0], found[found >= 0]
-            if len(rows):
-                # a successor counts only between its context's pointers
-                inside = (part[1][at].astype(np.int64) <= found) & (found < part[1][at + 1].astype(np.int64))
-                out[rows[inside]] = self.model.least * STEP ** part[3][found[inside]].astype(float)
-        return out
+def _shape(texts: DataFrame) -> Shape:
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    grams = max(LEAST_SHARDS, -(-size // SHARD_BYTES))
+    return Shape(grams, max(LEAST_SHARDS, grams // 4))
 
-    def score(self, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each token: its count, its base score and the log10 probability given the token before it.
 
-        Seen pairs have the count over that of the context and its different followers (Witten and Bell); what the
-        kept pairs leave of the context's mass is shared as single words are.
-        """
-        m = self.model
-        count, followers, mass = self.words(t.hashes)
-        base = (count + 1) / (m.tokens + m.vocabulary + 1)
-        total = count + followers
-        begin = len(t.hashes) - 1
-        total[begin] = m.texts + followers[begin] if followers[begin] else 0
-        pairs, at = np.unique(t.context * len(t.hashes) + t.token, return_inverse=True)
-        first, second = pairs // len(t.hashes), pairs % len(t.hashes)
-        kept = self.pairs(t.hashes[first], t.hashes[second])
-        whole = np.maximum(total[first], 1)
-        rest = np.where(total[first] > 0, 1 - mass[first] / whole, 1.0)
-        given = np.log10(kept / whole + rest * base[second])
-        return count[t.token], np.log10(base)[t.token], given[at]
+def _answers(texts: DataFrame, shape: Shape, learn: bool, folder: str | None, answer: str | None) -> tuple[int, int]:
+    """Runs all shards; tokens and different words that were learned from."""
+    rows = texts.mapInArrow(_send(shape), "shard int, block long, payload binary")
+    rows = rows.groupBy("shard").applyInArrow(_level(shape, learn, folder, answer is not None), _OUT)
+    if answer is not None:
+        rows = rows.groupBy("kind", "block").applyInArrow(_gather(answer), "tokens long, known long")
+    return tuple(x or 0 for x in stage(rows.select("tokens", "known"), "lm-totals").agg(F.sum("tokens"), F.sum("known")).first())
+
+
+def train(docs: DataFrame) -> Model:
+    """A model of the texts of all rows of ``docs``, in files of the shared folder.
+
+    Blocks of text are counted where they are; their packed counts are dealt by the hash of words or contexts, and every
+    shard of words or contexts is summed, coded and written by a task of its own. The driver sees two totals.
+    """
+    texts = _texts(docs, F.lit(True))
+    shape, folder = _shape(texts), new_path(docs.sparkSession, "lm")
+    tokens, known = _answers(texts, shape, True, folder, None)
+    return Model(folder, shape, known, tokens)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``(doc_id, n_tokens, n_known, base_score, score)`` for each row of ``docs``, over whole texts."""
+    """``(doc_id, n_tokens, n_known, base_score, score)`` for each row of ``docs``, over whole texts, by a kept model.
 
-    def run(batches):
-        trie = Trie.of(model)
-        for whole in released(batches):
-            for batch in _parts(whole, "text", SCORE_BYTES):
-                t = tokens_of(batch.column("text"))
-                count, base, given = trie.score(t)
-                n = batch.num_rows
-                columns = [np.bincount(t.owner, minlength=n), np.bincount(t.owner, count > 0, n).astype(np.int64), np.bincount(t.owner, base, n), np.bincount(t.owner, given, n)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, columns)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+    Blocks send what they ask to the shards, which map their levels into memory; no task reads more than a shard.
+    """
+    texts, answers = _texts(docs, F.lit(False)), new_path(docs.sparkSession, "lm-answers")
+    _answers(texts, model.shape, False, model.folder, answers)
+    return _scores(texts, answers, model.tokens, model.vocabulary)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
+def _scores(texts: DataFrame, answers: str, tokens: int, vocabulary: int) -> DataFrame:
+    """Scores from the answers to each block, which a block finds by what it consists of."""
 
-def score_documents(docs: DataFrame, remainder: int = 2, of: int = 7, least: int = MIN_PAIRS) -> DataFrame:
+    def run(batches):
+        for batch, block, train in _blocks(batches):
+            n = batch.num_rows
+            grams = grams_of(block, train, places=True)
+            found = unpack_arrays(np.frombuffer(zstandard.ZstdDecompressor().decompress(store.read(_file(answers, block.digest(train))).tobytes()), np.uint8))
+            count = found[0].astype(np.int64)[block.token]
+            base = (count + 1) / (tokens + vocabulary + 1)
+            pair = _COUNTS[found[1][grams.owner]]  # how often a token follows the one before it
+            share = _SHARES[found[2][grams.place]]
+            given = base.copy()
+            inner = np.ones(len(count), bool)
+            inner[np.r_[0, block.ends[:-1]]] = False
+            j = np.flatnonzero(inner)
+            second = (pair[j] + PRIORS[0] * base[j]) / (count[j - 1] + PRIORS[0])
+            given[j] = share[j - 1] + PRIORS[1] / (pair[j - 1] + PRIORS[1]) * second
+            sums = [np.bincount(block.owner, w, n) for w in (np.log10(base), np.log10(given))]
+            columns = [np.bincount(block.owner, minlength=n), np.bincount(block.owner, count > 0, n).astype(np.int64), *sums]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, columns)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    return texts.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+
+
+def score_documents(docs: DataFrame, remainder: int = 2, of: int = 7) -> DataFrame:
     """Scores all rows of ``docs``, learning from those whose crc32(doc_id) mod ``of`` isn't ``remainder``.
 
-    Columns: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``. Null and empty texts are an end
-    alone. Rows with a null doc_id are learned from. Repeated rows are learned from and scored as often as they
-    occur. With nothing to learn from every token is unknown. An empty table gives an empty result. Other columns
-    are ignored.
+    Columns: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``. ``score`` is the log10
+    probability of a text: of its first token as a single word, of others given the two before, or one, smoothed by the lower
+    orders with the weights ``PRIORS``; no n-gram is left out. Each shard's levels are asked where they are made, so
+    that counts and questions are shuffled once. The rows have to come in the same order whenever they are read, as from files.
+    Null and empty texts are an end alone. Rows with a null doc_id are learned from. Repeated rows are learned from and
+    scored as often as they occur. With nothing to learn from every token is unknown. An empty table gives an empty
+    result. Other columns are ignored.
     """
     out = held_out(F.col("doc_id"), remainder, of)
-    model = train(docs.filter(~out), least)
-    scored = score(docs, model)
-    return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    texts, answers = _texts(docs, ~out), new_path(docs.sparkSession, "lm-answers")
+    tokens, known = _answers(texts, _shape(texts), True, None, answers)
+    scored = _scores(texts, answers, tokens, known)
+    return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
