@@ -45,6 +45,7 @@ class EliasFano:
         self.ones = parts[3].astype(np.int64)
         self.zeros = np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones
         self.plain: np.ndarray | None = None
+        self.asked = 0
 
     @staticmethod
     def encode(values: np.ndarray) -> list[np.ndarray]:
@@ -101,14 +102,15 @@ class EliasFano:
         """The first position of each value; -1 where it doesn't occur.
 
         Values with the same high bits stand together; from the first of them on, their low bits are searched for the
-        successor of what is looked for. For many values the sequence is decoded once.
+        successor of what is looked for. Once many values have been asked for, the sequence is decoded.
         """
         out = np.full(len(values), -1, np.int64)
         if not self.n:
             return out
-        if self.n < 32 * len(values):
-            if self.plain is None:
-                self.plain = self.decode()
+        self.asked += len(values)
+        if self.plain is None and self.n < 32 * self.asked:
+            self.plain = self.decode()
+        if self.plain is not None:
             at = np.minimum(np.searchsorted(self.plain, values), self.n - 1)
             return np.where(self.plain[at] == values, at, -1)
         highs, lows = (values >> np.uint64(self.width)).astype(np.int64), values & np.uint64((1 << self.width) - 1)
