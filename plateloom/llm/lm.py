@@ -18,8 +18,8 @@ from plateloom.llm.language_id import held_out
 from plateloom.llm.memory import release, released
 
 #: Text whose n-grams are counted or scored at once, and whose n-grams share a shard, in bytes.
-WORK_BYTES = 8 << 20
-SHARD_BYTES = 1 << 24
+WORK_BYTES = 6 << 20
+SHARD_BYTES = 12 << 20
 LEAST_SHARDS = 16
 #: Weights, in counts, of the next lower order in the probabilities of pairs and of triples of words.
 PRIORS = (4.0, 2.0)
