@@ -238,9 +238,13 @@ def calculate_feature_filters(data: DataFrame, filters: list[FilterSpec], featur
 
 
 def calculate_object_filters(data: DataFrame, filters: list[FilterSpec], grouping: str | None = None, features: list[str] | None = None, na_fail: bool = True, key: str = OBJECT) -> DataFrame:
-    """``(object_id, <filter>...)``: a boolean for each object and filter. Filters don't depend on each other."""
+    """``(object_id, <filter>...)``: a boolean for each object and filter. Filters don't depend on each other.
+
+    Filters of scaled values are grouped by their own ``metadata_group``, a column of ``data``, or else by ``grouping``.
+    """
     check_filter_list(filters)
-    features = features or [c for c in columns_but(data, key, IMAGE) if c != grouping]
+    groupings = {grouping, *(f.metadata_group for f in filters)}
+    features = features or [c for c in columns_but(data, key, IMAGE) if c not in groupings]
     out, made = data, {}
     for k, f in enumerate(filters):
         own, name = matching(f.column_pattern, features), f"_f{k}"
@@ -249,12 +253,12 @@ def calculate_object_filters(data: DataFrame, filters: list[FilterSpec], groupin
                 warnings.warn(f"no column matches {f.column_pattern}", stacklevel=2)
             made[f.name] = F.lit(True)
             continue
-        by = base_name(f.func)
+        by, own_group = base_name(f.func), f.metadata_group or grouping
         if by in SCALED_FILTERS:
             if by == "filter_vec_mod_z_perc":
-                out = filter_vec_mod_z_perc(out, own, f.threshold, f.threshold2 if f.threshold2 is not None else 1.0, grouping, out=name)
+                out = filter_vec_mod_z_perc(out, own, f.threshold, f.threshold2 if f.threshold2 is not None else 1.0, own_group, out=name)
             else:
-                out = filter_vec_mod_z_sum(out, own, f.threshold, grouping, out=name)
+                out = filter_vec_mod_z_sum(out, own, f.threshold, own_group, out=name)
             made[f.name] = col(name)
         elif by in ROW_FILTERS:
             made[f.name] = filter_sum(own, f.threshold, ROW_FILTERS[by]) if len(own) > 1 or f.func.endswith("_sum") else ROW_FILTERS[by](own[0], f.threshold)

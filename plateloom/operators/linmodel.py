@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import warnings
 from dataclasses import dataclass, replace
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -14,7 +15,7 @@ from pyspark.sql import types as T
 from plateloom.functions import special
 from plateloom.functions.exprs import all_of, col, missing, number
 from plateloom.model import OBJECT, Assay, Dataset, columns_but
-from plateloom.operators.reduce import gram
+from plateloom.operators.reduce import cross_products
 from plateloom.operators.resolve import get_data_by_object
 from plateloom.operators.transform import fast_colscale
 
@@ -26,6 +27,7 @@ class Design:
     names: list[str]
     columns: list[Column]
     covariates: list[str]
+    terms: list[str]  # the formula's term that each column comes from
 
 
 def _levels(df: DataFrame, name: str, most: int = 10_000) -> list[str]:
@@ -70,20 +72,20 @@ def model_matrix(df: DataFrame, formula: str | None = None, covariates: list[str
             continue
         if "*" in t and not t.startswith("I("):
             parts = t.split("*")
-            t_all = [*parts, *([":".join(parts)] if len(parts) > 1 else [])]
+            t_all = [":".join(some) for k in range(1, len(parts) + 1) for some in combinations(parts, k)]
         else:
             t_all = [t]
         terms += [x for x in t_all if x not in terms]
-    made = [("(Intercept)", F.lit(1.0))] if intercept else []
+    made = [("(Intercept)", F.lit(1.0), "1")] if intercept else []
     for t in terms:
-        made += _term(df, t)
+        made += [(name, column, t) for name, column in _term(df, t)]
     used = sorted({x for t in terms for x in re.findall(r"[A-Za-z_.][\w.]*", re.sub(r"\b(I|poly|raw|TRUE|T)\b", "", t)) if x in df.columns})
-    return Design([n for n, _ in made], [x for _, x in made], used)
+    return Design([n for n, _, _ in made], [x for _, x, _ in made], used, [t for _, _, t in made])
 
 
 def check_unused_covar(design: Design, dont_use: list[str] | None) -> list[int]:
-    """Positions of design columns that belong to covariates whose effect stays in the residuals."""
-    out = [i for i, n in enumerate(design.names) if any(n == c or n.startswith(c) for c in dont_use or [])]
+    """Positions of design columns whose effect stays in the residuals: those of a term, such as a factor, or of one name."""
+    out = [i for i, (n, t) in enumerate(zip(design.names, design.terms)) if n in (dont_use or []) or t in (dont_use or [])]
     if dont_use and not out:
         raise ValueError(f"no column of the design belongs to {', '.join(dont_use)}")
     return out
@@ -106,47 +108,66 @@ class Fit:
     kept: list[int]
 
 
-def solve(cross: np.ndarray, n: int, names: list[str], responses: list[str], dont_use: list[int] = (), keep_zerocol: bool = False, eigen_tol: float = 1e-8) -> Fit:
-    """Least squares of many responses on one design, from the cross product of both.
+def _solvable(cross: np.ndarray, kept: list[int], names: list[str], eigen_tol: float) -> list[int]:
+    """``kept`` without its last columns, as many as the scaled cross product has eigenvalues near zero."""
+    while kept:
+        size = np.sqrt(np.maximum(np.diag(cross)[kept], 0))
+        scaled = cross[np.ix_(kept, kept)] / np.outer(*[np.where(size > 0, size, 1)] * 2)
+        small = int((np.linalg.eigvalsh(scaled) < eigen_tol).sum())
+        if not small:
+            break
+        warnings.warn(f"{small} eigenvalues of the design are near zero: its last columns go ({', '.join(names[i] for i in kept[-small:])})", stacklevel=3)
+        kept = kept[: len(kept) - small]
+    return kept
+
 
-    Design columns whose sum is zero go unless ``keep_zerocol``; if k eigenvalues of X'X are below the tolerance, so do the
-    last k columns. Effects of ``dont_use`` columns are fitted but count neither as explained nor as residual.
+def solve(cross: np.ndarray, n: int, sums: np.ndarray, names: list[str], responses: list[str], dont_use: list[int] = (), keep_zerocol: bool = False, eigen_tol: float = 1e-8) -> Fit:
+    """Least squares of many responses on one design, from the cross product of both, centred, and their sums.
+
+    Design columns whose sum is zero go unless ``keep_zerocol``; if k eigenvalues of the scaled X'X are below the tolerance, so
+    do the last k columns. Effects of ``dont_use`` columns are fitted but count neither as explained nor as residual.
+    With an intercept everything is worked out about the means, so that large means cost no digits.
     """
     p = len(names)
-    kept = list(range(p))
-    if not keep_zerocol and "(Intercept)" in names:
-        sums = cross[names.index("(Intercept)"), :p]
-        gone = [i for i in kept if sums[i] == 0]
+    at = names.index("(Intercept)") if "(Intercept)" in names else None
+    mean = sums / n
+    used = cross if at is not None else cross + np.outer(sums, mean)
+    slopes = [i for i in range(p) if i != at]
+    if not keep_zerocol and at is not None:
+        gone = [i for i in slopes if sums[i] == 0]
         if gone:
             warnings.warn(f"columns that sum to zero go: {', '.join(names[i] for i in gone)}", stacklevel=2)
-        kept = [i for i in kept if i not in gone]
-    small = int((np.linalg.eigvalsh(cross[np.ix_(kept, kept)]) < eigen_tol).sum())
-    if small:
-        warnings.warn(f"{small} eigenvalues of the design are near zero: its last columns go", stacklevel=2)
-        kept = kept[: len(kept) - small]
-    xx, xy, yy = cross[np.ix_(kept, kept)], cross[kept, p:], np.diag(cross)[p:]
-    inverse = np.linalg.inv(xx)
-    coef = inverse @ xy
+        slopes = [i for i in slopes if i not in gone]
+    slopes = _solvable(used, slopes, names, eigen_tol)
+    kept = sorted([*slopes, *([at] if at is not None else [])])
+    size = np.sqrt(np.diag(used)[slopes])
+    xx, xy, yy = used[np.ix_(slopes, slopes)], used[slopes, p:], np.diag(used)[p:]
+    inverse = np.linalg.inv(xx / np.outer(size, size)) / np.outer(size, size) if slopes else np.zeros((0, 0))
+    b = inverse @ xy
     dof = n - len(kept)
-    rss = np.maximum(yy - (coef * xy).sum(0), 0)
+    rss = np.maximum(yy - 2 * (b * xy).sum(0) + np.einsum("ij,ik,kj->j", b, xx, b), 0)
     mse = rss / dof if dof > 0 else np.full(len(yy), np.nan)
-    se = np.sqrt(np.outer(np.diag(inverse), mse))
+    coef, whole = np.zeros((p, len(responses))), np.zeros((p, p))
+    coef[slopes], whole[np.ix_(slopes, slopes)] = b, inverse
+    if at is not None:
+        coef[at] = mean[p:] - mean[slopes] @ b
+        whole[at, slopes] = whole[slopes, at] = -(mean[slopes] @ inverse)
+        whole[at, at] = 1 / n + mean[slopes] @ inverse @ mean[slopes]
+    coef, whole = coef[kept], whole[np.ix_(kept, kept)]
+    se = np.sqrt(np.outer(np.diag(whole), mse))
     with np.errstate(divide="ignore", invalid="ignore"):
         t = coef / se
-        total = yy - (cross[names.index("(Intercept)"), p:] ** 2 / n if "(Intercept)" in names else 0)
         if dont_use:
             # residuals of the used columns alone, centred
-            used = np.where(np.isin(kept, dont_use), 0, 1)[:, None] * coef
-            raw = yy - 2 * (used * xy).sum(0) + np.einsum("ij,ik,kj->j", used, xx, used)
-            centre = ((cross[names.index("(Intercept)"), p:] - cross[names.index("(Intercept)"), kept] @ used) if "(Intercept)" in names else 0) ** 2 / n
-            rss = np.maximum(raw - centre, 0)
-        rank = len(kept) - ("(Intercept)" in names)
-        r2 = 1 - rss / total
+            own = np.where(np.isin(slopes, dont_use), 0, 1)[:, None] * b
+            rss = np.maximum(yy - 2 * (own * xy).sum(0) + np.einsum("ij,ik,kj->j", own, xx, own), 0)
+        rank = len(slopes)
+        r2 = 1 - rss / yy
         adj = 1 - (1 - r2) * (n - 1) / dof
         f = (r2 / rank) / ((1 - r2) / dof) if rank else np.full(len(yy), np.nan)
         p_f = special.f_upper(f, np.full(len(yy), float(rank)), np.full(len(yy), float(dof))) if rank else np.full(len(yy), np.nan)
     stats = {"r2": r2, "adj_r2": adj, "f_stat": f, "p_value": p_f}
-    return Fit([names[i] for i in kept], responses, coef, se, special.t_two_sided(t, np.full_like(t, float(dof))), dof, n, mse, inverse, stats, kept)
+    return Fit([names[i] for i in kept], responses, coef, se, special.t_two_sided(t, np.full_like(t, float(dof))), dof, n, mse, whole, stats, kept)
 
 
 def _tables(df: DataFrame, design: Design, responses: list[str]) -> tuple[DataFrame, list[str]]:
@@ -163,10 +184,13 @@ def lm_matrix(df: DataFrame, responses: list[str], design: Design, dont_use: lis
     """
     rows, names = _tables(df, design, responses)
     hidden = check_unused_covar(design, dont_use)
+    found = cross_products(rows, [*names, *responses], group)
+    fits = {g: solve(c, n, sums, design.names, responses, hidden, **how) for g, (c, n, sums) in found.items()}
     if group:
-        return {g: solve(c, n, design.names, responses, hidden, **how) for g, (c, n) in gram(rows, [*names, *responses], group=group).items()}
-    cross, n = gram(rows, [*names, *responses])
-    return solve(cross, n, design.names, responses, hidden, **how)
+        return fits
+    if not fits:
+        raise ValueError("no row has all covariates and responses")
+    return fits["0"]
 
 
 def complete_responses(df: DataFrame, responses: list[str]) -> list[str]:

@@ -15,45 +15,60 @@ from plateloom.functions.exprs import agg_wide, col, divide, known, missing, num
 from plateloom.model import OBJECT, Dataset, Reduction, columns_but
 
 
-def gram(df: DataFrame, columns: list[str], intercept: bool = False, group: str | None = None):
-    """X'X over all rows without a missing value, and their number; by group, a dict of both.
+def cross_products(df: DataFrame, columns: list[str], group: str | None = None) -> dict[str, tuple[np.ndarray, int, np.ndarray]]:
+    """By group (``0`` without one): the cross product of the centred columns, the rows, and the columns' sums.
 
-    Every task sums its rows; a row of the product is summed by one task each. The driver gets a matrix, whose size depends on
-    the columns alone.
+    Rows with a missing value don't count. Every batch is centred on its own means before it is multiplied, and parts are
+    merged by their means, so that columns with means far above their spread keep their digits. Every task sums its rows; a
+    row of the product is summed by one task each. The driver gets matrices, whose size depends on columns and groups alone.
     """
-    k = len(columns) + intercept
-    schema = "g string, i int, n long, v array<double>"
+    k = len(columns)
+    schema = "g string, i int, n long, v array<double>, s array<double>"
+
+    def merge(one: list, other: list) -> list:
+        (v, n, s), (w, m, t) = one, other
+        gap = t / m - s / n
+        return [v + w + np.outer(gap, gap) * (n * m / (n + m)), n + m, s + t]
 
     def partial(batches):
         sums: dict = {}
         for batch in batches:
-            x = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns], 1) if columns else np.zeros((batch.num_rows, 0))
-            x = np.hstack([np.ones((len(x), 1)), x]) if intercept else x
+            x = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns], 1)
             whole = ~np.isnan(x).any(1)
             keys = batch.column("_g").to_numpy(zero_copy_only=False) if group else np.zeros(len(x), int)
             for key in pd.unique(keys[whole]):
                 own = x[whole & (keys == key)]
-                total = sums.setdefault(key, [np.zeros((k, k)), 0])
-                total[0] += own.T @ own
-                total[1] += len(own)
-        for key, (total, n) in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([str(key)] * k), pa.array(range(k), pa.int32()), pa.array([n] * k, pa.int64()), pa.array(list(total), pa.list_(pa.float64()))], names=["g", "i", "n", "v"])
+                total = own.sum(0)
+                centred = own - total / len(own)
+                part = [centred.T @ centred, len(own), total]
+                sums[key] = merge(sums[key], part) if key in sums else part
+        for key, (v, n, s) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([str(key)] * k), pa.array(range(k), pa.int32()), pa.array([n] * k, pa.int64()), pa.array(list(v), pa.list_(pa.float64())), pa.array([s] * k, pa.list_(pa.float64()))], names=["g", "i", "n", "v", "s"])
 
     def add(table: pa.Table) -> pa.Table:
-        total = np.sum(np.stack(table.column("v").to_numpy(zero_copy_only=False)), 0)
-        return pa.table({"g": table.column("g")[:1], "i": table.column("i")[:1], "n": [sum(table.column("n").to_pylist())], "v": pa.array([total], pa.list_(pa.float64()))})
+        i = table.column("i")[0].as_py()
+        rows = [[np.array(v), n, np.array(s)] for v, n, s in zip(*(table.column(c).to_pylist() for c in "vns"))]
+        v, n, s = rows[0]
+        for w, m, t in rows[1:]:
+            gap = t / m - s / n
+            v, n, s = v + w + gap[i] * gap * (n * m / (n + m)), n + m, s + t
+        return pa.table({"g": table.column("g")[:1], "i": table.column("i")[:1], "n": [n], "v": pa.array([v], pa.list_(pa.float64())), "s": pa.array([s], pa.list_(pa.float64()))})
 
     rows = df.select(*([col(group).cast("string").alias("_g")] if group else []), *(number(c).alias(c) for c in columns))
     if group:
         rows = rows.filter(col("_g").isNotNull())
-    summed = rows.mapInArrow(partial, schema).groupBy("g", "i").applyInArrow(add, schema).collect()
     out: dict = {}
-    for r in summed:
-        out.setdefault(r.g, [np.zeros((k, k)), 0])[0][r.i] = r.v
-        out[r.g][1] = r.n
-    if group:
-        return {g: (m, n) for g, (m, n) in out.items()}
-    return tuple(out.get("0", [np.zeros((k, k)), 0]))
+    for r in rows.mapInArrow(partial, schema).groupBy("g", "i").applyInArrow(add, schema).collect():
+        own = out.setdefault(r.g, [np.zeros((k, k)), r.n, np.array(r.s)])
+        own[0][r.i] = r.v
+    # parts may be merged in another order for each row
+    return {g: ((v + v.T) / 2, n, s) for g, (v, n, s) in out.items()}
+
+
+def gram(df: DataFrame, columns: list[str], group: str | None = None):
+    """X'X over all rows without a missing value, and their number; by group, a dict of both."""
+    found = {g: (v + np.outer(s, s) / n, n) for g, (v, n, s) in cross_products(df, columns, group).items()}
+    return found if group else found.get("0", (np.zeros((len(columns),) * 2), 0))
 
 
 def complete_features(df: DataFrame, features: list[str]) -> list[str]:
@@ -86,10 +101,10 @@ def signed(vectors: np.ndarray) -> np.ndarray:
 
 def principal_components(df: DataFrame, features: list[str], n: int | None = None, center: bool = False, scale: bool = False) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
     """Loadings, variances, total variance and centres. Without ``center`` columns are taken as they are."""
-    g, rows = gram(df, features, intercept=True)
-    mean = g[0, 1:] / max(rows, 1)
-    cross = g[1:, 1:] - (rows * np.outer(mean, mean) if center else 0)
-    cov = cross / max(rows - 1, 1)
+    k = len(features)
+    cross, rows, sums = cross_products(df, features).get("0", (np.zeros((k, k)), 0, np.zeros(k)))
+    mean = sums / max(rows, 1)
+    cov = (cross + (0 if center else rows * np.outer(mean, mean))) / max(rows - 1, 1)
     if scale:
         sd = np.sqrt(np.diag(cov))
         cov = cov / np.outer(sd, sd)
@@ -160,20 +175,20 @@ def find_outliers_pca(df: DataFrame, features: list[str], qc_group: str | None =
         centre[r["_g"]], scale[r["_g"]] = pick("c", 0.0), pick("s", 1.0)
     sent = df.sparkSession.sparkContext.broadcast((used, centre, scale))
 
-    def scaled(batch: pa.RecordBatch) -> tuple[list[str], np.ndarray]:
+    def scaled(batch: pa.RecordBatch) -> tuple[list[str], np.ndarray, np.ndarray]:
         used, centre, scale = sent.value
-        groups = batch.column("_g").to_pylist()
+        groups, code = np.unique(batch.column("_g").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
         x = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names], 1)
-        for g in set(groups):
-            own = np.array([v == g for v in groups])
+        for i, g in enumerate(groups.tolist()):
+            own = code == i
             x[own] = np.where(used[g], (x[own] - centre[g]) / scale[g], 0.0)
-        return groups, x
+        return groups.tolist(), code, x
 
     def standard(batches):
         for batch in batches:
             if batch.num_rows:
-                groups, x = scaled(batch)
-                yield pa.RecordBatch.from_arrays([pa.array(groups, pa.string()), *(pa.array(x[:, j]) for j in range(x.shape[1]))], names=["_g", *names])
+                _, _, x = scaled(batch)
+                yield pa.RecordBatch.from_arrays([batch.column("_g"), *(pa.array(x[:, j]) for j in range(x.shape[1]))], names=["_g", *names])
 
     z = rows.select("_g", *names).mapInArrow(standard, "_g string, " + ", ".join(f"{x} double" for x in names))
     spaces = {g: outlier_components(cross, n, used[g], **how) for g, (cross, n) in gram(z, names, group="_g").items()}
@@ -183,13 +198,12 @@ def find_outliers_pca(df: DataFrame, features: list[str], qc_group: str | None =
         for batch in batches:
             if not batch.num_rows:
                 continue
-            groups, x = scaled(batch)
-            pcs: list = [None] * len(groups)
-            for g in set(groups):
-                own = [i for i, v in enumerate(groups) if v == g]
+            groups, code, x = scaled(batch)
+            pcs = np.empty(len(x), object)
+            for i, g in enumerate(groups):
+                own = np.flatnonzero(code == i)
                 vectors, var = spaces_sent.value[g]
-                for i, row in zip(own, (x[own] @ vectors) / np.sqrt(var)):
-                    pcs[i] = row
+                pcs[own] = list((x[own] @ vectors) / np.sqrt(var)) if len(var) else [np.zeros(0)] * len(own)
             yield pa.RecordBatch.from_arrays([batch.column("_key"), batch.column("_g"), pa.array(pcs, pa.list_(pa.float64()))], names=["_key", "qc", "pcs"])
 
     out = rows.mapInArrow(place, f"_key {kind}, qc string, pcs array<double>")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from plateloom.functions import exprs as X
 from plateloom.functions import special
 from plateloom.functions.exprs import col, known, number
-from plateloom.operators.reduce import gram
+from plateloom.operators.reduce import cross_products
 
 
 def marker_moments(df: DataFrame, ident: str, features: list[str]) -> DataFrame:
@@ -58,46 +58,53 @@ def find_markers(df: DataFrame, ident: str, features: list[str], return_top: int
 def p_adjust(df: DataFrame, p: str, method: str = "fdr", out: str = "padj", groups: list[str] | None = None) -> DataFrame:
     """Adjusted p-values over all rows, or within groups: fdr (BH), BY, bonferroni, holm, hochberg or none. Missing stay missing.
 
-    Tests are ranked without one global sort: they fall into cells by the logarithm of p, which are ranked apart; the counts and
-    extremes of the cells, at most some hundred thousand rows a group, join them to one ranking.
+    Groups may be null. Equal p-values are counted first. They are ranked without one global sort: they fall into cells by the
+    logarithm of p, which are ranked apart; the counts and extremes of the cells, at most some hundred thousand rows a
+    group, join them to one ranking.
     """
     method = {"fdr": "BH"}.get(method, method)
     if method not in ("BH", "BY", "bonferroni", "holm", "hochberg", "none"):
         raise ValueError(f"no method {method}")
     if method == "none":
         return df.withColumn(out, col(p))
-    keys = groups or []
-    tests = df.filter(col(p).isNotNull())
-    totals = tests.groupBy(*map(col, keys)).agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    # a struct of group keys equals itself even where keys are null
+    marked = df.withColumns({"__g": F.struct(*map(col, groups)) if groups else F.lit(0), "__p": col(p).cast("double")})
+    tests = marked.filter(F.col("__p").isNotNull()).groupBy("__g", "__p").agg(F.count(F.lit(1)).alias("_c"))
+    totals = tests.groupBy("__g").agg(F.sum("_c").cast("double").alias("_n"))
+    tests = tests.join(totals, "__g") if groups else tests.crossJoin(F.broadcast(totals.drop("__g")))
+    own = Window.partitionBy("__g", "_cell")
     if method == "bonferroni":
-        found = X.join_groups(df, totals, keys)
-        return found.withColumn(out, F.when(col(p).isNotNull(), F.least(F.lit(1.0), col(p) * F.col("_n")))).drop("_n")
-    cell = F.when(col(p) > 0, F.ceil(F.ln(col(p)) * 1024)).otherwise(F.lit(-(10**9))).cast("bigint")
-    own = Window.partitionBy(*map(col, keys), F.col("_cell"))
-    ranked = tests.withColumn("_cell", cell).withColumn("_in", F.row_number().over(own.orderBy(col(p))))
-    cells = ranked.groupBy(*map(col, keys), F.col("_cell")).agg(F.count(F.lit(1)).alias("_c"))
-    whole = Window.partitionBy(*(map(col, keys) if keys else [F.lit(0)]))
-    before = F.coalesce(F.sum("_c").over(whole.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cells = cells.select(*map(col, keys), "_cell", before.alias("_before"))
-    ranked = X.join_groups(ranked.join(cells, [*keys, "_cell"]), totals, keys).withColumn("_rank", F.col("_before") + F.col("_in"))
-    left = F.col("_n") - F.col("_rank") + 1
-    if method == "BY":
-        # the harmonic sum, by its expansion where it is long
+        found = tests.withColumn("_padj", F.least(F.lit(1.0), F.col("__p") * F.col("_n")))
+    else:
+        cell = F.when(F.col("__p") > 0, F.ceil(F.ln("__p") * 1024)).otherwise(F.lit(-(10**9))).cast("bigint")
+        ranked = tests.withColumn("_cell", cell).withColumn("_in", F.sum("_c").over(own.orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)))
+        cells = ranked.groupBy("__g", "_cell").agg(F.sum("_c").alias("_all"))
+        whole = Window.partitionBy("__g")
+        before = F.coalesce(F.sum("_all").over(whole.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        ranked = ranked.join(cells.select("__g", "_cell", before.alias("_before")), ["__g", "_cell"])
+        # ranks of the last and the first of equal tests
+        last = F.col("_before") + F.col("_in")
+        first = last - F.col("_c") + 1
         n = F.col("_n")
-        long = F.ln(n) + 0.57721566490153286 + F.try_divide(F.lit(0.5), n) - F.try_divide(F.lit(1 / 12), n * n)
-        short = F.aggregate(F.sequence(F.lit(1), F.least(n, F.lit(1000.0)).cast("int")), F.lit(0.0), lambda acc, i: acc + F.lit(1.0) / i)
-        ranked = ranked.withColumn("_n", F.col("_n") * F.when(n > 1000, long).otherwise(short))
-    raw = {"BH": col(p) * F.col("_n") / F.col("_rank"), "BY": col(p) * F.col("_n") / F.col("_rank"), "hochberg": col(p) * left, "holm": col(p) * left}[method]
-    ranked = ranked.withColumn("_v", raw)
-    # from the largest p down the least so far counts; for holm, from the smallest up the largest
-    step, extreme, pick = (F.desc, F.min, F.least) if method != "holm" else (F.asc, F.max, F.greatest)
-    inner = extreme("_v").over(own.orderBy(step("_rank")).rowsBetween(Window.unboundedPreceding, 0))
-    ends = ranked.groupBy(*map(col, keys), F.col("_cell")).agg(extreme("_v").alias("_e"))
-    ends = ends.select(*map(col, keys), "_cell", extreme("_e").over(whole.orderBy(step("_cell")).rowsBetween(Window.unboundedPreceding, -1)).alias("_outer"))
-    ranked = ranked.withColumn("_inner", inner).join(ends, [*keys, "_cell"])
-    ranked = ranked.withColumn(out, F.least(F.lit(1.0), pick("_inner", "_outer")))
-    without = df.filter(col(p).isNull()).withColumn(out, F.lit(None).cast("double"))
-    return ranked.select(*map(col, df.columns), out).unionByName(without.select(*map(col, df.columns), out))
+        if method == "BY":
+            # the harmonic sum, by its expansion where it is long
+            long = F.ln(n) + 0.57721566490153286 + F.try_divide(F.lit(0.5), n) - F.try_divide(F.lit(1 / 12), n * n)
+            short = F.aggregate(F.sequence(F.lit(1), F.least(n, F.lit(1000.0)).cast("int")), F.lit(0.0), lambda acc, i: acc + F.lit(1.0) / i)
+            n = n * F.when(n > 1000, long).otherwise(short)
+        raw = {"BH": n / last, "BY": n / last, "hochberg": n - last + 1, "holm": n - first + 1}[method]
+        ranked = ranked.withColumn("_v", F.col("__p") * raw)
+        # from the largest p down the least so far counts; for holm, from the smallest up the largest
+        step, extreme, pick = (F.desc, F.min, F.least) if method != "holm" else (F.asc, F.max, F.greatest)
+        inner = extreme("_v").over(own.orderBy(step("__p")).rowsBetween(Window.unboundedPreceding, 0))
+        ends = ranked.groupBy("__g", "_cell").agg(extreme("_v").alias("_e"))
+        ends = ends.select("__g", "_cell", extreme("_e").over(whole.orderBy(step("_cell")).rowsBetween(Window.unboundedPreceding, -1)).alias("_outer"))
+        found = ranked.withColumn("_inner", inner).join(ends, ["__g", "_cell"]).withColumn("_padj", F.least(F.lit(1.0), pick("_inner", "_outer")))
+    names = [c for c in df.columns if c != out]
+    found = found.select(F.col("__g").alias("_fg"), F.col("__p").alias("_fp"), "_padj")
+    tested = marked.filter(F.col("__p").isNotNull())
+    tested = tested.join(found, (F.col("__g") == F.col("_fg")) & (F.col("__p") == F.col("_fp"))).select(*map(col, names), F.col("_padj").alias(out))
+    without = df.filter(col(p).isNull()).select(*map(col, names), F.lit(None).cast("double").alias(out))
+    return tested.unionByName(without)
 
 
 def cor_test(df: DataFrame, x: str, y: str, groups: list[str] | None = None, p_values: bool = True) -> DataFrame:
@@ -112,8 +119,7 @@ def pairwise_correlations(df: DataFrame, features: list[str]) -> np.ndarray:
     """Correlations of features over rows with both values; of complete data from one Gram matrix."""
     incomplete = df.select(reduce(lambda a, b: a | b, map(X.missing, features)).alias("m")).agg(F.max("m")).first()[0]
     if not incomplete:
-        g, n = gram(df, features, intercept=True)
-        centred = g[1:, 1:] - np.outer(g[0, 1:], g[0, 1:]) / n
+        centred = cross_products(df, features)["0"][0]
         sd = np.sqrt(np.diag(centred))
         with np.errstate(divide="ignore", invalid="ignore"):
             return centred / np.outer(sd, sd)

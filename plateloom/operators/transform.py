@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plateloom.functions import exprs as X
 from plateloom.functions.exprs import col, known, number
+from plateloom.functions.quantiles import exact_quantiles
 from plateloom.model import OBJECT, Assay, Dataset, columns_but
 
 LIMIT, GRID_STEP = 5.0, 0.1
@@ -30,6 +34,11 @@ def column_stats(df: DataFrame, features: list[str], keys: list[str], method: st
 
     if method == "mean":
         return X.agg_wide(rows, keys, [a for f in features for a in (X.mean(value(f), na_rm).alias(f"_c_{f}"), X.sd(value(f), na_rm).alias(f"_s_{f}"))])
+    if not keys:
+        centre = exact_quantiles(rows, {f: value(f) for f in features}, na_rm=na_rm)
+        spread = exact_quantiles(rows, {f: F.abs(value(f) - F.lit(centre[f])) for f in features if centre[f] is not None}, na_rm=na_rm)
+        made = [x for f in features for x in (centre[f], None if spread.get(f) is None else spread[f] * X.MAD_SCALE)]
+        return df.sparkSession.createDataFrame([made], ", ".join(f"`_c_{f}` double, `_s_{f}` double" for f in features))
     centres = X.agg_wide(rows, keys, [X.median(value(f), na_rm).alias(f"_c_{f}") for f in features], 64)
     away = X.join_groups(rows, centres, keys)
     spread = X.agg_wide(away, keys, [X.median(F.abs(value(f) - col(f"_c_{f}")), na_rm).alias(f"_s_{f}") for f in features], 64)
@@ -154,19 +163,65 @@ def boxcox_lambdas(df: DataFrame, features: list[str], mode: str = "boxcox", lim
         rows = rows.select(*(F.when(inside(f), number(f)).alias(f) if q[f] else number(f).alias(f) for f in features))
     positive = (lambda f: number(f)) if mode == "boxcox" else (lambda f: F.abs(number(f)) + 1)
     means = X.agg_wide(rows, [], [F.exp(F.avg(F.ln(positive(f)))).alias(f) for f in features]).first()
-    spark = df.sparkSession
-    known_stats = spark.createDataFrame([(f, shifts[f], means[f]) for f in features], "feature string, shift double, gm double")
     grid = [round(-limit + GRID_STEP * k, 10) for k in range(round(2 * limit / GRID_STEP) + 1)]
-    scaled = rows.select(*((number(f) / means[f] if mode == "boxcox" else number(f)).alias(f) for f in features if means[f]))
-    long = X.to_long(scaled, [], [f for f in features if means[f]]).filter("value is not null")
-    points = long.select("feature", "value", F.explode(F.array(*map(F.lit, grid))).alias("lam"))
-    if mode == "modulus":
-        points = points.join(F.broadcast(known_stats.select("feature", "gm")), "feature")
-    moved = X.boxcox_standard("value", F.col("lam")) if mode == "boxcox" else X.modulus_standard("value", F.col("lam"), F.col("gm"))
-    likely = points.groupBy("feature", "lam").agg(F.var_pop(moved).alias("spread"), F.count(F.lit(1)).alias("n"))
-    likely = likely.withColumn("ll", -F.col("n") / 2 * F.ln(F.col("spread") * F.col("n"))).filter("ll is not null and not isnan(ll)")
-    best = likely.groupBy("feature").agg(F.max_by("lam", F.struct("ll", -F.col("lam"))).alias("lambda"))
-    return known_stats.join(best, "feature", "left").select("feature", "lambda", "shift", "gm")
+    own = [f for f in features if means[f]]
+    spread = _spreads(rows.select(*((number(f) / means[f] if mode == "boxcox" else number(f)).alias(f) for f in own)), own, np.array(grid), mode, [means[f] for f in own])
+    best = {}
+    for f, (n, squares) in spread.items():
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ll = np.where(squares > 0, -n / 2 * np.log(squares), np.nan)
+        best[f] = grid[int(np.nanargmax(ll))] if np.isfinite(ll).any() else None
+    return df.sparkSession.createDataFrame([(f, best.get(f), shifts[f], means[f]) for f in features], "feature string, lambda double, shift double, gm double")
+
+
+def _standard(x: np.ndarray, lam: np.ndarray, mode: str, gm: float) -> np.ndarray:
+    """``boxcox_standard`` or ``modulus_standard`` of values (rows) at exponents (columns)."""
+    with np.errstate(all="ignore"):
+        if mode == "modulus":
+            size = np.log1p(np.abs(x))[:, None]
+            grown = np.where(np.abs(lam) < 1e-9, size, np.expm1(lam * size) / np.where(lam == 0, 1, lam))
+            return np.sign(x)[:, None] * grown * gm ** (1 - lam)
+        log = np.log(x)[:, None]
+        near = log * (1 + lam * log / 2 * (1 + lam * log / 3 * (1 + lam * log / 4)))
+        return np.where(np.abs(lam) > 0.02, (np.exp(lam * log) - 1) / np.where(lam == 0, 1, lam), near)
+
+
+def _spreads(rows: DataFrame, features: list[str], grid: np.ndarray, mode: str, means: list[float]) -> dict[str, tuple[int, np.ndarray]]:
+    """For each feature its known values and, by exponent, the summed squares about the mean of the transformed values.
+
+    One pass: every task keeps a mean and a sum of squares for each feature and exponent, and sends these alone.
+    """
+    schema = "feature int, n long, mean array<double>, squares array<double>"
+
+    def merge(one, other):
+        (n, mean, squares), (m, mean2, squares2) = one, other
+        gap = mean2 - mean
+        return n + m, mean + gap * m / (n + m), squares + squares2 + gap * gap * n * m / (n + m)
+
+    def partial(batches):
+        found: dict = {}
+        for batch in batches:
+            for i, f in enumerate(features):
+                x = batch.column(i).drop_null().to_numpy(zero_copy_only=False)
+                for at in range(0, len(x), 1 << 14):
+                    y = _standard(x[at : at + (1 << 14)], grid, mode, means[i])
+                    mean = y.mean(0)
+                    part = len(y), mean, ((y - mean) ** 2).sum(0)
+                    found[i] = merge(found[i], part) if i in found else part
+        if found:
+            n, mean, squares = zip(*found.values())
+            kind = pa.list_(pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array(n, pa.int64()), pa.array(mean, kind), pa.array(squares, kind)], names=["feature", "n", "mean", "squares"])
+
+    def add(table: pa.Table) -> pa.Table:
+        parts = [(n, np.array(a), np.array(b)) for n, a, b in zip(*(table.column(c).to_pylist() for c in ("n", "mean", "squares")))]
+        n, mean, squares = reduce(merge, parts)
+        kind = pa.list_(pa.float64())
+        return pa.table({"feature": table.column("feature")[:1], "n": [n], "mean": pa.array([mean], kind), "squares": pa.array([squares], kind)})
+
+    if not features:
+        return {}
+    return {features[r.feature]: (r.n, np.array(r.squares)) for r in rows.mapInArrow(partial, schema).groupBy("feature").applyInArrow(add, schema).collect()}
 
 
 def snapped(lam: float | None, fudge: float) -> float | None:

@@ -490,11 +490,11 @@ def markers_pvalues(spark, sf_dir):
     return stats.find_markers(vectors(spark, sf_dir), "label", DIMS, 3)
 
 
-@query("""with p as (select event_id, abs(sin(event_id * 12.9898)) as p from events where event_id < 2000), n as (select count(*)::double as n from p),
+@query("""with p as (select event_id, abs(sin(event_id * 12.9898)) as p from events), n as (select count(*)::double as n from p),
 r as (select *, row_number() over (order by p, event_id) as k from p), q as (select event_id, least(1.0, min(p * n / k) over (order by k desc rows between unbounded preceding and current row)) as padj from r, n)
 select event_id, round(padj, 6) + 0.0 as padj from q""")
 def bh_fdr(spark, sf_dir):
-    rows = read(spark, sf_dir, "events").filter("event_id < 2000").select("event_id", F.abs(F.sin(F.col("event_id") * 12.9898)).alias("p"))
+    rows = read(spark, sf_dir, "events").select("event_id", F.abs(F.sin(F.col("event_id") * 12.9898)).alias("p"))
     return stats.p_adjust(rows, "p").select("event_id", rounded("padj").alias("padj"))
 
 

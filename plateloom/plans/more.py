@@ -53,7 +53,7 @@ def near_zero_var(spark, sf_dir):
     return filters.filter_near_zero_var(line_items(spark, sf_dir), "l_linenumber")
 
 
-_PADJ = """p as (select event_id, abs(sin(event_id * 12.9898)) as p from events where event_id < 2000), n as (select count(*)::double as n, sum(1.0 / (1 + i)) as q from (select row_number() over () - 1 as i from p)),
+_PADJ = """p as (select event_id, abs(sin(event_id * 12.9898)) as p from events), n as (select count(*)::double as n, sum(1.0 / (1 + i)) as q from (select row_number() over () - 1 as i from p)),
 r as (select *, row_number() over (order by p, event_id) as k from p)"""
 for _method, _sql in {
     "bonferroni": "p * n",
@@ -63,7 +63,7 @@ for _method, _sql in {
 }.items():
 
     def _adjusted(spark, sf_dir, method=_method):
-        rows = read(spark, sf_dir, "events").filter("event_id < 2000").select("event_id", F.abs(F.sin(F.col("event_id") * 12.9898)).alias("p"))
+        rows = read(spark, sf_dir, "events").select("event_id", F.abs(F.sin(F.col("event_id") * 12.9898)).alias("p"))
         return stats.p_adjust(rows, "p", method.upper() if method == "by" else method).select("event_id", rounded("padj", 5).alias("padj"))
 
     query(f"with {_PADJ} select event_id, round(least(1.0, {_sql}), 5) + 0.0 as padj from r, n", f"p_adjust_{_method}")(_adjusted)
@@ -128,7 +128,7 @@ def heatmap_clipped(spark, sf_dir):
     return plotdata.heatmap(line_items(spark, sf_dir), ["l_quantity"], (10, 40)).select("l_orderkey", "l_linenumber", rounded("l_quantity").alias("l_quantity"))
 
 
-_CORS = " + ".join(f"corr({a}, {b}) ** 2" for a in DIMS for b in DIMS)
+_CORS = "list_sum([" + ", ".join(f"corr({a}, {b}) ** 2" for a in DIMS for b in DIMS) + "])"
 
 
 @query(f"with {VECTORS_SQL} select round({len(DIMS) ** 2} / ({_CORS}), 6) + 0.0 as value from vectors")

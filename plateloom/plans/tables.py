@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-DIMS = [f"e{i}" for i in range(8)]
+#: All components of an embedding.
+DIMS = [f"e{i}" for i in range(64)]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,9 +53,9 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("object_id"), F.col("o_custkey").cast("string").alias("image_id"), "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", F.col("o_totalprice").cast("double").alias("price"))
 
 
-def vectors(spark: SparkSession, sf_dir: str, n: int = 8) -> DataFrame:
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings")
-    return rows.select(F.col("vec_id").cast("long").alias("object_id"), F.col("label").cast("string").alias("label"), *(F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(n)))
+    return rows.select(F.col("vec_id").cast("long").alias("object_id"), F.col("label").cast("string").alias("label"), *(F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(len(DIMS))))
 
 
-VECTORS_SQL = "vectors as (select vec_id as object_id, label::varchar as label, " + ", ".join(f"embedding[{i + 1}]::double as e{i}" for i in range(8)) + " from embeddings)"
+VECTORS_SQL = "vectors as (select vec_id as object_id, label::varchar as label, " + ", ".join(f"embedding[{i + 1}]::double as e{i}" for i in range(len(DIMS))) + " from embeddings)"

@@ -375,3 +375,74 @@ def test_whole_analysis(data):
     assert stats.find_markers(both, "drug", d.assays["fixed"].feature_names, 3).count() == 9
     assert validate.is_valid(d)
     assert X.NAN != X.NAN
+
+
+def test_least_squares_of_large_means(spark):
+    """Columns whose means are far above their spread keep their digits."""
+    rng = np.random.default_rng(11)
+    n = 2000
+    x, noise = rng.normal(size=n), rng.normal(size=n)
+    for mean in (0.0, 1e4, 1e6, 1e8):
+        a, y = mean + x, mean + 0.5 * x + noise
+        df = spark.createDataFrame([(float(p), float(q)) for p, q in zip(a, y)], "a double, y double").repartition(3)
+        fit = linmodel.lm_matrix(df, ["y"], linmodel.model_matrix(df, "~ a"))
+        centred = np.stack([np.ones(n), a - a.mean()], 1)
+        beta, rss, *_ = np.linalg.lstsq(centred, y - y.mean(), rcond=None)
+        assert np.allclose(fit.stats["r2"], 1 - rss / ((y - y.mean()) ** 2).sum(), atol=1e-7)
+        assert np.allclose(fit.coef[1], beta[1], rtol=1e-6) and np.allclose(fit.mse, rss / (n - 2), rtol=1e-6)
+        var = reduce.principal_components(df, ["a", "y"], center=True)[1]
+        assert np.allclose(var, np.linalg.eigvalsh(np.cov(a - a.mean(), y - y.mean()))[::-1], rtol=1e-6)
+        assert np.allclose(stats.pairwise_correlations(df, ["a", "y"])[0, 1], np.corrcoef(a - a.mean(), y - y.mean())[0, 1], atol=1e-7)
+
+
+def test_formulas_and_hidden_terms(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 3.0, 4.0, "p")], "e1 double, e10 double, b double, c double, g string")
+    assert linmodel.model_matrix(df, "~ e1 * b * c").names == ["(Intercept)", "e1", "b", "c", "e1:b", "e1:c", "b:c", "e1:b:c"]
+    design = linmodel.model_matrix(df, "~ e1 + e10")
+    assert linmodel.check_unused_covar(design, ["e1"]) == [1]
+    with pytest.raises(ValueError):
+        linmodel.check_unused_covar(design, ["e"])
+
+
+def test_adjusted_p_values_of_null_groups_and_ties(spark):
+    rows = [(None, 0.01), (None, 0.02), ("a", 0.5), ("a", None), ("a", 0.5), (None, 1.0)] + [("t", 1.0)] * 50 + [("t", 0.0)] * 3
+    df = spark.createDataFrame(rows, "g string, p double")
+    for method in ("BH", "BY", "bonferroni", "holm", "hochberg"):
+        got = stats.p_adjust(df, "p", method, groups=["g"]).collect()
+        assert len(got) == len(rows)
+        for g in (None, "a", "t"):
+            p = sorted(v for k, v in rows if k == g and v is not None)
+            n, q = len(p), sum(1 / (i + 1) for i in range(len(p)))
+            if method in ("BH", "BY", "hochberg"):
+                raw = [p[i] * ((n - i) if method == "hochberg" else n * (q if method == "BY" else 1) / (i + 1)) for i in range(n)]
+                expected = [min(1, min(raw[i:])) for i in range(n)]
+            else:
+                expected = [min(1, max(p[j] * (n - j) for j in range(i + 1)) if method == "holm" else p[i] * n) for i in range(n)]
+            assert np.allclose(sorted(r.padj for r in got if r.g == g and r.p is not None), sorted(expected))
+
+
+def test_filters_by_metadata_group(spark):
+    rows = [(f"{k}", "u" if k < 20 else "v", float(k % 20) + (1000 if k >= 20 else 0)) for k in range(40)] + [("x", "u", 900.0)]
+    df = spark.createDataFrame(rows, "object_id string, plate string, f double")
+    spec = FilterSpec("far", "^f$", "filter_vec_mod_z_sum", 3.5, True, metadata_group="plate")
+    found = {r.object_id: r.far for r in filters.calculate_object_filters(df, [spec]).collect()}
+    assert [k for k, ok in found.items() if not ok] == ["x"]
+
+
+def test_exact_quantiles(spark, monkeypatch):
+    from plateloom.functions import quantiles
+
+    rng = np.random.default_rng(2)
+    columns = {"a": rng.normal(size=999), "b": np.r_[rng.normal(size=998), 1e300], "c": np.full(999, 7.0), "d": rng.integers(0, 3, 999).astype(float), "e": np.r_[[np.inf] * 600, rng.normal(size=399)]}
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(*columns.values())], ", ".join(f"{c} double" for c in columns))
+    for ranked in (1 << 17, 10):
+        monkeypatch.setattr(quantiles, "RANKED", ranked)
+        for p in (0.5, 0.25, 0.1234):
+            got = quantiles.exact_quantiles(df, {c: F.col(c) for c in columns}, p)
+            for c, x in columns.items():
+                at = (len(x) - 1) * p
+                low, high = np.sort(x)[[math.floor(at), math.ceil(at)]]
+                expected = low if low == high else low + (at - math.floor(at)) * (high - low)
+                assert got[c] == expected or np.isclose(got[c], expected, rtol=1e-12), (c, p)
+    gaps = spark.createDataFrame([(None,), (1.0,), (float("nan"),)], "a double")
+    assert quantiles.exact_quantiles(gaps, {"a": F.col("a")}) == {"a": 1.0} and quantiles.exact_quantiles(gaps, {"a": F.col("a")}, na_rm=False) == {"a": None}
