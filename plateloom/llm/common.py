@@ -17,8 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. A local one only where that is unset and so is the cluster."""
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not configured and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
     return (configured or "file:///tmp/plateloom-checkpoints").rstrip("/")
 
 
@@ -82,6 +84,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError(f"components aren't stable after {max_rounds} rounds")
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.union(now.select(F.col("v"), F.col("v")).distinct())
 

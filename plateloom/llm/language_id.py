@@ -167,7 +167,8 @@ def viterbi(scores: np.ndarray, index: np.ndarray, offsets: np.ndarray, switch:
     order = np.argsort(-sizes, kind="stable")
     starts, sizes = offsets[:-1][order], sizes[order]
     alive = np.searchsorted(-sizes, -np.arange(int(sizes[0]) if len(sizes) else 0), "left")
-    back, labels = [], np.zeros(len(index), np.uint8)
+    label = np.min_scalar_type(max(scores.shape[1] - 1, 0))
+    back, labels = [], np.zeros(len(index), label)
     best, last = None, np.zeros(len(order), np.int64)
     rows = np.arange(len(order))
     for t, n in enumerate(alive):
@@ -180,7 +181,7 @@ def viterbi(scores: np.ndarray, index: np.ndarray, offsets: np.ndarray, switch:
             top = best.argmax(1)
             moved = (best[rows[:n], top] - switch)[:, None]
             stay = best >= moved
-            back.append(np.where(stay, np.arange(scores.shape[1], dtype=np.uint8), top[:, None].astype(np.uint8)))
+            back.append(np.where(stay, np.arange(scores.shape[1], dtype=label), top[:, None].astype(label)))
             here = np.where(stay, best, moved) + here
         best = here
     if best is not None:
@@ -216,7 +217,7 @@ def identify(docs: DataFrame, model: Model | None = None, switch: float = SWITCH
             return [pa.array([UNKNOWN] * n), pa.array(np.zeros(n)), pa.array([[]] * n, kind)]
         labels = viterbi(model.scores(words), words.index, offsets, switch)
         owner = np.repeat(np.arange(n), np.diff(offsets))
-        votes = np.bincount(owner * n_langs + labels, minlength=n * n_langs).reshape(n, n_langs)
+        votes = np.bincount(owner * n_langs + labels.astype(np.int64), minlength=n * n_langs).reshape(n, n_langs)
         top, total = votes.argmax(1), votes.sum(1)
         named = pa.array([model.langs[k] if m else UNKNOWN for k, m in zip(top, total)], pa.string())
         begins = np.flatnonzero(np.r_[True, (labels[1:] != labels[:-1]) | (owner[1:] != owner[:-1])]) if len(labels) else np.zeros(0, np.int64)

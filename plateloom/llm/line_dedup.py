@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plateloom.llm.common import stage
 
-#: A boundary depends on the hashes of so many lines; of so many places one is a boundary on average.
-WINDOW = 2
-DIVISOR = 3
-#: Multipliers of the rolling hash, newest line first, and its modulus.
+#: Multipliers of the rolling hash, newest line first, and its modulus; one of DIVISOR places is no boundary on average.
 MULTIPLIERS = (1, 8191)
 MODULUS = 1_000_003
+DIVISOR = 4
+#: Lines of the longest chunk.
+MOST = 8
 #: (doc_id, line) as one number that aggregates cheaply.
 PLACE = "decimal(38,0)"
 LINES = 10**12
@@ -23,71 +25,106 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 7), 16, 10).cast("bigint")
 
 
-def chunk_table(lines: Column, hashes: Column) -> Column:
-    """The chunks of an array of lines as ``(first, n, chunk)``: the first line's number, lines and text.
+def boundaries(hashes: Column) -> Column:
+    """For each line whether a boundary is behind it: the rolling hash of it and the line before it says so."""
+    def marked(h: Column, i: Column) -> Column:
+        rolled = sum(m * F.get(hashes, i - j) for j, m in enumerate(MULTIPLIERS))
+        return F.coalesce(F.pmod(F.pmod(rolled, F.lit(MODULUS)), F.lit(DIVISOR)) != 0, F.lit(False))
+
+    return F.transform(hashes, marked)
+
+
+def chunk_codes(marks: Column) -> Column:
+    """The chunks of lines, as ``first * 16 + lines``, from where the boundaries are.
 
-    The rolling hash of a line and the WINDOW - 1 before it decides whether a chunk ends before the next line. The
-    first of adjacent such places counts, so that chunks after the first have two lines or more. A line that is put
-    in or taken out moves only the boundaries within WINDOW lines of it.
+    From every line a chunk reaches to the next boundary that makes it two lines or more, and to every line one from
+    the latest place where two lines with a boundary behind them begin; at most MOST lines, and not beyond the text.
+    What a chunk is depends on its own lines alone: lines put in or taken out elsewhere change nothing, and a repeated
+    passage with one boundary or more inside is covered from its first line to its last.
     """
-    n = F.size(lines)
+    n = F.size(marks)
+
+    def ahead(i: Column) -> Column:
+        cap = F.least(i + (MOST - 1), n - 1)
+        return reduce(lambda rest, k: F.when(F.coalesce(F.get(marks, i + k), F.lit(True)) | (cap <= i + k), F.lit(k)).otherwise(rest), range(MOST - 2, 0, -1), F.lit(MOST - 1))
+
+    def back(i: Column) -> Column:
+        return reduce(lambda rest, k: F.when(F.coalesce(F.get(marks, i - k + 1), F.lit(True)) | (i <= k), F.lit(k)).otherwise(rest), range(MOST - 2, 0, -1), F.lit(MOST - 1))
+
+    forward = F.transform(F.sequence(F.lit(0), n - 2), lambda i: i * 16 + ahead(i) + 1)
+    backward = F.transform(F.sequence(F.lit(1), n - 1), lambda i: (i - back(i)) * 16 + back(i) + 1)
+    return F.when(n > 1, F.array_union(forward, backward)).otherwise(F.array().cast("array<int>"))
 
-    def marked(i: Column) -> Column:
-        rolled = sum(m * F.get(hashes, i - j) for j, m in enumerate(MULTIPLIERS))
-        return F.coalesce(F.pmod(F.pmod(rolled, F.lit(MODULUS)), F.lit(DIVISOR)) == 0, F.lit(False))
 
-    inner = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i > 0) & (i < n) & marked(i - 1) & ~marked(i - 2))
-    starts = F.concat(F.array(F.lit(0)), inner)
-    return F.transform(starts, lambda s, k: F.struct(s.alias("first"), F.coalesce(F.get(starts, k + 1), n).alias("end")))
+def _first(code: Column) -> Column:
+    return F.shiftright(code, 4)
+
+
+def _size(code: Column) -> Column:
+    return code.bitwiseAND(F.lit(15))
 
 
 def _split(docs: DataFrame) -> DataFrame:
-    rows = docs.withColumn("_lines", F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n", -1))
-    rows = rows.withColumn("_hashes", F.transform("_lines", line_hash))
-    return rows.withColumn("_chunks", chunk_table(F.col("_lines"), F.col("_hashes")))
+    return docs.withColumn("_lines", F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n", -1))
 
 
-def _chunks(split: DataFrame) -> DataFrame:
-    """Chunks of several lines: ``(doc_id, first, n, chunk)``."""
-    # explode() would bring a filter on the size of the array, which is then worked out twice
-    rows = split.select("doc_id", "_lines", F.explode_outer("_chunks").alias("c")).filter("c.end - c.first > 1")
-    text = F.array_join(F.slice("_lines", F.col("c.first") + 1, F.col("c.end") - F.col("c.first")), "\n")
-    return rows.select("doc_id", F.col("c.first").alias("first"), (F.col("c.end") - F.col("c.first")).alias("n"), text.alias("chunk"))
+def _coded(split: DataFrame) -> DataFrame:
+    # every array that a lambda looks into is a column of its own, or it would be worked out for each element
+    split = split.withColumn("_hashes", F.transform("_lines", line_hash)).withColumn("_marks", boundaries(F.col("_hashes")))
+    return split.withColumn("_codes", chunk_codes(F.col("_marks")))
+
+
+def _identity(line: Column) -> Column:
+    return F.xxhash64(line)
+
+
+def _ambiguous(work: DataFrame) -> bool:
+    """Whether two different lines have one hash: every different line is compared by its bytes."""
+    lines = work.select(F.explode("_lines").alias("line"))
+    different = lines.select(_identity(F.col("line")).alias("h"), "line").distinct()
+    return different.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").head() is not None
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """All columns of ``docs`` with repeats taken out of ``text``, and what was taken out.
 
-    Lines end at line feeds. Of all chunks with several lines that have the same bytes, the one in the document of
-    smallest doc_id, and in it the first, stays; the others' lines go. New columns, in place of any of the
-    same name: ``_n_lines``, ``_n_chunks``, ``_removed_chunks`` and ``_removed_lines`` (long). A null text stays null and has no line; an empty text has one
-    line. Rows with a null doc_id stay as they are, and nothing counts as a repeat of them. Repeated rows with one
-    doc_id are one document: what goes from one goes from all. An empty table gives an empty result.
+    Lines end at line feeds. Of all chunks with the same bytes the one in the document of smallest doc_id, and in it the first,
+    stays; the lines of the others go. Chunks overlap and are judged on the input, so that of every line one copy is
+    left. New columns, in place of any of the same name: ``_n_lines``, ``_n_chunks``, ``_removed_chunks`` and
+    ``_removed_lines`` (long). A null text stays null and has no line; an empty text has one line. Rows with a null
+    doc_id stay as they are, and nothing counts as a repeat of them. Repeated rows with one doc_id are one document: what
+    goes from one goes from all. An empty table gives an empty result.
+
+    Bytes are compared line by line over the whole corpus: if no two different lines have one hash, chunks are told
+    apart by the hashes of their lines; else by their whole text.
     """
     ids = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"))
-    work = ids.select(F.col("id").alias("doc_id"), F.col("row.text").alias("text")).filter("doc_id is not null")
-    seen = _chunks(_split(work)).withColumn("key", F.xxhash64("chunk"))
-    # 1. which hashes occur more than once: a count for each, summed before it is shuffled
-    repeated = stage(seen.groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("key"), "line-keys")
-    # 2. the chunks with these hashes; the hashes grow with the input, so they are never broadcast
-    places = stage(seen.join(repeated.hint("merge"), "key", "left_semi").select("doc_id", "first", "n", "chunk"), "line-places")
-    place = (F.col("doc_id").cast(PLACE) * F.lit(LINES).cast("decimal(13,0)") + F.col("first")).cast(PLACE)
-    # 3. bytes are compared: chunks are grouped and joined by their whole text
-    kept = places.groupBy("chunk").agg(F.min(place).alias("kept"), F.count(F.lit(1)).alias("times")).filter("times > 1")
-    kept = stage(kept.select("chunk", "kept"), "line-kept")
-    gone = places.join(kept, "chunk").filter(place > F.col("kept")).groupBy("doc_id").agg(F.collect_set(F.struct("first", "n")).alias("gone"))
-    rows = ids.join(gone.withColumnRenamed("doc_id", "gone_id"), F.col("id") == F.col("gone_id"), "left")
-    rows = rows.select("row", F.col("row.text").alias("text"), F.coalesce("gone", F.array().cast("array<struct<first:int,n:int>>")).alias("gone"))
-    rows = _split(rows)
-    firsts = F.transform("gone", lambda g: g["first"])
-    stay = F.filter("_chunks", lambda c: ~F.array_contains(firsts, c["first"]))
-    text = F.array_join(F.flatten(F.transform(stay, lambda c: F.slice(F.col("_lines"), c["first"] + 1, c["end"] - c["first"]))), "\n")
+    work = _split(ids.select(F.col("id").alias("doc_id"), F.col("row.text").alias("text")).filter("doc_id is not null"))
+    rows = _coded(work).withColumn("_ids", F.transform("_lines", _identity))
+    first, size = _first(F.col("code")), _size(F.col("code"))
+    exact = F.array_join(F.slice("_lines", first + 1, size), "\n") if _ambiguous(work) else F.lit(None).cast("string")
+    # explode() would bring a filter on the size of the array, which is then worked out twice
+    rows = rows.select("doc_id", "_lines", "_ids", F.explode_outer("_codes").alias("code")).filter("code is not null")
+    key = F.slice("_ids", first + 1, size)
+    chunks = stage(rows.select("doc_id", "code", key.alias("key"), F.coalesce(exact, F.lit("")).alias("exact")), "line-chunks")
+    keys = ["key", "exact"]
+    place = (F.col("doc_id").cast(PLACE) * F.lit(LINES).cast("decimal(13,0)") + _first(F.col("code"))).cast(PLACE)
+    kept = chunks.groupBy(*keys).agg(F.min(place).alias("kept"), F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times")
+    # the keys grow with the input, so they are never broadcast
+    gone = chunks.join(kept.hint("merge"), keys).filter(place > F.col("kept")).groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("code").alias("gone"))
+    rows = ids.join(gone, F.col("id") == F.col("gone_id"), "left")
+    rows = rows.select("row", F.col("row.text").alias("text"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+    rows = _coded(_split(rows))
+    covered = F.array_distinct(F.flatten(F.transform("gone", lambda c: F.sequence(_first(c), _first(c) + _size(c) - 1))))
+    rows = rows.withColumn("_covered", covered)
+    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_covered"))
+    text = F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n")
     has = F.col("text").isNotNull()
     added = {
         "_n_lines": F.when(has, F.size("_lines")).otherwise(0).cast("bigint"),
-        "_n_chunks": F.when(has, F.size("_chunks")).otherwise(0).cast("bigint"),
+        "_n_chunks": F.when(has, F.size("_codes")).otherwise(0).cast("bigint"),
         "_removed_chunks": F.size("gone").cast("bigint"),
-        "_removed_lines": F.aggregate("gone", F.lit(0).cast("bigint"), lambda acc, g: acc + g["n"]),
+        "_removed_lines": F.size("_covered").cast("bigint"),
     }
     text = F.when(F.size("gone") > 0, text).otherwise(F.col("text"))
     own = [(text if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns if c not in added]

@@ -102,24 +102,34 @@ with lines as (
   select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 as i
   from documents),
-hashed as (select *, cast('0x' || substr(md5(line), 1, 7) as bigint) as h from lines),
+hashed as (
+  select *, cast('0x' || substr(md5(line), 1, 7) as bigint) as h, count(*) over (partition by doc_id) as n from lines),
 marked as (
-  select *, coalesce((h + 8191 * lag(h) over (partition by doc_id order by i)) % 1000003 % 3 = 0, false) as m from hashed),
-begun as (
-  select *, case when i = 0 then 1 when lag(m, 1, false) over w and not lag(m, 2, false) over w then 1 else 0 end as s
-  from marked window w as (partition by doc_id order by i)),
-numbered as (select *, sum(s) over (partition by doc_id order by i) as c from begun),
+  select *, coalesce((h + 8191 * lag(h) over (partition by doc_id order by i)) % 1000003 % 4 <> 0, false) as m from hashed),
+near as (
+  select doc_id, i, n,
+         min(case when m then i end) over (partition by doc_id order by i rows between 1 following and 7 following) as ahead,
+         max(case when m then i end) over (partition by doc_id order by i rows between 6 preceding and current row) as back
+  from marked),
+spans as (
+  select doc_id, i as first, coalesce(ahead, least(i + 7, n - 1)) as last from near where i < n - 1
+  union
+  select doc_id, coalesce(back - 1, greatest(i - 7, 0)), i from near where i > 0),
 chunks as (
-  select doc_id, c, min(i) as first, count(*) as n, string_agg(line, chr(10) order by i) as chunk from numbered group by doc_id, c),
-ranked as (
-  select *, n > 1 and row_number() over (partition by chunk, n > 1 order by doc_id, first) > 1 as gone from chunks),
+  select s.doc_id, first, last, string_agg(line, chr(10) order by i) as chunk
+  from spans s join lines l on s.doc_id = l.doc_id and l.i between s.first and s.last group by all),
+ranked as (select *, row_number() over (partition by chunk order by doc_id, first) > 1 as gone from chunks),
+covered as (
+  select distinct l.doc_id, l.i from lines l join ranked r on l.doc_id = r.doc_id and l.i between r.first and r.last where r.gone),
+counted as (
+  select doc_id, count(*) as n_chunks, count(*) filter (gone) as removed_chunks from ranked group by doc_id),
 built as (
-  select doc_id, count(*) as n_chunks, sum(n) as n_lines, count(*) filter (gone) as removed_chunks,
-         coalesce(sum(n) filter (gone), 0) as removed_lines, string_agg(chunk, chr(10) order by first) filter (not gone) as kept
-  from ranked group by doc_id)
-select d.doc_id, case when d.text is null then 0 else cast(n_lines as bigint) end as n_lines,
-       case when d.text is null then 0 else n_chunks end as n_chunks, removed_chunks,
-       cast(removed_lines as bigint) as removed_lines,
+  select l.doc_id, count(*) as n_lines, count(c.i) as removed_lines,
+         string_agg(l.line, chr(10) order by l.i) filter (c.i is null) as kept
+  from lines l left join covered c on l.doc_id = c.doc_id and l.i = c.i group by l.doc_id)
+select d.doc_id, case when d.text is null then 0 else b.n_lines end as n_lines,
+       case when d.text is null then 0 else coalesce(n_chunks, 0) end as n_chunks,
+       coalesce(removed_chunks, 0) as removed_chunks, b.removed_lines,
        case when removed_chunks > 0 then coalesce(kept, '') else d.text end as text
-from documents d join built b on d.doc_id = b.doc_id""",
+from documents d join built b on d.doc_id = b.doc_id left join counted c on d.doc_id = c.doc_id""",
 }

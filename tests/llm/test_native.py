@@ -4,26 +4,33 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from plateloom.llm import decontam, license_scan, line_dedup
 
 
 # --- line dedup ---------------------------------------------------------------------------------------------------
 def brute_lines(rows):
-    split, first = {}, {}
+    chunks, first, split = {}, {}, {}
     for d, text in rows:
-        lines = (text or "").split("\n")
+        lines = split[d] = (text or "").split("\n")
+        n = len(lines)
         h = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in lines]
-        marked = [i > 0 and (h[i] + 8191 * h[i - 1]) % 1_000_003 % 3 == 0 for i in range(len(h))]
-        starts = [0] + [i for i in range(1, len(h)) if marked[i - 1] and not (i > 1 and marked[i - 2])]
-        split[d] = [lines[a:b] for a, b in zip(starts, [*starts[1:], len(lines)])]
+        marked = [i > 0 and (h[i] + 8191 * h[i - 1]) % 1_000_003 % 4 != 0 for i in range(n)]
+        own = set()
+        for i in range(n):
+            if i < n - 1:
+                own.add((i, next((j for j in range(i + 1, min(i + 7, n - 1)) if marked[j]), min(i + 7, n - 1))))
+            if i > 0:
+                own.add((next((j - 1 for j in range(i, max(i - 7, 0), -1) if marked[j]), max(i - 7, 0)), i))
+        chunks[d] = sorted(own)
     for d in sorted(split):
-        for k, chunk in enumerate(split[d]):
-            if len(chunk) > 1:
-                first.setdefault(tuple(chunk), (d, k))
+        for a, b in chunks[d]:
+            first.setdefault(tuple(split[d][a : b + 1]), (d, a))
     out = {}
     for d, text in rows:
-        kept = [c for k, c in enumerate(split[d]) if len(c) == 1 or first[tuple(c)] == (d, k)]
-        out[d] = None if text is None else "\n".join(x for c in kept for x in c)
+        gone = {i for a, b in chunks[d] if first[tuple(split[d][a : b + 1])] != (d, a) for i in range(a, b + 1)}
+        out[d] = None if text is None else "\n".join(x for i, x in enumerate(split[d]) if i not in gone)
     return out
 
 
@@ -49,6 +56,35 @@ def test_line_dedup_matches_brute_force(spark):
     assert all(r._n_lines == (0 if t is None else len(t.split("\n"))) for r in out for d, t in rows if d == r.doc_id)
 
 
+def test_line_dedup_tells_lines_of_one_hash_apart(spark, monkeypatch):
+    rows = line_corpus()
+    monkeypatch.setattr(line_dedup, "_identity", lambda line: F.pmod(F.xxhash64(line), F.lit(5)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()} == brute_lines(rows)
+
+
+def test_line_dedup_finds_repeated_passages(spark):
+    """Of passages of several lines that two documents share all lines go, but for a few of the shortest passages."""
+    rng = random.Random(5)
+    rows, shared = [], {}
+    for k in range(400):
+        n = 2 + k % 9
+        passage = [f"passage {k} line {i} {rng.random()}" for i in range(n)]
+        for copy in range(2):
+            own = [f"own {k} {copy} {i} {rng.random()}" for i in range(8)]
+            rows.append((2 * k + copy, "\n".join([*own[:4], *passage, *own[4:]])))
+        shared[2 * k + 1] = n
+    out = {r.doc_id: r._removed_lines for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[d] in (0, n) for d, n in shared.items()) and all(out[d] == 0 for d in out if d % 2 == 0)
+    for n, least in ((2, 0.6), (3, 0.85), (4, 0.9), (6, 0.97), (10, 0.99)):
+        found = [out[d] == n for d in shared if shared[d] == n]
+        assert sum(found) >= least * len(found)
+    # a very long text
+    long = "\n".join(f"line {i % 70_000}" for i in range(100_000))
+    got = line_dedup.dedup_lines(spark.createDataFrame([(1, long)], "doc_id long, text string")).first()
+    assert got._removed_lines == 30_000 and got.text == "\n".join(long.split("\n")[:70_000])
+
+
 def test_line_dedup_edges(spark):
     text = "a\nb\nc\nd\ne\nf"
     docs = spark.createDataFrame([(None, text, 1, "x"), (3, text, 11, "y"), (3, text, 11, "y"), (4, text, 11, "z")], "doc_id long, text string, n_chars long, _id string")
