@@ -26,7 +26,8 @@ GRAM = 16
 #: Of how much text a part holds the documents and a shard the contexts, about; work at once.
 PART_BYTES, SHARD_BYTES, WORK_BYTES = 8 << 20, 4 << 20, 1 << 20
 LEAST_PARTS = 16
-_POSITION = np.uint64((1 << 24) - 1)
+#: Strings in the longest run with one anchor.
+RUN = 4096
 
 
 # --- induced sorting --------------------------------------------------------------------------------------------------
@@ -234,8 +235,7 @@ def anchor_runs(data: np.ndarray, ends: np.ndarray) -> Runs:
     x ^= x >> np.uint64(29)
     x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(32)
-    # of equal hashes the leftmost counts
-    x = (x & ~_POSITION) | np.arange(len(x), dtype=np.uint64)
+    x >>= np.uint64(24)
     for step in (1, 2, 4, 8, 16):
         x = np.minimum(x[:-step], x[step:])
     x = np.minimum(x[:-3], x[3:])  # 35 neighbours
@@ -248,7 +248,11 @@ def anchor_runs(data: np.ndarray, ends: np.ndarray) -> Runs:
     joined = np.r_[False, (x[1:] == x[:-1]) & valid[1:] & valid[:-1]]
     first = np.flatnonzero(valid & ~joined)
     last = np.flatnonzero(valid & ~np.r_[joined[1:], False])
-    return Runs(first, last, x[first] >> np.uint64(24), np.searchsorted(ends, first, "right"))
+    # strings with one least hash stay together wherever it stands, so periodic text is a single run, which comes in equal pieces
+    pieces = (last - first) // RUN + 1
+    first = np.repeat(first, pieces) + (np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * RUN
+    last = np.minimum(first + RUN - 1, np.repeat(last, pieces))
+    return Runs(first, last, x[first], np.searchsorted(ends, first, "right"))
 
 
 def _gather(data: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -286,7 +290,7 @@ def _runs(texts: Texts):
             r = anchor_runs(data, ends)
             yield Runs(r.first + begin, r.last + begin, r.anchor, r.doc + at)
             continue
-        step = 8 << 20
+        step = 4 << 20
         for piece in range(0, len(data) - LENGTH + 1, step):  # strings that begin in the piece; a run may be cut in two
             own = data[piece : min(len(data), piece + step + LENGTH - 1)]
             r = anchor_runs(own, np.array([len(own)]))
@@ -551,7 +555,7 @@ def _remove(shards: int):
         if not left.num_rows:
             return pa.table({"doc_id": pa.array([], pa.int64()), "n_bytes": pa.array([], pa.int64()), "kept": pa.array([], pa.binary()), "spans": pa.array([], _SPANS)})
         texts = _part_texts(left)
-        begun = np.zeros(len(texts.data) + LENGTH, np.int32)  # 1 where a string begins that goes
+        removed = np.zeros(len(texts.data), bool)  # at first, where a string begins that goes
         if right.num_rows:
             c = _contexts(texts, _known(right), shards)
             counts = c.sizes - LENGTH + 1
@@ -563,19 +567,25 @@ def _remove(shards: int):
                     rows = np.flatnonzero(c.shard == shard[0])
                     own = np.unpackbits(bits, count=int(counts[rows].sum())).astype(bool)
                     earlier[_gather(np.arange(len(earlier)), begins[rows], counts[rows])] = own
-            for at in range(0, len(c.first), 1 << 18):
-                code, doc, first = c.code[at : at + (1 << 18)], c.doc[at : at + (1 << 18)], c.first[at : at + (1 << 18)]
+            upto = np.cumsum(counts[c.code])
+            at = 0
+            while at < len(c.first):
+                to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + WORK_BYTES, "right")))
+                code, doc, first = c.code[at:to], c.doc[at:to], c.first[at:to]
                 gone = _gather(earlier, begins[code], counts[code])
                 # within the part only the document of smallest id keeps a context
                 gone |= np.repeat(texts.ids[doc] > c.least[code], counts[code])
                 place = np.arange(len(gone)) + np.repeat(first - np.r_[0, np.cumsum(counts[code])[:-1]], counts[code])
-                begun[place[gone] + LENGTH] = 1
-        np.cumsum(begun, out=begun)
+                removed[place[gone]] = True
+                at = to
         # a byte goes if one of the LENGTH strings that end with it or later, and begin with it or before, does
-        removed = np.r_[begun[LENGTH:], begun[-1:]][: len(texts.data)] - begun[: len(texts.data)] > 0
+        for step in (1, 2, 4, 8, 16, LENGTH - 32):
+            removed[step:] |= removed[:-step].copy()
         begins = np.r_[0, texts.ends[:-1]]
-        kept_before = np.r_[0, np.cumsum(~removed)]
-        kept = _binary(texts.data[~removed], kept_before[texts.ends] - kept_before[begins]).cast(pa.binary())
+        sizes = np.zeros(len(texts.ids), np.int64)
+        some = np.flatnonzero(texts.ends > begins)
+        sizes[some] = np.add.reduceat(~removed, begins[some], dtype=np.int64) if len(some) else 0
+        kept = _binary(texts.data[~removed], sizes).cast(pa.binary())
         # runs of removed bytes; a run ends with its document
         starts = removed & ~np.r_[False, removed[:-1]]
         inner = begins[(begins < len(removed))]

@@ -103,3 +103,26 @@ def test_one_very_long_text(spark):
     docs = spark.createDataFrame([(1, long[9_000_000:9_000_200]), (2, long)], "doc_id long, text string")
     got = {r.doc_id: [tuple(s) for s in r.spans] for r in suffix_dedup.dedup_bytes(docs).select("doc_id", "spans").collect()}
     assert got == {1: [], 2: [(9_000_000, 9_000_200)]}
+
+
+def test_periodic_texts(spark):
+    """Long runs of one byte, or of a few, are one run with equal pieces."""
+    rows = [(1, " " * 300_000), (2, "x" + " " * 200_000 + "y"), (3, "=-" * 100_000), (4, "abc" * 70_000 + "d"), (5, "abc" * 9_000), (6, "-=" * 30)]
+    got = {r.doc_id: (bytes(r.kept), r.n_bytes) for r in suffix_dedup.dedup_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    text = dict(rows)
+    assert got[1] == (text[1].encode(), 300_000) and got[3][0] == text[3].encode() and got[4][0] == text[4].encode()
+    assert got[2] == (b"xy", 200_002) and got[5] == (b"", 27_000) and got[6] == (b"", 60)
+
+
+def test_memory_of_periodic_texts():
+    """64 MB of blanks need less than 1 GB."""
+    import tracemalloc
+
+    data = np.full(64 << 20, 32, np.uint8)
+    texts = suffix_dedup.Texts(np.array([7]), data, np.array([len(data)]))
+    known = np.unique(next(suffix_dedup._runs(texts)).anchor)
+    tracemalloc.start()
+    c = suffix_dedup._contexts(texts, known, 16)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(c.sizes) <= 20 and len(c.first) > 16_000 and peak < 1 << 30
