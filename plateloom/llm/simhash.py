@@ -6,6 +6,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as functions
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -77,13 +78,14 @@ class _Forest:
 
     def __init__(self, n: int) -> None:
         self.label = np.arange(n)
+        self.used: list[tuple[int, int]] = []  # the links that joined two trees
 
     def link(self, a: np.ndarray, b: np.ndarray) -> None:
         la, lb = self.label[a], self.label[b]
-        new = la != lb
-        if not new.any():
+        new = np.flatnonzero(la != lb)
+        if not len(new):
             return
-        pairs = np.unique(np.stack([np.minimum(la[new], lb[new]), np.maximum(la[new], lb[new])], 1), axis=0)
+        pairs, at = np.unique(np.stack([np.minimum(la[new], lb[new]), np.maximum(la[new], lb[new])], 1), axis=0, return_index=True)
         parent: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -92,29 +94,23 @@ class _Forest:
                 x = y
             return x
 
-        for x, y in pairs.tolist():
+        for (x, y), k in zip(pairs.tolist(), new[at].tolist()):
             p, q = find(x), find(y)
             if p != q:
                 parent[max(p, q)] = min(p, q)
+                self.used.append((int(a[k]), int(b[k])))
         to = np.arange(len(self.label))
         to[list(parent)] = [find(x) for x in parent]
         self.label = to[self.label]
 
 
-def tile_links(fps: np.ndarray, reps: np.ndarray, n_first: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest, as edges ``(rep, least rep)``, of the links between two tiles.
-
-    The first ``n_first`` rows are one tile, the rest the other; with no rest, the tile is compared with itself.
-    Each tile is cut into small boxes by the bit counts of its fingerprints' four 16-bit words. The Hamming distance of
-    two fingerprints is at least the summed differences of these counts, so pairs of boxes further apart than
-    ``radius`` are skipped; all other pairs are compared bit by bit.
-    """
+def _near(fps: np.ndarray, n_first: int, radius: int):
+    """Pairs of rows, one of either tile, whose fingerprints differ in at most ``radius`` bits, in bulk."""
     pops = np.bitwise_count(fps.view(np.uint16).reshape(-1, 4)).astype(np.int16)
     alone = n_first == len(fps)
     left = _leaves(pops[:n_first])
     right = left if alone else [x + n_first for x in _leaves(pops[n_first:])]
     low, high = (np.array([f(pops[x], axis=0) for x in right]) for f in (np.min, np.max))
-    forest = _Forest(len(fps))
     for k, a in enumerate(left):
         gap = np.maximum(0, np.maximum(low - pops[a].max(0), pops[a].min(0) - high)).sum(1)
         near = np.flatnonzero(gap <= radius)
@@ -125,7 +121,67 @@ def tile_links(fps: np.ndarray, reps: np.ndarray, n_first: int, radius: int) ->
         for at in range(0, len(others), 4096):
             b = others[at : at + 4096]
             i, j = np.nonzero(np.bitwise_count(fps[a][:, None] ^ fps[b][None, :]) <= radius)
-            forest.link(a[i], b[j])
+            yield a[i], b[j]
+
+
+def candidate_links(fps: np.ndarray, more: np.ndarray, n_first: int, radius: int, close: int, label: np.ndarray, failed: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of rows of two tiles (or one) that may be similar: those of a spanning forest of the close ones, and of any two of
+    its trees the closest pair.
+
+    Both halves of two fingerprints have to differ in at most ``radius`` bits; close ones differ in ``close`` at most in all.
+    Rows of one label are known to be linked; pairs in ``failed``, as first row times rows plus second, are known not to be
+    similar. With a negative ``close`` all other pairs are given.
+    """
+    forest = _Forest(len(fps))
+    forest.label = np.unique(label, return_inverse=True)[1]
+    held: list[np.ndarray] = []
+    size = 0
+
+    def closest() -> np.ndarray:
+        """Of the pairs held the closest for each two trees."""
+        i, j, d = np.concatenate(held, 1) if held else np.zeros((3, 0), np.int64)
+        li, lj = forest.label[i], forest.label[j]
+        apart = np.flatnonzero(li != lj)
+        key = np.minimum(li, lj)[apart] * len(fps) + np.maximum(li, lj)[apart]
+        order = apart[np.lexsort((d[apart], key))]
+        key = np.minimum(li, lj)[order] * len(fps) + np.maximum(li, lj)[order]
+        order = order[np.r_[True, key[1:] != key[:-1]]] if len(order) else order
+        return np.stack([i[order], j[order], d[order]])
+
+    for i, j in _near(fps, n_first, radius):
+        other = np.bitwise_count(more[i] ^ more[j])
+        some = np.flatnonzero((other <= radius) & (forest.label[i] != forest.label[j]))
+        if len(failed) and len(some):
+            some = some[~np.isin(np.minimum(i, j)[some] * len(fps) + np.maximum(i, j)[some], failed)]
+        if not len(some):
+            continue
+        if close < 0:
+            forest.used += zip(i[some].tolist(), j[some].tolist())
+            continue
+        i, j, d = i[some], j[some], other[some].astype(np.int64) + np.bitwise_count(fps[i[some]] ^ fps[j[some]])
+        tight = d <= close
+        forest.link(i[tight], j[tight])
+        apart = ~tight & (forest.label[i] != forest.label[j])
+        held.append(np.stack([i[apart], j[apart], d[apart]]))
+        size += int(apart.sum())
+        if size > 1 << 20:
+            held = [closest()]
+            size = held[0].shape[1] // 2
+    loose = closest()
+    return [*forest.used, *zip(loose[0].tolist(), loose[1].tolist())]
+
+
+def tile_links(fps: np.ndarray, reps: np.ndarray, n_first: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, as edges ``(rep, least rep)``, of the links between two tiles.
+
+    The first ``n_first`` rows are one tile, the rest the other; with no rest, the tile is compared with itself.
+    Each tile is cut into small boxes by the bit counts of its fingerprints' four 16-bit words. The Hamming distance of
+    two fingerprints is at least the summed differences of these counts, so pairs of boxes further apart than
+    ``radius`` are skipped; all other pairs are compared bit by bit.
+    """
+    forest = _Forest(len(fps))
+    for i, j in _near(fps, n_first, radius):
+        forest.link(i, j)
     least = np.full(len(fps), np.iinfo(np.int64).max)
     np.minimum.at(least, forest.label, reps)
     least = least[forest.label]
@@ -133,9 +189,12 @@ def tile_links(fps: np.ndarray, reps: np.ndarray, n_first: int, radius: int) ->
     return reps[linked], least[linked]
 
 
-def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+def links(distinct: DataFrame, radius: int = RADIUS, close: int | None = None) -> DataFrame:
     """Edges ``(u, v)`` that connect all of ``distinct(fp, rep)`` whose fingerprints differ in at most ``radius`` bits.
 
+    With ``close`` they are the ``candidate_links`` of rows that also have ``more``, the second half of the fingerprint, a
+    ``label``, and ``failed``, other rows that they aren't similar to.
+
     Tiles hold fingerprints of neighbouring bit counts. Each pair of tiles that can hold a link is a group of its own
     of bounded size, and gives a spanning forest of its links, never all of its pairs.
     """
@@ -158,11 +217,12 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         return distinct.sparkSession.createDataFrame([], "u long, v long")
     by = lambda d: F.element_at(F.create_map(*(F.lit(x) for kv in d.items() for x in kv)), F.bit_count("fp"))
     ends = lambda xs: F.array(*(F.lit(x) for x in xs))
-    placed = distinct.select("fp", "rep", (by(first) + F.pmod(F.xxhash64("fp"), by(salts))).cast("int").alias("tile"))
+    extra = ["more", "label", "failed"] if close is not None else []
+    placed = distinct.select("fp", "rep", *extra, (by(first) + F.pmod(F.xxhash64("fp"), by(salts))).cast("int").alias("tile"))
     placed = placed.withColumns({"lo": F.get(ends(low), F.col("tile")), "hi": F.get(ends(high), F.col("tile"))})
     near = F.filter(F.sequence(F.lit(0), F.lit(tiles - 1)), lambda j: (F.get(ends(low), j) - F.col("hi") <= radius) & (F.col("lo") - F.get(ends(high), j) <= radius))
-    dealt = placed.select("fp", "rep", "tile", F.explode(near).alias("other"))
-    dealt = dealt.select((F.least("tile", "other").cast("long") * tiles + F.greatest("tile", "other")).alias("pair"), "tile", "fp", "rep")
+    dealt = placed.select("fp", "rep", *extra, "tile", F.explode(near).alias("other"))
+    dealt = dealt.select((F.least("tile", "other").cast("long") * tiles + F.greatest("tile", "other")).alias("pair"), "tile", "fp", "rep", *extra)
 
     def compare(table: pa.Table) -> pa.Table:
         tile, fp, rep = (table.column(c).to_numpy() for c in ("tile", "fp", "rep"))
@@ -173,7 +233,18 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         n_first = len(fp) if alone else int((tile == tile[0]).sum())
         if not alone and n_first == len(fp):  # nothing is left of one of the tiles
             return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
-        u, v = tile_links(fp, rep, n_first, radius)
+        if close is None:
+            u, v = tile_links(fp, rep, n_first, radius)
+        else:
+            more, label = table.column("more").to_numpy()[order].view(np.uint64), table.column("label").to_numpy()[order]
+            failed = table.column("failed").combine_chunks().take(pa.array(order))
+            first, second = np.repeat(np.arange(len(fp)), functions.list_value_length(failed).to_numpy()), failed.flatten().to_numpy()
+            by = np.argsort(rep)
+            at = by[np.minimum(np.searchsorted(rep, second, sorter=by), len(rep) - 1)]
+            here = rep[at] == second
+            keys = np.minimum(first, at)[here] * len(fp) + np.maximum(first, at)[here]
+            found = candidate_links(fp, more, n_first, radius, close, label, keys)
+            u, v = rep[np.array(found, np.int64).reshape(-1, 2)].T
         release()
         return pa.table({"u": u, "v": v})
 
@@ -197,11 +268,107 @@ def near_duplicates(docs: DataFrame, words_in_shingle: int = SHINGLE_WORDS, radi
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+# --- similar texts ----------------------------------------------------------------------------------------------------
+#: Shingles of so many words, and the share of them that similar texts have in common.
+SIMILAR_WORDS, SIMILARITY = 5, 0.8
+#: Bits that the halves of a fingerprint of 128 bits may differ in (texts of similarity 0.8: 9.7 on average, three of a thousand
+#: beyond this), and bits in all up to which texts are most likely similar, so that a forest of them is verified first.
+HALF_RADIUS, CLOSE = 18, 10
+#: Rounds in which the closest pairs are verified; if some that failed leave others untried, these are verified one by one.
+ROUNDS = 4
+
+
+def _shingles(text: bytes, k: int) -> list[bytes]:
+    words = text.lower().split()
+    k = min(k, len(words))
+    return [b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)] if words else []
+
+
+def _wide_fingerprints(docs: DataFrame, k: int) -> DataFrame:
+    """``(doc_id, fp, more, same)``: a fingerprint of 128 bits and a hash of all words."""
+
+    def run(batches):
+        for batch in released(batches):
+            texts = batch.column("text").cast(pa.binary())
+            out = np.zeros((len(texts), 2), np.int64)
+            same = np.zeros(len(texts), np.int64)
+            for row, text in enumerate(texts):
+                words = (text.as_py() or b"").lower().split()
+                joined = b" ".join(words)
+                same[row] = np.uint64(xxhash.xxh64_intdigest(joined)).view(np.int64)
+                if not words:
+                    continue
+                size = min(k, len(words))
+                ends = [at - 1 for at in accumulate(len(w) + 1 for w in words)]
+                starts = [0, *(at + 1 for at in ends)]
+                n, counts = len(words) - size + 1, np.zeros(128, np.int64)
+                for at in range(0, n, 1 << 16):
+                    to = min(n, at + (1 << 16))
+                    digests = b"".join([xxhash.xxh128_digest(joined[x:y], HASH_SEED) for x, y in zip(starts[at:to], ends[at + size - 1 : to + size - 1])])
+                    counts += np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 16), axis=1).sum(0, dtype=np.int64)
+                out[row] = np.packbits(2 * counts > n).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out[:, 0].copy()), pa.array(out[:, 1].copy()), pa.array(same)], names=["doc_id", "fp", "more", "same"])
+
+    return docs.mapInArrow(run, "doc_id long, fp long, more long, same long")
+
+
+def _verified(edges: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """``(u, v, good)``: whether the texts of each edge have ``similarity``, shared over all different shingles."""
+
+    def run(batches):
+        for batch in released(batches):
+            keep = []
+            for a, b in zip(batch.column("a").cast(pa.binary()).to_pylist(), batch.column("b").cast(pa.binary()).to_pylist()):
+                x, y = set(_shingles(a or b"", k)), set(_shingles(b or b"", k))
+                common = len(x & y)
+                keep.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(keep, pa.bool_())], names=["u", "v", "good"])
+
+    left, right = texts.select(F.col("rep").alias("u"), F.col("text").alias("a")), texts.select(F.col("rep").alias("v"), F.col("text").alias("b"))
+    return edges.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long, good boolean")
+
+
+def similar_documents(docs: DataFrame, words_in_shingle: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """``(doc_id, component_id)`` per row of ``docs(doc_id, text)``: classes of texts that share ``similarity`` of their shingles.
+
+    Fingerprints are compared tile by tile as in ``near_duplicates``, but of 128 bits and within a radius that similarity
+    0.8 needs. Pairs found are verified on their texts. Texts of the same words are one; very close ones are linked in a
+    spanning forest and otherwise the closest pair of any two trees is verified, so that a large group gives no all
+    pairs; where a pair fails, the next closest of its trees is tried, until none is left. Null, empty and blank texts are one class. Rows with a null doc_id get a null component; rows that share a
+    doc_id are in the class of either. Other columns are ignored; an empty table gives an empty result.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    fps = stage(_wide_fingerprints(rows, words_in_shingle), "wide-fp")
+    distinct = stage(fps.filter("doc_id is not null").groupBy("fp", "more", "same").agg(F.min("doc_id").alias("rep")), "wide-distinct")
+    now = distinct.select("fp", "more", "rep", F.col("rep").alias("label"), F.array().cast("array<long>").alias("failed"))
+    parts = good = None
+    for k in range(ROUNDS + 1):
+        found = stage(links(now, HALF_RADIUS, CLOSE if k < ROUNDS else -1).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "wide-links")
+        ends = found.select(F.col("u").alias("rep")).union(found.select("v")).distinct()
+        texts = rows.join(ends, rows["doc_id"] == ends["rep"]).select("rep", "text")
+        checked = stage(_verified(found, texts, words_in_shingle, similarity), "wide-verified")
+        some = checked.filter("good").select("u", "v").distinct()
+        good = some if good is None else good.union(some)
+        parts = stage(connected_components(stage(good, "wide-good")), "wide-parts")
+        bad = checked.filter("not good").select("u", "v").distinct()
+        known = bad if k == 0 else known.union(bad)
+        if k == ROUNDS or bad.head() is None:
+            break
+        # only trees with a pair that failed can have others that weren't tried
+        named = distinct.select("fp", "more", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
+        both = known.select(F.col("u").alias("rep"), F.col("v").alias("other")).union(known.select("v", "u"))
+        trees = named.join(bad.select(F.col("u").alias("rep")).union(bad.select("v")).distinct(), "rep", "left_semi").select("label").distinct()
+        failed = both.groupBy("rep").agg(F.collect_set("other").alias("failed"))
+        now = stage(named.join(trees, "label", "left_semi").join(failed, "rep", "left").select("fp", "more", "rep", "label", F.coalesce("failed", F.array().cast("array<long>")).alias("failed")), "wide-rest")
+    classes = distinct.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "more", "same", F.coalesce("component", "rep").alias("component_id"))
+    return fps.join(classes, ["fp", "more", "same"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
 def keep_one_of_each(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of ``docs``, with all their columns, but for those that have a near duplicate of smaller doc_id.
+    """The rows of ``docs``, with all their columns, but for those whose class of similar texts has a smaller doc_id.
 
     Rows with a null doc_id stay.
     """
-    found = near_duplicates(docs, **parameters)
+    found = similar_documents(docs, **parameters)
     gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")

@@ -10,7 +10,7 @@ import corpus_pipeline
 
 sys.path.insert(0, str(Path(__file__).parent))
 from test_native import brute_leaks, brute_lines  # noqa: E402
-from test_simhash import brute_components  # noqa: E402
+from test_simhash import brute_similar  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -49,8 +49,7 @@ def test_lines(stages):
 
 def test_near_duplicates(stages):
     before = rows(stages[2])
-    parts = brute_components(before)
-    assert {d for d, _ in rows(stages[3])} == {d for d, (_, c) in parts.items() if d == c}
+    assert {d for d, _ in rows(stages[3])} == {d for d, c in brute_similar(before).items() if d == c}
 
 
 def test_leaks(spark, stages):

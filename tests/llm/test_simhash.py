@@ -81,3 +81,61 @@ def test_edges(spark):
     kept = simhash.keep_one_of_each(clash)
     assert kept.columns == clash.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["7", "7", "None"]
+
+
+def brute_similar(rows, k=5, similarity=0.8):
+    """Classes of texts by all pairs of sets of shingles."""
+    def shingles(text):
+        w = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+        n = min(k, len(w))
+        return {b" ".join(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set()
+
+    sets, where = [shingles(t) for _, t in rows], {}
+    for i, x in enumerate(sets):
+        for s in x or {b""}:
+            where.setdefault(s, []).append(i)
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i, x in enumerate(sets):
+        common = {}
+        for s in x or {b""}:
+            for j in where[s]:
+                if j < i:
+                    common[j] = common.get(j, 0) + 1
+        for j, n in common.items():
+            if not x or n >= similarity * (len(x) + len(sets[j]) - n) - 1e-9:
+                parent[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), d), d)
+    return {d: least[find(i)] for i, (d, _) in enumerate(rows)}
+
+
+def test_similar_documents_match_all_pairs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    expected = brute_similar(rows)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
+    assert got == expected
+    assert len({d for d, c in expected.items() if d != c}) > 50
+
+
+def test_similar_documents_of_a_large_group(spark):
+    """Variants of one text, of which neighbours are similar and distant ones needn't be, and texts just below the limit."""
+    rng = random.Random(9)
+    base = [f"word{rng.randrange(5000)}" for _ in range(150)]
+    rows, now = [], list(base)
+    for d in range(300):
+        rows.append((d, " ".join(now)))
+        now[rng.randrange(150)] = f"new{d}"
+    rows += [(1000 + d, " ".join(f"w{rng.randrange(9000)}" for _ in range(60))) for d in range(200)] + [(5000, None), (5001, " "), (None, "a b")]
+    got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    expected = brute_similar([r for r in rows if r[0] is not None])
+    assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == expected
+    assert [r.component_id for r in got if r.doc_id is None] == [None]
