@@ -301,12 +301,14 @@ def _wide_fingerprints(docs: DataFrame, k: int) -> DataFrame:
                 size = min(k, len(words))
                 ends = [at - 1 for at in accumulate(len(w) + 1 for w in words)]
                 starts = [0, *(at + 1 for at in ends)]
-                n, counts = len(words) - size + 1, np.zeros(128, np.int64)
+                n, counts, least = len(words) - size + 1, np.zeros(128, np.int64), b"\xff" * 16
                 for at in range(0, n, 1 << 16):
                     to = min(n, at + (1 << 16))
-                    digests = b"".join([xxhash.xxh128_digest(joined[x:y], HASH_SEED) for x, y in zip(starts[at:to], ends[at + size - 1 : to + size - 1])])
-                    counts += np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 16), axis=1).sum(0, dtype=np.int64)
-                out[row] = np.packbits(2 * counts > n).view(np.int64)
+                    digests = [xxhash.xxh128_digest(joined[x:y], HASH_SEED) for x, y in zip(starts[at:to], ends[at + size - 1 : to + size - 1])]
+                    least = min(least, *digests)
+                    counts += np.unpackbits(np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 16), axis=1).sum(0, dtype=np.int64)
+                # the shingle of least hash decides ties, so that bits of short texts are ones as often as not
+                out[row] = np.packbits(np.where(2 * counts == n, np.unpackbits(np.frombuffer(least, np.uint8)), 2 * counts > n)).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out[:, 0].copy()), pa.array(out[:, 1].copy()), pa.array(same)], names=["doc_id", "fp", "more", "same"])
 
     return docs.mapInArrow(run, "doc_id long, fp long, more long, same long")
@@ -348,8 +350,9 @@ def similar_documents(docs: DataFrame, words_in_shingle: int = SIMILAR_WORDS, si
         texts = rows.join(ends, rows["doc_id"] == ends["rep"]).select("rep", "text")
         checked = stage(_verified(found, texts, words_in_shingle, similarity), "wide-verified")
         some = checked.filter("good").select("u", "v").distinct()
-        good = some if good is None else good.union(some)
-        parts = stage(connected_components(stage(good, "wide-good")), "wide-parts")
+        if parts is None or some.head() is not None:
+            good = some if good is None else good.union(some)
+            parts = stage(connected_components(stage(good, "wide-good")), "wide-parts")
         bad = checked.filter("not good").select("u", "v").distinct()
         known = bad if k == 0 else known.union(bad)
         if k == ROUNDS or bad.head() is None:
