@@ -124,18 +124,19 @@ def _near(fps: np.ndarray, n_first: int, radius: int):
             yield a[i], b[j]
 
 
-def candidate_links(fps: np.ndarray, more: np.ndarray, n_first: int, radius: int, close: int, label: np.ndarray, failed: np.ndarray) -> list[tuple[int, int]]:
+def candidate_links(fps: np.ndarray, more: np.ndarray, n_first: int, radius: int, close: int, label: np.ndarray, failed: np.ndarray, size: np.ndarray, share: float) -> list[tuple[int, int]]:
     """Pairs of rows of two tiles (or one) that may be similar: those of a spanning forest of the close ones, and of any two of
     its trees the closest pair.
 
     Both halves of two fingerprints have to differ in at most ``radius`` bits; close ones differ in ``close`` at most in all.
     Rows of one label are known to be linked; pairs in ``failed``, as first row times rows plus second, are known not to be
-    similar. With a negative ``close`` all other pairs are given.
+    similar. The smaller of two texts has at least ``share`` of the different shingles (``size``) of the larger, or they
+    can't be similar. With a negative ``close`` all other pairs are given.
     """
     forest = _Forest(len(fps))
     forest.label = np.unique(label, return_inverse=True)[1]
     held: list[np.ndarray] = []
-    size = 0
+    n_held = 0
 
     def closest() -> np.ndarray:
         """Of the pairs held the closest for each two trees."""
@@ -150,7 +151,8 @@ def candidate_links(fps: np.ndarray, more: np.ndarray, n_first: int, radius: int
 
     for i, j in _near(fps, n_first, radius):
         other = np.bitwise_count(more[i] ^ more[j])
-        some = np.flatnonzero((other <= radius) & (forest.label[i] != forest.label[j]))
+        enough = np.minimum(size[i], size[j]) >= share * np.maximum(size[i], size[j]) - 1e-9
+        some = np.flatnonzero((other <= radius) & enough & (forest.label[i] != forest.label[j]))
         if len(failed) and len(some):
             some = some[~np.isin(np.minimum(i, j)[some] * len(fps) + np.maximum(i, j)[some], failed)]
         if not len(some):
@@ -163,10 +165,10 @@ def candidate_links(fps: np.ndarray, more: np.ndarray, n_first: int, radius: int
         forest.link(i[tight], j[tight])
         apart = ~tight & (forest.label[i] != forest.label[j])
         held.append(np.stack([i[apart], j[apart], d[apart]]))
-        size += int(apart.sum())
-        if size > 1 << 20:
+        n_held += int(apart.sum())
+        if n_held > 1 << 20:
             held = [closest()]
-            size = held[0].shape[1] // 2
+            n_held = held[0].shape[1] // 2
     loose = closest()
     return [*forest.used, *zip(loose[0].tolist(), loose[1].tolist())]
 
@@ -189,11 +191,11 @@ def tile_links(fps: np.ndarray, reps: np.ndarray, n_first: int, radius: int) ->
     return reps[linked], least[linked]
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, close: int | None = None) -> DataFrame:
+def links(distinct: DataFrame, radius: int = RADIUS, close: int | None = None, share: float = 0.0) -> DataFrame:
     """Edges ``(u, v)`` that connect all of ``distinct(fp, rep)`` whose fingerprints differ in at most ``radius`` bits.
 
     With ``close`` they are the ``candidate_links`` of rows that also have ``more``, the second half of the fingerprint, a
-    ``label``, and ``failed``, other rows that they aren't similar to.
+    ``label``, their ``size``, and ``failed``, other rows that they aren't similar to.
 
     Tiles hold fingerprints of neighbouring bit counts. Each pair of tiles that can hold a link is a group of its own
     of bounded size, and gives a spanning forest of its links, never all of its pairs.
@@ -217,7 +219,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, close: int | None = None) -
         return distinct.sparkSession.createDataFrame([], "u long, v long")
     by = lambda d: F.element_at(F.create_map(*(F.lit(x) for kv in d.items() for x in kv)), F.bit_count("fp"))
     ends = lambda xs: F.array(*(F.lit(x) for x in xs))
-    extra = ["more", "label", "failed"] if close is not None else []
+    extra = ["more", "label", "failed", "size"] if close is not None else []
     placed = distinct.select("fp", "rep", *extra, (by(first) + F.pmod(F.xxhash64("fp"), by(salts))).cast("int").alias("tile"))
     placed = placed.withColumns({"lo": F.get(ends(low), F.col("tile")), "hi": F.get(ends(high), F.col("tile"))})
     near = F.filter(F.sequence(F.lit(0), F.lit(tiles - 1)), lambda j: (F.get(ends(low), j) - F.col("hi") <= radius) & (F.col("lo") - F.get(ends(high), j) <= radius))
@@ -243,7 +245,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, close: int | None = None) -
             at = by[np.minimum(np.searchsorted(rep, second, sorter=by), len(rep) - 1)]
             here = rep[at] == second
             keys = np.minimum(first, at)[here] * len(fp) + np.maximum(first, at)[here]
-            found = candidate_links(fp, more, n_first, radius, close, label, keys)
+            found = candidate_links(fp, more, n_first, radius, close, label, keys, table.column("size").to_numpy()[order], share)
             u, v = rep[np.array(found, np.int64).reshape(-1, 2)].T
         release()
         return pa.table({"u": u, "v": v})
@@ -285,13 +287,13 @@ def _shingles(text: bytes, k: int) -> list[bytes]:
 
 
 def _wide_fingerprints(docs: DataFrame, k: int) -> DataFrame:
-    """``(doc_id, fp, more, same)``: a fingerprint of 128 bits and a hash of all words."""
+    """``(doc_id, fp, more, same, size)``: a fingerprint of 128 bits, a hash of all words, and the number of different shingles."""
 
     def run(batches):
         for batch in released(batches):
             texts = batch.column("text").cast(pa.binary())
             out = np.zeros((len(texts), 2), np.int64)
-            same = np.zeros(len(texts), np.int64)
+            same, different = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
             for row, text in enumerate(texts):
                 words = (text.as_py() or b"").lower().split()
                 joined = b" ".join(words)
@@ -302,16 +304,19 @@ def _wide_fingerprints(docs: DataFrame, k: int) -> DataFrame:
                 ends = [at - 1 for at in accumulate(len(w) + 1 for w in words)]
                 starts = [0, *(at + 1 for at in ends)]
                 n, counts, least = len(words) - size + 1, np.zeros(128, np.int64), b"\xff" * 16
+                seen: set[bytes] = set()
                 for at in range(0, n, 1 << 16):
                     to = min(n, at + (1 << 16))
                     digests = [xxhash.xxh128_digest(joined[x:y], HASH_SEED) for x, y in zip(starts[at:to], ends[at + size - 1 : to + size - 1])]
                     least = min(least, *digests)
+                    seen.update(digests)
                     counts += np.unpackbits(np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 16), axis=1).sum(0, dtype=np.int64)
+                different[row] = len(seen)
                 # the shingle of least hash decides ties, so that bits of short texts are ones as often as not
                 out[row] = np.packbits(np.where(2 * counts == n, np.unpackbits(np.frombuffer(least, np.uint8)), 2 * counts > n)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out[:, 0].copy()), pa.array(out[:, 1].copy()), pa.array(same)], names=["doc_id", "fp", "more", "same"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out[:, 0].copy()), pa.array(out[:, 1].copy()), pa.array(same), pa.array(different)], names=["doc_id", "fp", "more", "same", "size"])
 
-    return docs.mapInArrow(run, "doc_id long, fp long, more long, same long")
+    return docs.mapInArrow(run, "doc_id long, fp long, more long, same long, size long")
 
 
 def _verified(edges: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
@@ -341,11 +346,11 @@ def similar_documents(docs: DataFrame, words_in_shingle: int = SIMILAR_WORDS, si
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     fps = stage(_wide_fingerprints(rows, words_in_shingle), "wide-fp")
-    distinct = stage(fps.filter("doc_id is not null").groupBy("fp", "more", "same").agg(F.min("doc_id").alias("rep")), "wide-distinct")
-    now = distinct.select("fp", "more", "rep", F.col("rep").alias("label"), F.array().cast("array<long>").alias("failed"))
+    distinct = stage(fps.filter("doc_id is not null").groupBy("fp", "more", "same").agg(F.min("doc_id").alias("rep"), F.max("size").alias("size")), "wide-distinct")
+    now = distinct.select("fp", "more", "rep", "size", F.col("rep").alias("label"), F.array().cast("array<long>").alias("failed"))
     parts = good = None
     for k in range(ROUNDS + 1):
-        found = stage(links(now, HALF_RADIUS, CLOSE if k < ROUNDS else -1).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "wide-links")
+        found = stage(links(now, HALF_RADIUS, CLOSE if k < ROUNDS else -1, similarity).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "wide-links")
         ends = found.select(F.col("u").alias("rep")).union(found.select("v")).distinct()
         texts = rows.join(ends, rows["doc_id"] == ends["rep"]).select("rep", "text")
         checked = stage(_verified(found, texts, words_in_shingle, similarity), "wide-verified")
@@ -358,11 +363,11 @@ def similar_documents(docs: DataFrame, words_in_shingle: int = SIMILAR_WORDS, si
         if k == ROUNDS or bad.head() is None:
             break
         # only trees with a pair that failed can have others that weren't tried
-        named = distinct.select("fp", "more", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
+        named = distinct.select("fp", "more", "rep", "size").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
         both = known.select(F.col("u").alias("rep"), F.col("v").alias("other")).union(known.select("v", "u"))
         trees = named.join(bad.select(F.col("u").alias("rep")).union(bad.select("v")).distinct(), "rep", "left_semi").select("label").distinct()
         failed = both.groupBy("rep").agg(F.collect_set("other").alias("failed"))
-        now = stage(named.join(trees, "label", "left_semi").join(failed, "rep", "left").select("fp", "more", "rep", "label", F.coalesce("failed", F.array().cast("array<long>")).alias("failed")), "wide-rest")
+        now = stage(named.join(trees, "label", "left_semi").join(failed, "rep", "left").select("fp", "more", "rep", "size", "label", F.coalesce("failed", F.array().cast("array<long>")).alias("failed")), "wide-rest")
     classes = distinct.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "more", "same", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(classes, ["fp", "more", "same"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
