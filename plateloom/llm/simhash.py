@@ -124,11 +124,12 @@ def _near(fps: np.ndarray, n_first: int, radius: int):
             yield a[i], b[j]
 
 
-def candidate_links(fps: np.ndarray, more: np.ndarray, n_first: int, radius: int, close: int, label: np.ndarray, failed: np.ndarray, size: np.ndarray, share: float) -> list[tuple[int, int]]:
-    """Pairs of rows of two tiles (or one) that may be similar: those of a spanning forest of the close ones, and of any two of
-    its trees the closest pair.
+def candidate_links(fps: np.ndarray, more: np.ndarray, rest: np.ndarray, n_first: int, radius: int, close: int, label: np.ndarray, failed: np.ndarray, size: np.ndarray, share: float) -> list[tuple[int, int, int]]:
+    """Pairs of rows of two tiles (or one) that may be similar, and the bits they differ in: those of a spanning forest of the
+    close ones (zero bits), and of any two of its trees the closest pair.
 
-    Both halves of two fingerprints have to differ in at most ``radius`` bits; close ones differ in ``close`` at most in all.
+    The first two words of two fingerprints, ``fps`` and ``more``, have to differ in at most ``radius`` bits each, and all of
+    them in REACH at most, unless one of the texts has under FEW shingles; close ones differ in ``close`` at most in all.
     Rows of one label are known to be linked; pairs in ``failed``, as first row times rows plus second, are known not to be
     similar. The smaller of two texts has at least ``share`` of the different shingles (``size``) of the larger, or they
     can't be similar. With a negative ``close`` all other pairs are given.
@@ -155,12 +156,18 @@ def candidate_links(fps: np.ndarray, more: np.ndarray, n_first: int, radius: int
         some = np.flatnonzero((other <= radius) & enough & (forest.label[i] != forest.label[j]))
         if len(failed) and len(some):
             some = some[~np.isin(np.minimum(i, j)[some] * len(fps) + np.maximum(i, j)[some], failed)]
+        d = other[some].astype(np.int64) + np.bitwise_count(fps[i[some]] ^ fps[j[some]])
+        for at in range(0, len(some), 1 << 16):
+            part = some[at : at + (1 << 16)]
+            d[at : at + (1 << 16)] += np.bitwise_count(rest[i[part]] ^ rest[j[part]]).sum(1, dtype=np.int64)
+        near = (d <= REACH) | (np.minimum(size[i[some]], size[j[some]]) < FEW)
+        some, d = some[near], d[near]
         if not len(some):
             continue
         if close < 0:
-            forest.used += zip(i[some].tolist(), j[some].tolist())
+            held.append(np.stack([i[some], j[some], d]))
             continue
-        i, j, d = i[some], j[some], other[some].astype(np.int64) + np.bitwise_count(fps[i[some]] ^ fps[j[some]])
+        i, j = i[some], j[some]
         tight = d <= close
         forest.link(i[tight], j[tight])
         apart = ~tight & (forest.label[i] != forest.label[j])
@@ -169,8 +176,8 @@ def candidate_links(fps: np.ndarray, more: np.ndarray, n_first: int, radius: int
         if n_held > 1 << 20:
             held = [closest()]
             n_held = held[0].shape[1] // 2
-    loose = closest()
-    return [*forest.used, *zip(loose[0].tolist(), loose[1].tolist())]
+    loose = np.concatenate(held or [np.zeros((3, 0), np.int64)], 1) if close < 0 else closest()
+    return [*((i, j, 0) for i, j in forest.used), *zip(*loose.tolist())]
 
 
 def tile_links(fps: np.ndarray, reps: np.ndarray, n_first: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -194,8 +201,8 @@ def tile_links(fps: np.ndarray, reps: np.ndarray, n_first: int, radius: int) ->
 def links(distinct: DataFrame, radius: int = RADIUS, close: int | None = None, share: float = 0.0) -> DataFrame:
     """Edges ``(u, v)`` that connect all of ``distinct(fp, rep)`` whose fingerprints differ in at most ``radius`` bits.
 
-    With ``close`` they are the ``candidate_links`` of rows that also have ``more``, the second half of the fingerprint, a
-    ``label``, their ``size``, and ``failed``, other rows that they aren't similar to.
+    With ``close`` they are the ``candidate_links`` ``(u, v, d)`` of rows that also have ``more`` and ``rest``, the other words of the
+    fingerprint, a ``label``, their ``size``, and ``failed``, other rows that they aren't similar to.
 
     Tiles hold fingerprints of neighbouring bit counts. Each pair of tiles that can hold a link is a group of its own
     of bounded size, and gives a spanning forest of its links, never all of its pairs.
@@ -216,10 +223,11 @@ def links(distinct: DataFrame, radius: int = RADIUS, close: int | None = None, s
         room = rows - n if salts[pc] == 1 else 0
     tiles = len(low)
     if not tiles:
-        return distinct.sparkSession.createDataFrame([], "u long, v long")
+        return distinct.sparkSession.createDataFrame([], "u long, v long" if close is None else "u long, v long, d long")
     by = lambda d: F.element_at(F.create_map(*(F.lit(x) for kv in d.items() for x in kv)), F.bit_count("fp"))
     ends = lambda xs: F.array(*(F.lit(x) for x in xs))
-    extra = ["more", "label", "failed", "size"] if close is not None else []
+    names = ["u", "v"] if close is None else ["u", "v", "d"]
+    extra = ["more", "rest", "label", "failed", "size"] if close is not None else []
     placed = distinct.select("fp", "rep", *extra, (by(first) + F.pmod(F.xxhash64("fp"), by(salts))).cast("int").alias("tile"))
     placed = placed.withColumns({"lo": F.get(ends(low), F.col("tile")), "hi": F.get(ends(high), F.col("tile"))})
     near = F.filter(F.sequence(F.lit(0), F.lit(tiles - 1)), lambda j: (F.get(ends(low), j) - F.col("hi") <= radius) & (F.col("lo") - F.get(ends(high), j) <= radius))
@@ -234,7 +242,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, close: int | None = None, s
         alone = pair // tiles == pair % tiles
         n_first = len(fp) if alone else int((tile == tile[0]).sum())
         if not alone and n_first == len(fp):  # nothing is left of one of the tiles
-            return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
+            return pa.table({c: pa.array([], pa.int64()) for c in names})
         if close is None:
             u, v = tile_links(fp, rep, n_first, radius)
         else:
@@ -245,12 +253,14 @@ def links(distinct: DataFrame, radius: int = RADIUS, close: int | None = None, s
             at = by[np.minimum(np.searchsorted(rep, second, sorter=by), len(rep) - 1)]
             here = rep[at] == second
             keys = np.minimum(first, at)[here] * len(fp) + np.maximum(first, at)[here]
-            found = candidate_links(fp, more, n_first, radius, close, label, keys, table.column("size").to_numpy()[order], share)
-            u, v = rep[np.array(found, np.int64).reshape(-1, 2)].T
+            rest = np.frombuffer(b"".join(table.column("rest").to_pylist()), np.uint64).reshape(len(fp), -1)[order]
+            found = candidate_links(fp, more, rest, n_first, radius, close, label, keys, table.column("size").to_numpy()[order], share)
+            i, j, d = np.array(found, np.int64).reshape(-1, 3).T
+            u, v = rep[i], rep[j]
         release()
-        return pa.table({"u": u, "v": v})
+        return pa.table({"u": u, "v": v} if close is None else {"u": u, "v": v, "d": d})
 
-    return dealt.groupBy("pair").applyInArrow(compare, "u long, v long")
+    return dealt.groupBy("pair").applyInArrow(compare, ", ".join(f"{c} long" for c in names))
 
 
 def near_duplicates(docs: DataFrame, words_in_shingle: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
@@ -273,11 +283,22 @@ def near_duplicates(docs: DataFrame, words_in_shingle: int = SHINGLE_WORDS, radi
 # --- similar texts ----------------------------------------------------------------------------------------------------
 #: Shingles of so many words, and the share of them that similar texts have in common.
 SIMILAR_WORDS, SIMILARITY = 5, 0.8
-#: Bits that the halves of a fingerprint of 128 bits may differ in (texts of similarity 0.8: 9.7 on average, three of a thousand
+#: Words of 64 bits in a fingerprint.
+FINGERPRINT_WORDS = 8
+#: Bits that either of the first two words may differ in (texts of similarity 0.8: 9.7 on average, three of a thousand
 #: beyond this), and bits in all up to which texts are most likely similar, so that a forest of them is verified first.
-HALF_RADIUS, CLOSE = 18, 10
+WORD_RADIUS, CLOSE = 18, 40
+#: Bits of all words that texts may differ in (similarity 0.8: 78 on average, standard deviation 8.1). Where a text has fewer
+#: than FEW shingles, single shingles decide too many bits for that, and the first two words alone count.
+REACH, FEW = 110, 24
 #: Rounds in which the closest pairs are verified; if some that failed leave others untried, these are verified one by one.
-ROUNDS = 4
+ROUNDS = 1
+#: Bytes of text whose shingles a task holds while it verifies pairs, as one text is often part of many.
+SHINGLES_HELD = 4 << 20
+#: Waves of a round in which each text's closest pair to another tree is verified; the pairs that are still apart follow.
+WAVES = 1
+#: The increment and the two multipliers of the splitmix64 generator.
+MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
 def _shingles(text: bytes, k: int) -> list[bytes]:
@@ -286,13 +307,35 @@ def _shingles(text: bytes, k: int) -> list[bytes]:
     return [b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)] if words else []
 
 
+def _mixed(digests: np.ndarray) -> np.ndarray:
+    """A row of FINGERPRINT_WORDS words for each of ``digests`` (two words a row, which come first): the others are mixed from them."""
+    words = np.arange(2, FINGERPRINT_WORDS, dtype=np.uint64)
+    x = digests[:, np.arange(2, FINGERPRINT_WORDS) % 2] + words * np.uint64(MIX[0])
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX[1])
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(MIX[2])
+    return np.concatenate([digests, x ^ (x >> np.uint64(31))], 1)
+
+
+def _bits(words: np.ndarray) -> np.ndarray:
+    return np.unpackbits(words.view(np.uint8).reshape(len(words), -1), axis=1)
+
+
+def _ones(words: np.ndarray) -> np.ndarray:
+    """How many rows of ``words`` have each bit set: bytes are summed for 255 rows at a time, which can't overflow them."""
+    counts = np.zeros(64 * FINGERPRINT_WORDS, np.int64)
+    for at in range(0, len(words), 255):
+        counts += _bits(words[at : at + 255]).sum(0, dtype=np.uint8)
+    return counts
+
+
 def _wide_fingerprints(docs: DataFrame, k: int) -> DataFrame:
-    """``(doc_id, fp, more, same, size)``: a fingerprint of 128 bits, a hash of all words, and the number of different shingles."""
+    """``(doc_id, fp, more, rest, same, size)``: the words of a fingerprint, a hash of all words of the text, and the number of
+    its different shingles."""
 
     def run(batches):
         for batch in released(batches):
             texts = batch.column("text").cast(pa.binary())
-            out = np.zeros((len(texts), 2), np.int64)
+            out = np.zeros((len(texts), FINGERPRINT_WORDS), np.uint64)
             same, different = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
             for row, text in enumerate(texts):
                 words = (text.as_py() or b"").lower().split()
@@ -303,20 +346,23 @@ def _wide_fingerprints(docs: DataFrame, k: int) -> DataFrame:
                 size = min(k, len(words))
                 ends = [at - 1 for at in accumulate(len(w) + 1 for w in words)]
                 starts = [0, *(at + 1 for at in ends)]
-                n, counts, least = len(words) - size + 1, np.zeros(128, np.int64), b"\xff" * 16
+                n, counts, least = len(words) - size + 1, np.zeros(64 * FINGERPRINT_WORDS, np.int64), b"\xff" * 16
                 seen: set[bytes] = set()
-                for at in range(0, n, 1 << 16):
-                    to = min(n, at + (1 << 16))
+                for at in range(0, n, 1 << 14):
+                    to = min(n, at + (1 << 14))
                     digests = [xxhash.xxh128_digest(joined[x:y], HASH_SEED) for x, y in zip(starts[at:to], ends[at + size - 1 : to + size - 1])]
                     least = min(least, *digests)
                     seen.update(digests)
-                    counts += np.unpackbits(np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 16), axis=1).sum(0, dtype=np.int64)
+                    counts += _ones(_mixed(np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)))
                 different[row] = len(seen)
                 # the shingle of least hash decides ties, so that bits of short texts are ones as often as not
-                out[row] = np.packbits(np.where(2 * counts == n, np.unpackbits(np.frombuffer(least, np.uint8)), 2 * counts > n)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out[:, 0].copy()), pa.array(out[:, 1].copy()), pa.array(same), pa.array(different)], names=["doc_id", "fp", "more", "same", "size"])
+                tied = _bits(_mixed(np.frombuffer(least, np.uint64).reshape(1, 2)))[0]
+                out[row] = np.packbits(np.where(2 * counts == n, tied, 2 * counts > n)).view(np.uint64)
+            rest = pa.array([x.tobytes() for x in out[:, 2:]], pa.binary())
+            first, second = (pa.array(out[:, c].copy().view(np.int64)) for c in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), first, second, rest, pa.array(same), pa.array(different)], names=["doc_id", "fp", "more", "rest", "same", "size"])
 
-    return docs.mapInArrow(run, "doc_id long, fp long, more long, same long, size long")
+    return docs.mapInArrow(run, "doc_id long, fp long, more long, rest binary, same long, size long")
 
 
 def _verified(edges: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
@@ -324,9 +370,22 @@ def _verified(edges: DataFrame, texts: DataFrame, k: int, similarity: float) ->
 
     def run(batches):
         for batch in released(batches):
-            keep = []
-            for a, b in zip(batch.column("a").cast(pa.binary()).to_pylist(), batch.column("b").cast(pa.binary()).to_pylist()):
-                x, y = set(_shingles(a or b"", k)), set(_shingles(b or b"", k))
+            keep, held, room = [], {}, SHINGLES_HELD
+
+            def shingles(column: str, row: int) -> set[bytes]:
+                nonlocal room
+                doc = batch.column("u" if column == "a" else "v")[row].as_py()
+                if doc not in held:
+                    text = batch.column(column)[row].cast(pa.binary()).as_py() or b""
+                    if len(text) > room:
+                        held.clear()
+                        room = SHINGLES_HELD
+                    room -= len(text)
+                    held[doc] = set(_shingles(text, k))
+                return held[doc]
+
+            for row in range(batch.num_rows):
+                x, y = shingles("a", row), shingles("b", row)
                 common = len(x & y)
                 keep.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(keep, pa.bool_())], names=["u", "v", "good"])
@@ -335,41 +394,67 @@ def _verified(edges: DataFrame, texts: DataFrame, k: int, similarity: float) ->
     return edges.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long, good boolean")
 
 
+def _checked(rows: DataFrame, edges: DataFrame, k: int, similarity: float) -> DataFrame:
+    """``_verified`` for ``edges`` between documents of ``rows``."""
+    ends = edges.select(F.col("u").alias("rep")).union(edges.select("v")).distinct()
+    texts = rows.join(ends, rows["doc_id"] == ends["rep"]).select("rep", "text")
+    return _verified(edges, texts, k, similarity)
+
+
+def _joined(parts: DataFrame | None, checked: DataFrame) -> DataFrame:
+    """The components ``(node, component)`` of ``parts`` once the good pairs of ``checked`` are links too."""
+    some = checked.filter("good").select("u", "v").distinct()
+    if parts is not None:
+        if some.head() is None:
+            return parts
+        some = some.union(parts.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")))
+    return stage(connected_components(some), "wide-parts")
+
+
 def similar_documents(docs: DataFrame, words_in_shingle: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """``(doc_id, component_id)`` per row of ``docs(doc_id, text)``: classes of texts that share ``similarity`` of their shingles.
 
-    Fingerprints are compared tile by tile as in ``near_duplicates``, but of 128 bits and within a radius that similarity
-    0.8 needs. Pairs found are verified on their texts. Texts of the same words are one; very close ones are linked in a
-    spanning forest and otherwise the closest pair of any two trees is verified, so that a large group gives no all
-    pairs; where a pair fails, the next closest of its trees is tried, until none is left. Null, empty and blank texts are one class. Rows with a null doc_id get a null component; rows that share a
-    doc_id are in the class of either. Other columns are ignored; an empty table gives an empty result.
+    Fingerprints are compared tile by tile as in ``near_duplicates``, but of 512 bits and within a radius that similarity
+    0.8 needs. Pairs found are verified on their texts, in waves: first a spanning forest of very close ones and each
+    text's closest pair, then pairs whose ends nothing links yet. So a large group is not verified pair by pair. Where a pair fails,
+    the next closest of its trees is tried, until none is left. Texts of the same words are one; null, empty and blank texts
+    are one class. Rows with a null doc_id get a null component; rows that share a doc_id are in the class of either. Other
+    columns are ignored; an empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     fps = stage(_wide_fingerprints(rows, words_in_shingle), "wide-fp")
-    distinct = stage(fps.filter("doc_id is not null").groupBy("fp", "more", "same").agg(F.min("doc_id").alias("rep"), F.max("size").alias("size")), "wide-distinct")
-    now = distinct.select("fp", "more", "rep", "size", F.col("rep").alias("label"), F.array().cast("array<long>").alias("failed"))
-    parts = good = None
+    distinct = stage(fps.filter("doc_id is not null").groupBy("fp", "more", "rest", "same").agg(F.min("doc_id").alias("rep"), F.max("size").alias("size")), "wide-distinct")
+    now = distinct.select("fp", "more", "rest", "rep", "size", F.col("rep").alias("label"), F.array().cast("array<long>").alias("failed"))
+    parts = None
     for k in range(ROUNDS + 1):
-        found = stage(links(now, HALF_RADIUS, CLOSE if k < ROUNDS else -1, similarity).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "wide-links")
-        ends = found.select(F.col("u").alias("rep")).union(found.select("v")).distinct()
-        texts = rows.join(ends, rows["doc_id"] == ends["rep"]).select("rep", "text")
-        checked = stage(_verified(found, texts, words_in_shingle, similarity), "wide-verified")
-        some = checked.filter("good").select("u", "v").distinct()
-        if parts is None or some.head() is not None:
-            good = some if good is None else good.union(some)
-            parts = stage(connected_components(stage(good, "wide-good")), "wide-parts")
-        bad = checked.filter("not good").select("u", "v").distinct()
+        ends = F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")
+        found = stage(links(now, WORD_RADIUS, CLOSE if k < ROUNDS else -1, similarity).groupBy(*ends).agg(F.min("d").alias("d")), "wide-links")
+        # the forest and each text's closest pairs go first: what they link needs no other pair
+        tried, left = None, found
+        for wave in range(WAVES + 1):
+            both = left.select(F.col("u").alias("rep"), "d", "u", "v").union(left.select("v", "d", "u", "v"))
+            nearest = both.groupBy("rep").agg(F.min(F.struct("d", "u", "v")).alias("x")).select("x.u", "x.v")
+            picked = nearest.union(left.filter("d = 0").select("u", "v")).distinct() if wave < WAVES else left.select("u", "v")
+            checked = stage(_checked(rows, picked, words_in_shingle, similarity), "wide-verified")
+            tried = checked if tried is None else tried.union(checked)
+            parts = _joined(parts, checked)
+            tree = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"tree_{c}"))
+            apart = left.join(tree("u"), "u", "left").join(tree("v"), "v", "left").filter(F.coalesce("tree_u", "u") != F.coalesce("tree_v", "v"))
+            if wave == WAVES or apart.head() is None:
+                break
+            left = stage(apart.select("u", "v", "d").join(checked.select("u", "v"), ["u", "v"], "left_anti"), "wide-left")
+        bad = tried.filter("not good").select("u", "v")
         known = bad if k == 0 else known.union(bad)
         if k == ROUNDS or bad.head() is None:
             break
         # only trees with a pair that failed can have others that weren't tried
-        named = distinct.select("fp", "more", "rep", "size").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
+        named = distinct.select("fp", "more", "rest", "rep", "size").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
         both = known.select(F.col("u").alias("rep"), F.col("v").alias("other")).union(known.select("v", "u"))
         trees = named.join(bad.select(F.col("u").alias("rep")).union(bad.select("v")).distinct(), "rep", "left_semi").select("label").distinct()
         failed = both.groupBy("rep").agg(F.collect_set("other").alias("failed"))
-        now = stage(named.join(trees, "label", "left_semi").join(failed, "rep", "left").select("fp", "more", "rep", "size", "label", F.coalesce("failed", F.array().cast("array<long>")).alias("failed")), "wide-rest")
-    classes = distinct.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "more", "same", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(classes, ["fp", "more", "same"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+        now = stage(named.join(trees, "label", "left_semi").join(failed, "rep", "left").select("fp", "more", "rest", "rep", "size", "label", F.coalesce("failed", F.array().cast("array<long>")).alias("failed")), "wide-rest")
+    classes = distinct.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "more", "rest", "same", F.coalesce("component", "rep").alias("component_id"))
+    return fps.join(classes, ["fp", "more", "rest", "same"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, **parameters) -> DataFrame:
