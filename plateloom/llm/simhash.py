@@ -6,7 +6,6 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as functions
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -124,60 +123,57 @@ def _near(fps: np.ndarray, n_first: int, radius: int):
             yield a[i], b[j]
 
 
-def candidate_links(fps: np.ndarray, more: np.ndarray, rest: np.ndarray, n_first: int, radius: int, close: int, label: np.ndarray, failed: np.ndarray, size: np.ndarray, share: float) -> list[tuple[int, int, int]]:
-    """Pairs of rows of two tiles (or one) that may be similar, and the bits they differ in: those of a spanning forest of the
-    close ones (zero bits), and of any two of its trees the closest pair.
+def _candidates(fps: np.ndarray, more: np.ndarray, rest: np.ndarray, size: np.ndarray, n_first: int, radius: int, share: float, forest: _Forest):
+    """Pairs of rows of two tiles (or one) that may be similar and are in different trees of ``forest``, in bulk, with the bits they
+    differ in.
 
     The first two words of two fingerprints, ``fps`` and ``more``, have to differ in at most ``radius`` bits each, and all of
-    them in REACH at most, unless one of the texts has under FEW shingles; close ones differ in ``close`` at most in all.
-    Rows of one label are known to be linked; pairs in ``failed``, as first row times rows plus second, are known not to be
-    similar. The smaller of two texts has at least ``share`` of the different shingles (``size``) of the larger, or they
-    can't be similar. With a negative ``close`` all other pairs are given.
+    them in REACH at most, unless one of the texts has under FEW shingles. The smaller of two texts has at least ``share`` of
+    the different shingles (``size``) of the larger, or they can't be similar.
     """
-    forest = _Forest(len(fps))
-    forest.label = np.unique(label, return_inverse=True)[1]
-    held: list[np.ndarray] = []
-    n_held = 0
-
-    def closest() -> np.ndarray:
-        """Of the pairs held the closest for each two trees."""
-        i, j, d = np.concatenate(held, 1) if held else np.zeros((3, 0), np.int64)
-        li, lj = forest.label[i], forest.label[j]
-        apart = np.flatnonzero(li != lj)
-        key = np.minimum(li, lj)[apart] * len(fps) + np.maximum(li, lj)[apart]
-        order = apart[np.lexsort((d[apart], key))]
-        key = np.minimum(li, lj)[order] * len(fps) + np.maximum(li, lj)[order]
-        order = order[np.r_[True, key[1:] != key[:-1]]] if len(order) else order
-        return np.stack([i[order], j[order], d[order]])
-
     for i, j in _near(fps, n_first, radius):
-        other = np.bitwise_count(more[i] ^ more[j])
         enough = np.minimum(size[i], size[j]) >= share * np.maximum(size[i], size[j]) - 1e-9
+        other = np.bitwise_count(more[i] ^ more[j])
         some = np.flatnonzero((other <= radius) & enough & (forest.label[i] != forest.label[j]))
-        if len(failed) and len(some):
-            some = some[~np.isin(np.minimum(i, j)[some] * len(fps) + np.maximum(i, j)[some], failed)]
         d = other[some].astype(np.int64) + np.bitwise_count(fps[i[some]] ^ fps[j[some]])
         for at in range(0, len(some), 1 << 16):
             part = some[at : at + (1 << 16)]
             d[at : at + (1 << 16)] += np.bitwise_count(rest[i[part]] ^ rest[j[part]]).sum(1, dtype=np.int64)
         near = (d <= REACH) | (np.minimum(size[i[some]], size[j[some]]) < FEW)
-        some, d = some[near], d[near]
-        if not len(some):
-            continue
-        if close < 0:
-            held.append(np.stack([i[some], j[some], d]))
-            continue
-        i, j = i[some], j[some]
-        tight = d <= close
-        forest.link(i[tight], j[tight])
-        apart = ~tight & (forest.label[i] != forest.label[j])
-        held.append(np.stack([i[apart], j[apart], d[apart]]))
-        n_held += int(apart.sum())
-        if n_held > 1 << 20:
-            held = [closest()]
-            n_held = held[0].shape[1] // 2
-    loose = np.concatenate(held or [np.zeros((3, 0), np.int64)], 1) if close < 0 else closest()
-    return [*((i, j, 0) for i, j in forest.used), *zip(*loose.tolist())]
+        if near.any():
+            yield i[some[near]], j[some[near]], d[near]
+
+
+def candidate_links(fps: np.ndarray, more: np.ndarray, rest: np.ndarray, size: np.ndarray, n_first: int, radius: int, close: int, share: float) -> list[tuple[int, int, int]]:
+    """Two spanning forests of pairs of rows: of those that differ in ``close`` bits at most (third value 0), and of all
+    ``_candidates`` (1). Together they are fewer than two for each row, however many pairs there are.
+    """
+    tight, loose = _Forest(len(fps)), _Forest(len(fps))
+    for i, j, d in _candidates(fps, more, rest, size, n_first, radius, share, tight):
+        near = d <= close
+        tight.link(i[near], j[near])
+        loose.link(i, j)
+    return [*((i, j, 0) for i, j in tight.used), *((i, j, 1) for i, j in loose.used)]
+
+
+def similar_links(fps: np.ndarray, more: np.ndarray, rest: np.ndarray, sets: list[np.ndarray], n_first: int, radius: int, similarity: float, label: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the ``_candidates`` whose ``sets`` of shingles (sorted hashes) have ``similarity``.
+
+    Rows of one label are known to be linked. The closest pairs of each bulk are compared first.
+    """
+    forest = _Forest(len(fps))
+    forest.label = np.unique(label, return_inverse=True)[1]
+    size = np.array([len(x) for x in sets], np.int64)
+    for i, j, d in _candidates(fps, more, rest, size, n_first, radius, similarity, forest):
+        order = np.argsort(d, kind="stable")
+        for a, b in zip(i[order].tolist(), j[order].tolist()):
+            if forest.label[a] == forest.label[b]:
+                continue
+            x, y = (sets[a], sets[b]) if len(sets[a]) > len(sets[b]) else (sets[b], sets[a])
+            common = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum()) if len(y) else 0
+            if common >= similarity * (len(x) + len(y) - common) - 1e-9:
+                forest.link(np.array([a]), np.array([b]))
+    return forest.used
 
 
 def tile_links(fps: np.ndarray, reps: np.ndarray, n_first: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -202,7 +198,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, close: int | None = None, s
     """Edges ``(u, v)`` that connect all of ``distinct(fp, rep)`` whose fingerprints differ in at most ``radius`` bits.
 
     With ``close`` they are the ``candidate_links`` ``(u, v, d)`` of rows that also have ``more`` and ``rest``, the other words of the
-    fingerprint, a ``label``, their ``size``, and ``failed``, other rows that they aren't similar to.
+    fingerprint, and their ``size``.
 
     Tiles hold fingerprints of neighbouring bit counts. Each pair of tiles that can hold a link is a group of its own
     of bounded size, and gives a spanning forest of its links, never all of its pairs.
@@ -227,7 +223,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, close: int | None = None, s
     by = lambda d: F.element_at(F.create_map(*(F.lit(x) for kv in d.items() for x in kv)), F.bit_count("fp"))
     ends = lambda xs: F.array(*(F.lit(x) for x in xs))
     names = ["u", "v"] if close is None else ["u", "v", "d"]
-    extra = ["more", "rest", "label", "failed", "size"] if close is not None else []
+    extra = ["more", "rest", "size"] if close is not None else []
     placed = distinct.select("fp", "rep", *extra, (by(first) + F.pmod(F.xxhash64("fp"), by(salts))).cast("int").alias("tile"))
     placed = placed.withColumns({"lo": F.get(ends(low), F.col("tile")), "hi": F.get(ends(high), F.col("tile"))})
     near = F.filter(F.sequence(F.lit(0), F.lit(tiles - 1)), lambda j: (F.get(ends(low), j) - F.col("hi") <= radius) & (F.col("lo") - F.get(ends(high), j) <= radius))
@@ -246,15 +242,9 @@ def links(distinct: DataFrame, radius: int = RADIUS, close: int | None = None, s
         if close is None:
             u, v = tile_links(fp, rep, n_first, radius)
         else:
-            more, label = table.column("more").to_numpy()[order].view(np.uint64), table.column("label").to_numpy()[order]
-            failed = table.column("failed").combine_chunks().take(pa.array(order))
-            first, second = np.repeat(np.arange(len(fp)), functions.list_value_length(failed).to_numpy()), failed.flatten().to_numpy()
-            by = np.argsort(rep)
-            at = by[np.minimum(np.searchsorted(rep, second, sorter=by), len(rep) - 1)]
-            here = rep[at] == second
-            keys = np.minimum(first, at)[here] * len(fp) + np.maximum(first, at)[here]
+            more, size = table.column("more").to_numpy()[order].view(np.uint64), table.column("size").to_numpy()[order]
             rest = np.frombuffer(b"".join(table.column("rest").to_pylist()), np.uint64).reshape(len(fp), -1)[order]
-            found = candidate_links(fp, more, rest, n_first, radius, close, label, keys, table.column("size").to_numpy()[order], share)
+            found = candidate_links(fp, more, rest, size, n_first, radius, close, share)
             i, j, d = np.array(found, np.int64).reshape(-1, 3).T
             u, v = rep[i], rep[j]
         release()
@@ -291,12 +281,10 @@ WORD_RADIUS, CLOSE = 18, 40
 #: Bits of all words that texts may differ in (similarity 0.8: 78 on average, standard deviation 8.1). Where a text has fewer
 #: than FEW shingles, single shingles decide too many bits for that, and the first two words alone count.
 REACH, FEW = 110, 24
-#: Rounds in which the closest pairs are verified; if some that failed leave others untried, these are verified one by one.
-ROUNDS = 1
+#: Texts, and shingles of all of them, in a part of a block whose texts are compared.
+BLOCK_ROWS, BLOCK_SHINGLES = 2048, 1 << 20
 #: Bytes of text whose shingles a task holds while it verifies pairs, as one text is often part of many.
 SHINGLES_HELD = 4 << 20
-#: Waves of a round in which each text's closest pair to another tree is verified; the pairs that are still apart follow.
-WAVES = 1
 #: The increment and the two multipliers of the splitmix64 generator.
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -401,58 +389,90 @@ def _checked(rows: DataFrame, edges: DataFrame, k: int, similarity: float) -> Da
     return _verified(edges, texts, k, similarity)
 
 
-def _joined(parts: DataFrame | None, checked: DataFrame) -> DataFrame:
-    """The components ``(node, component)`` of ``parts`` once the good pairs of ``checked`` are links too."""
-    some = checked.filter("good").select("u", "v").distinct()
-    if parts is not None:
-        if some.head() is None:
-            return parts
-        some = some.union(parts.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")))
-    return stage(connected_components(some), "wide-parts")
+def _shingle_sets(rows: DataFrame, k: int) -> DataFrame:
+    """``(rep, same, hashes)``: the different shingles of each text as sorted 64-bit hashes."""
+
+    def run(batches):
+        for batch in released(batches):
+            same, sets = [], []
+            for text in batch.column("text").cast(pa.binary()):
+                words = (text.as_py() or b"").lower().split()
+                joined = b" ".join(words)
+                same.append(int(np.uint64(xxhash.xxh64_intdigest(joined)).view(np.int64)))
+                size = min(k, len(words))
+                ends = [at - 1 for at in accumulate(len(w) + 1 for w in words)]
+                starts = [0, *(at + 1 for at in ends)]
+                n = len(words) - size + 1 if words else 0
+                hashes = np.fromiter((xxhash.xxh64_intdigest(joined[x:y], HASH_SEED) for x, y in zip(starts[:n], ends[size - 1 :])), np.uint64, n)
+                sets.append(np.unique(hashes).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(same, pa.int64()), pa.array(sets, pa.binary())], names=["rep", "same", "hashes"])
+
+    return rows.mapInArrow(run, "rep long, same long, hashes binary")
+
+
+def _block_links(rows: DataFrame, members: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Edges ``(u, v)`` that connect all similar ``_candidates`` among ``members`` of one component that have different labels.
+
+    Candidates never cross components, so components of one label need nothing, and small ones share a block. A component
+    beyond BLOCK_ROWS or BLOCK_SHINGLES is cut into parts, of which each two are compared in a group of its own. A group
+    gives a spanning forest, never all of its pairs.
+    """
+    weight = F.greatest(F.ceil(F.sum("size") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.lit(1)).cast("long")
+    several = members.groupBy("component").agg(weight.alias("parts"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    blocks = stage(members.join(several.select("component", "parts"), "component"), "wide-blocks")
+    blocks_n = blocks.filter("parts = 1").agg(weight).first()[0]
+    alone = F.col("parts") == 1
+    block = F.when(alone, F.pmod(F.xxhash64("component"), F.lit(blocks_n))).otherwise(F.lit(-1))
+    sets = _shingle_sets(rows.join(blocks.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), k)
+    dealt = blocks.join(sets.dropDuplicates(["rep", "same"]), ["rep", "same"])
+    dealt = dealt.withColumns({"block": block, "whole": F.when(alone, F.lit(-1)).otherwise(F.col("component")), "part": F.pmod(F.xxhash64("rep", "same"), F.col("parts"))})
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    pair = F.least("part", "other") * F.col("parts") + F.greatest("part", "other")
+    dealt = dealt.select("whole", "block", pair.alias("pair"), "part", "parts", "rep", "label", "fp", "more", "rest", "hashes")
+
+    def compare(table: pa.Table) -> pa.Table:
+        part = table.column("part").to_numpy()
+        order = np.argsort(part, kind="stable")
+        part, rep, label = part[order], table.column("rep").to_numpy()[order], table.column("label").to_numpy()[order]
+        parts, pair = table.column("parts")[0].as_py(), table.column("pair")[0].as_py()
+        same = pair // parts == pair % parts
+        n_first = len(part) if same else int((part == part[0]).sum())
+        if not same and n_first == len(part):  # nothing is in one of the parts
+            return pa.table({c: pa.array([], pa.int64()) for c in ("u", "v")})
+        fp, more = (table.column(c).to_numpy()[order].view(np.uint64) for c in ("fp", "more"))
+        rest = np.frombuffer(b"".join(table.column("rest").to_pylist()), np.uint64).reshape(len(part), -1)[order]
+        hashes = table.column("hashes")
+        sets = [np.frombuffer(hashes[at].as_py(), np.uint64) for at in order.tolist()]
+        i, j = np.array(similar_links(fp, more, rest, sets, n_first, WORD_RADIUS, similarity, label), np.int64).reshape(-1, 2).T
+        release()
+        return pa.table({"u": rep[i], "v": rep[j]})
+
+    return dealt.groupBy("whole", "block", "pair").applyInArrow(compare, "u long, v long")
 
 
 def similar_documents(docs: DataFrame, words_in_shingle: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """``(doc_id, component_id)`` per row of ``docs(doc_id, text)``: classes of texts that share ``similarity`` of their shingles.
 
     Fingerprints are compared tile by tile as in ``near_duplicates``, but of 512 bits and within a radius that similarity
-    0.8 needs. Pairs found are verified on their texts, in waves: first a spanning forest of very close ones and each
-    text's closest pair, then pairs whose ends nothing links yet. So a large group is not verified pair by pair. Where a pair fails,
-    the next closest of its trees is tried, until none is left. Texts of the same words are one; null, empty and blank texts
-    are one class. Rows with a null doc_id get a null component; rows that share a doc_id are in the class of either. Other
-    columns are ignored; an empty table gives an empty result.
+    0.8 needs. Each two tiles give a spanning forest of their very close pairs, which are verified on the texts, and one of
+    all pairs within the radius. Texts that the latter connects are compared by their shingles (64-bit hashes) in
+    blocks, where what is linked already isn't compared again. So no step gives all pairs of a group, and every pair within the
+    radius is linked or compared. Texts of the same words are one; null, empty and blank texts are one class. Rows with a null
+    doc_id get a null component; rows that share a doc_id are in the class of either. Other columns are ignored; an empty
+    table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     fps = stage(_wide_fingerprints(rows, words_in_shingle), "wide-fp")
     distinct = stage(fps.filter("doc_id is not null").groupBy("fp", "more", "rest", "same").agg(F.min("doc_id").alias("rep"), F.max("size").alias("size")), "wide-distinct")
-    now = distinct.select("fp", "more", "rest", "rep", "size", F.col("rep").alias("label"), F.array().cast("array<long>").alias("failed"))
-    parts = None
-    for k in range(ROUNDS + 1):
-        ends = F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")
-        found = stage(links(now, WORD_RADIUS, CLOSE if k < ROUNDS else -1, similarity).groupBy(*ends).agg(F.min("d").alias("d")), "wide-links")
-        # the forest and each text's closest pairs go first: what they link needs no other pair
-        tried, left = None, found
-        for wave in range(WAVES + 1):
-            both = left.select(F.col("u").alias("rep"), "d", "u", "v").union(left.select("v", "d", "u", "v"))
-            nearest = both.groupBy("rep").agg(F.min(F.struct("d", "u", "v")).alias("x")).select("x.u", "x.v")
-            picked = nearest.union(left.filter("d = 0").select("u", "v")).distinct() if wave < WAVES else left.select("u", "v")
-            checked = stage(_checked(rows, picked, words_in_shingle, similarity), "wide-verified")
-            tried = checked if tried is None else tried.union(checked)
-            parts = _joined(parts, checked)
-            tree = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"tree_{c}"))
-            apart = left.join(tree("u"), "u", "left").join(tree("v"), "v", "left").filter(F.coalesce("tree_u", "u") != F.coalesce("tree_v", "v"))
-            if wave == WAVES or apart.head() is None:
-                break
-            left = stage(apart.select("u", "v", "d").join(checked.select("u", "v"), ["u", "v"], "left_anti"), "wide-left")
-        bad = tried.filter("not good").select("u", "v")
-        known = bad if k == 0 else known.union(bad)
-        if k == ROUNDS or bad.head() is None:
-            break
-        # only trees with a pair that failed can have others that weren't tried
-        named = distinct.select("fp", "more", "rest", "rep", "size").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
-        both = known.select(F.col("u").alias("rep"), F.col("v").alias("other")).union(known.select("v", "u"))
-        trees = named.join(bad.select(F.col("u").alias("rep")).union(bad.select("v")).distinct(), "rep", "left_semi").select("label").distinct()
-        failed = both.groupBy("rep").agg(F.collect_set("other").alias("failed"))
-        now = stage(named.join(trees, "label", "left_semi").join(failed, "rep", "left").select("fp", "more", "rest", "rep", "size", "label", F.coalesce("failed", F.array().cast("array<long>")).alias("failed")), "wide-rest")
+    ends = F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")
+    found = stage(links(distinct, WORD_RADIUS, CLOSE, similarity).groupBy(*ends).agg(F.min("d").alias("d")), "wide-links")
+    good = stage(_checked(rows, found.filter("d = 0").select("u", "v"), words_in_shingle, similarity).filter("good").select("u", "v"), "wide-close")
+    trees = stage(connected_components(good), "wide-trees").withColumnRenamed("component", "label")
+    loose = stage(connected_components(found.select("u", "v")), "wide-loose").withColumnRenamed("node", "rep")
+    members = distinct.join(loose, "rep").join(trees.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    more = stage(_block_links(rows, members, words_in_shingle, similarity), "wide-more")
+    every = more.select(*ends).union(trees.select(F.col("node").alias("u"), F.col("label").alias("v"))).distinct()
+    parts = stage(connected_components(every), "wide-parts")
     classes = distinct.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "more", "rest", "same", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(classes, ["fp", "more", "rest", "same"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 

@@ -139,3 +139,23 @@ def test_similar_documents_of_a_large_group(spark):
     expected = brute_similar([r for r in rows if r[0] is not None])
     assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == expected
     assert [r.component_id for r in got if r.doc_id is None] == [None]
+
+
+def test_blocks_cut_into_parts_give_the_same(spark, monkeypatch):
+    """Texts at either side of the limit, all loosely similar, compared in parts of a few rows."""
+    rng = random.Random(4)
+    base = [f"word{rng.randrange(5000)}" for _ in range(120)]
+    rows = []
+    for d in range(90):
+        words = list(base)
+        for at in rng.sample(range(120), rng.choice([1, 3, 5, 8])):
+            words[at] = f"new{d}x{at}"
+        rows.append((d, " ".join(words)))
+    rows.append((0, " ".join(rows[1][1].split()[:60])))
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(simhash, "CLOSE", 0)
+    docs = spark.createDataFrame(rows[:-1], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
+    assert got == brute_similar(rows[:-1])
+    shared = spark.createDataFrame([rows[-1], rows[0], rows[0]], "doc_id long, text string")
+    assert [tuple(r) for r in simhash.similar_documents(shared).collect()] == [(0, 0)] * 3
