@@ -23,8 +23,9 @@ from plateloom.llm.memory import release, released
 
 LENGTH = 50
 GRAM = 16
-#: Of how much text a part holds the documents and a shard the contexts, about; work at once.
-PART_BYTES, SHARD_BYTES, WORK_BYTES = 8 << 20, 4 << 20, 1 << 20
+#: Of how much text a part holds the documents, a shard the contexts and an anchors' shard the anchors, about; work at once; contexts
+#: that one suffix array holds, about. Each part sends to each shard, so there are few of these.
+PART_BYTES, SHARD_BYTES, ANCHOR_BYTES, WORK_BYTES, ARRAY_BYTES = 8 << 20, 16 << 20, 32 << 20, 1 << 20, 2 << 20
 LEAST_PARTS = 16
 #: Strings in the longest run with one anchor.
 RUN = 4096
@@ -255,6 +256,11 @@ def anchor_runs(data: np.ndarray, ends: np.ndarray) -> Runs:
     return Runs(first, last, x[first], np.searchsorted(ends, first, "right"))
 
 
+def _places(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of pieces, behind each other."""
+    return np.arange(int(sizes.sum())) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
+
+
 def _gather(data: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Pieces of ``data`` behind each other."""
     if len(first) * 256 < int(sizes.sum()):
@@ -346,7 +352,7 @@ def _deal(parts: int):
 
 
 def _anchors(parts: int, shards: int):
-    """The different anchors of a batch by part and shard, and which are in several of its documents."""
+    """The different anchors of a batch by shard and part, and which are in several of its documents."""
 
     def run(batches):
         for batch in released(batches):
@@ -363,42 +369,47 @@ def _anchors(parts: int, shards: int):
             several = np.maximum.reduceat(doc, new) != np.minimum.reduceat(doc, new) if len(key) else np.zeros(0, bool)
             key = key[new]
             part, anchor = (key >> np.uint64(40)).astype(np.int64), key & np.uint64((1 << 40) - 1)
-            group = part * shards + _shard_of(anchor, shards)
-            order = np.argsort(group.astype(np.uint16) if parts * shards < 1 << 16 else group, kind="stable")
-            group, anchor, several = group[order], anchor[order], several[order]
-            starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
-            stops = np.r_[starts[1:], len(group)]
-            payloads = [pack_arrays([np.ascontiguousarray(anchor[a:b].view(np.uint8).reshape(-1, 8)[:, :5]).ravel(), np.packbits(several[a:b])]) for a, b in zip(starts, stops)]
-            yield _rows({"shard": (pa.int32(), (group[starts] % shards).tolist()), "part": (pa.int32(), (group[starts] // shards).tolist()), "payload": (pa.binary(), payloads)})
+            of = _shard_of(anchor, shards)
+            order = np.argsort(of.astype(np.uint16) if shards < 1 << 16 else of, kind="stable")
+            of, part, anchor, several = of[order], part[order], anchor[order], several[order]
+            starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, np.int64)
+            stops = np.r_[starts[1:], len(of)]
+            payloads = []
+            for a, b in zip(starts.tolist(), stops.tolist()):
+                narrow = np.ascontiguousarray(anchor[a:b].view(np.uint8).reshape(-1, 8)[:, :5]).ravel()
+                # within a shard anchors stand by part
+                first = np.flatnonzero(np.r_[True, part[a + 1 : b] != part[a : b - 1]])
+                payloads.append(pack_arrays([narrow, np.packbits(several[a:b]), part[a:b][first].astype(np.uint32), np.diff(np.r_[first, b - a]).astype(np.uint32)]))
+            yield _rows({"shard": (pa.int32(), of[starts].tolist()), "payload": (pa.binary(), payloads)})
 
     return run
 
 
-def _anchor_lists(table: pa.Table) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    out = []
-    for part, payload in zip(table.column("part").to_pylist(), table.column("payload")):
-        narrow, bits = unpack_arrays(np.frombuffer(payload.as_py(), np.uint8))
-        wide = np.zeros((len(narrow) // 5, 8), np.uint8)
-        wide[:, :5] = narrow.reshape(-1, 5)
-        out.append((part, wide.view(np.uint64).ravel(), np.unpackbits(bits, count=len(wide)).astype(bool)))
-    return out
-
-
 def _repeated(table: pa.Table) -> pa.Table:
     """For each part, its anchors that are in several documents."""
-    lists = _anchor_lists(table)
-    every = np.concatenate([a for _, a, _ in lists])
-    several = np.concatenate([s for _, _, s in lists])
-    values, at, times = np.unique(every, return_inverse=True, return_counts=True)
-    good = times > 1
-    good[at[several]] = True
-    keep, parts, k = good[at], {}, 0
-    for part, a, _ in lists:
-        parts.setdefault(part, []).append(a[keep[k : k + len(a)]])
-        k += len(a)
-    found = {p: np.unique(np.concatenate(a)) for p, a in parts.items()}
-    found = {p: a for p, a in found.items() if len(a)}
-    return pa.table({"part": pa.array(list(found), pa.int32()), "kind": pa.array([1] * len(found), pa.int32()), "payload": pa.array([_packed([np.ascontiguousarray(a)]) for a in found.values()], pa.binary())})
+    every, several, part = [], [], []
+    for payload in table.column("payload"):
+        narrow, bits, parts, sizes = unpack_arrays(np.frombuffer(payload.as_py(), np.uint8))
+        wide = np.zeros((len(narrow) // 5, 8), np.uint8)
+        wide[:, :5] = narrow.reshape(-1, 5)
+        every.append(wide.view(np.uint64).ravel())
+        several.append(np.unpackbits(bits, count=len(wide)).astype(bool))
+        part.append(np.repeat(parts, sizes))
+    anchor, several, part = np.concatenate(every), np.concatenate(several), np.concatenate(part)
+    del every
+    order = np.lexsort((part, anchor))
+    anchor, several, part = anchor[order], several[order], part[order]
+    first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+    sizes = np.diff(np.r_[first, len(anchor)])
+    keep = np.repeat((sizes > 1) | np.logical_or.reduceat(several, first), sizes)
+    keep[1:] &= ~(keep[:-1] & (anchor[1:] == anchor[:-1]) & (part[1:] == part[:-1]))
+    anchor, part = anchor[keep], part[keep]
+    order = np.argsort(part, kind="stable")
+    anchor, part = anchor[order], part[order]
+    used, first = np.unique(part, return_index=True)
+    payloads = [_packed([anchor[a:b]]) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(part)])]
+    release()
+    return pa.table({"part": pa.array(used.tolist(), pa.int32()), "kind": pa.array([1] * len(used), pa.int32()), "payload": pa.array(payloads, pa.binary())})
 
 
 class Contexts(NamedTuple):
@@ -452,6 +463,13 @@ def _contexts(texts: Texts, known: np.ndarray, shards: int) -> Contexts:
     return Contexts(first, doc, code, data, np.diff(offsets), least, own, _shard_of(own, shards))
 
 
+def _by_shard(c: Contexts) -> dict[int, np.ndarray]:
+    """The contexts of each shard, in order."""
+    order = np.argsort(c.shard, kind="stable")
+    used, first = np.unique(c.shard[order], return_index=True)
+    return dict(zip(used.tolist(), np.split(order, first[1:])))
+
+
 def _known(table: pa.Table) -> np.ndarray:
     lists = [_unpacked(p.as_py())[0] for k, p in zip(table.column("kind").to_pylist(), table.column("payload")) if k == 1]
     return np.unique(np.concatenate(lists)) if lists else np.zeros(0, np.uint64)
@@ -467,8 +485,7 @@ def _send(shards: int):
             part = left.column("part")[0].as_py()
             c = _contexts(_part_texts(left), _known(right), shards)
             begins = np.r_[0, np.cumsum(c.sizes)[:-1]] if len(c.sizes) else c.sizes
-            for s in np.unique(c.shard).tolist():
-                rows = np.flatnonzero(c.shard == s)
+            for s, rows in _by_shard(c).items():
                 out["shard"].append(s)
                 out["part"].append(part)
                 out["payload"].append(_packed([_gather(c.data, begins[rows], c.sizes[rows]), c.sizes[rows].astype(np.uint32), c.least[rows], c.anchor[rows]]))
@@ -530,9 +547,15 @@ def _compare(table: pa.Table) -> pa.Table:
     found = np.repeat(own, counts)
     _, of, alike = np.unique(anchor, return_inverse=True, return_counts=True)
     rows = np.flatnonzero(alike[of] > 1)
-    if len(rows):
-        data = _gather(np.frombuffer(different.buffers()[2], np.uint8), offsets[:-1][rows], sizes[rows])
-        found[_gather(np.arange(len(found)), begins[rows], counts[rows])] = earlier_strings(data, sizes[rows], own[rows])
+    rows = rows[np.argsort(of[rows], kind="stable")]
+    upto, last = np.cumsum(sizes[rows]), np.flatnonzero(np.r_[of[rows][1:] != of[rows][:-1], True][: len(rows)]) + 1
+    at = 0
+    while at < len(rows):
+        # an array of whole anchors
+        to = int(last[min(np.searchsorted(last, max(at + 1, np.searchsorted(upto, (upto[at - 1] if at else 0) + ARRAY_BYTES, "right"))), len(last) - 1)])
+        some, at = rows[at:to], to
+        data = _gather(np.frombuffer(different.buffers()[2], np.uint8), offsets[:-1][some], sizes[some])
+        found[_places(begins[some], counts[some])] = earlier_strings(data, sizes[some], own[some])
     payloads, k = [], 0
     for b in lists:
         rows = code[k : k + len(b[1])]
@@ -561,12 +584,13 @@ def _remove(shards: int):
             counts = c.sizes - LENGTH + 1
             begins = np.r_[0, np.cumsum(counts)[:-1]] if len(counts) else counts
             earlier = np.zeros(int(counts.sum()), bool)
+            by_shard = _by_shard(c)
             for kind, payload in zip(right.column("kind").to_pylist(), right.column("payload")):
                 if kind == 2:
                     shard, bits = _unpacked(payload.as_py())
-                    rows = np.flatnonzero(c.shard == shard[0])
+                    rows = by_shard[int(shard[0])]
                     own = np.unpackbits(bits, count=int(counts[rows].sum())).astype(bool)
-                    earlier[_gather(np.arange(len(earlier)), begins[rows], counts[rows])] = own
+                    earlier[_places(begins[rows], counts[rows])] = own
             upto = np.cumsum(counts[c.code])
             at = 0
             while at < len(c.first):
@@ -616,8 +640,8 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
     parts = max(LEAST_PARTS, -(-size // PART_BYTES))
     shards = max(LEAST_PARTS, -(-size // SHARD_BYTES))
     dealt = own.mapInArrow(_deal(parts), "part int, kind int, payload binary").groupBy("part")
-    anchor_shards = max(LEAST_PARTS, parts // 2)
-    repeated = own.mapInArrow(_anchors(parts, anchor_shards), "shard int, part int, payload binary").groupBy("shard").applyInArrow(_repeated, "part int, kind int, payload binary")
+    anchor_shards = max(LEAST_PARTS, -(-size // ANCHOR_BYTES))
+    repeated = own.mapInArrow(_anchors(parts, anchor_shards), "shard int, payload binary").groupBy("shard").applyInArrow(_repeated, "part int, kind int, payload binary")
     repeated = stage(repeated, "suffix-anchors")
     sent = dealt.cogroup(repeated.groupBy("part")).applyInArrow(_send(shards), "shard int, part int, payload binary")
     answers = sent.groupBy("shard").applyInArrow(_compare, "part int, kind int, payload binary")
