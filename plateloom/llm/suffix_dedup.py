@@ -25,7 +25,7 @@ LENGTH = 50
 GRAM = 16
 #: Of how much text a part holds the documents, a shard the contexts and an anchors' shard the anchors, about; work at once; contexts
 #: that one suffix array holds, about. Each part sends to each shard, so there are few of these.
-PART_BYTES, SHARD_BYTES, ANCHOR_BYTES, WORK_BYTES, ARRAY_BYTES = 8 << 20, 16 << 20, 32 << 20, 1 << 20, 2 << 20
+PART_BYTES, SHARD_BYTES, ANCHOR_BYTES, WORK_BYTES, ARRAY_BYTES = 8 << 20, 12 << 20, 32 << 20, 1 << 20, 1 << 19
 LEAST_PARTS = 16
 #: Strings in the longest run with one anchor.
 RUN = 4096
